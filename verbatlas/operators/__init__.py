@@ -1,0 +1 @@
+"""Operators of the corpus and lexicon engine."""

@@ -1,0 +1 @@
+"""Plans of the corpus and lexicon engine."""

@@ -1,0 +1 @@
+"""Sources of the corpus and lexicon engine."""

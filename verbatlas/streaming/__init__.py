@@ -1,0 +1 @@
+"""Streaming of the corpus and lexicon engine."""
