@@ -26,8 +26,43 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after private data is cut out of them."""
+    from .token_counts import count_edited, redactions
+    from .tokens import word_bpe_path
+
+    return count_edited(redactions(_docs(spark, sf_dir)), word_bpe_path())
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens."""
+    from .packing import pack_documents
+    from .tokens import word_bpe_path
+
+    return pack_documents(_docs(spark, sf_dir), word_bpe_path(), 4096, 1)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of all documents."""
+    from .langid import identify
+
+    return identify(_docs(spark, sf_dir))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict on all documents."""
+    from .quality import BASE, judge, train
+
+    docs, labels = _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return judge(docs, train(docs, labels)).select("row.doc_id", *BASE, "base_failed", "probability", "kept")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_token_counts": op2_token_counts,
+    "op3_packing": op3_packing,
+    "op5_language_id": op5_language_id,
+    "op7_quality": op7_quality,
     "op8_sharding": op8_sharding,
 }
 ORACLES: dict[str, str] = {}
