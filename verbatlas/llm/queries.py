@@ -57,12 +57,52 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, train(docs, labels)).select("row.doc_id", *BASE, "base_failed", "probability", "kept")
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as progressive JPEGs, read back."""
+    from .media import read_back, stored
+
+    return read_back(stored(_docs(spark, sf_dir)))
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents, over two-word shingles."""
+    from .neardup import classes
+
+    return classes(_docs(spark, sf_dir), 2, 80)
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on all pages' URLs."""
+    from .urlfilter import BLOCK_LIST, RULES, judge
+
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES, BLOCK_LIST)
+
+
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all documents."""
+    from .lm import score_documents
+
+    return score_documents(_docs(spark, sf_dir))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw documents to packed sequences, through all stages."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_mixing": op1_mixing,
     "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
+    "op4_media": op4_media,
     "op5_language_id": op5_language_id,
+    "op6_near_dedup": op6_near_dedup,
     "op7_quality": op7_quality,
     "op8_sharding": op8_sharding,
+    "op9_url_filter": op9_url_filter,
+    "op10_lm_scores": op10_lm_scores,
 }
 ORACLES: dict[str, str] = {}
