@@ -142,18 +142,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component) for every node of the edges (a, b): component is its smallest reachable node.
 
     Large-star links each node's larger neighbours to the smallest node around; small-star links its smaller
-    neighbours and itself to it. Each is a partial minimum per node and a join, never a list of neighbours, and each
-    round is written out. When a round leaves the edges as they were, they are stars around the components.
+    neighbours and itself to it. Each is a partial minimum per node and a join, never a list of neighbours. The minima
+    are tables of their own, so that the join's other side, in which a hub has many rows, can be split. When a round leaves the edges as they were, they are stars around the components.
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = materialize(edges, "star")
     mark = None
     for _ in range(most_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star-least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = materialize(large, "star")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "star-least")
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "star")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
