@@ -247,9 +247,8 @@ XML = pairs(("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'",
 
 def tei_token(surface: Column, lemma: Column, pos: Column, feats: Column, word: Column, sure: Column) -> Column:
     """A token as XML; feats: key=value joined by a bar; sure: whether an analysis matched."""
-    tag = F.lower(pos)
-    for name, short in TEI_TAGS.items():
-        tag = F.when(pos == name, F.lit(short)).otherwise(tag)
+    tags = F.create_map(*[F.lit(x) for pair in TEI_TAGS.items() for x in pair])
+    tag = F.coalesce(F.try_element_at(tags, pos), F.lower(pos))
     text = applied(XML, surface)
     ana = F.when(feats != "", F.concat(F.lit(' ana="'), applied(XML, F.replace(feats, F.lit("|"), F.lit("; "))), F.lit('"'))).otherwise("")
     low = F.when(sure, "").otherwise(' cert="low"')

@@ -77,33 +77,36 @@ SUFFIX_RULES = [
 ]
 
 
-def _tag(surface: Column, answer) -> Column:
-    word = clean(surface)
-    chain = F.when(~is_word(surface), answer(surface, "PUNCT", 0, "")).when(word == "", answer(surface, "X", 0, ""))
-    for ending, least, pos, cut, feats in SUFFIX_RULES:
-        chain = chain.when(F.endswith(word, F.lit(ending)) & (F.length(word) >= least), answer(word, pos, cut, feats))
-    return chain.otherwise(answer(word, "X", 0, ""))
+def analysis(surface: Column) -> Column:
+    """struct<lemma, pos, feats> by ordered suffix rules: a lemma is the word without a few letters, if any are left.
 
+    The cleaned word is named once (a lambda over an array of one), so it is not made again for every rule.
+    """
 
-def pos_of(surface: Column) -> Column:
-    """Part of speech by ordered suffix rules."""
-    return _tag(surface, lambda word, pos, cut, feats: F.lit(pos))
+    def row(lemma: Column, pos: str, feats: str) -> Column:
+        return F.struct(lemma.alias("lemma"), F.lit(pos).alias("pos"), F.lit(feats).alias("feats"))
 
+    def of(word: Column) -> Column:
+        chain = F.when(word == "", row(surface, "X", ""))
+        for ending, least, pos, cut, feats in SUFFIX_RULES:
+            lemma = F.when(F.length(word) > cut, F.substring(word, F.lit(1), F.length(word) - cut)).otherwise(word) if cut else word
+            chain = chain.when(F.endswith(word, F.lit(ending)) & (F.length(word) >= least), row(lemma, pos, feats))
+        return chain.otherwise(row(word, "X", ""))
+
+    return F.when(is_word(surface), F.get(F.transform(F.array(clean(surface)), of), F.lit(0))).otherwise(row(surface, "PUNCT", ""))
 
-def lemma_of(surface: Column) -> Column:
-    """The lemma that goes with pos_of: a few letters less, or the word where nothing would be left."""
 
-    def answer(word: Column, pos: str, cut: int, feats: str) -> Column:
-        if not cut:
-            return word
-        return F.when(F.length(word) > cut, F.substring(word, F.lit(1), F.length(word) - cut)).otherwise(word)
+def pos_of(surface: Column) -> Column:
+    return analysis(surface)["pos"]
+
 
-    return _tag(surface, answer)
+def lemma_of(surface: Column) -> Column:
+    return analysis(surface)["lemma"]
 
 
 def feats_of(surface: Column) -> Column:
-    """The features that go with pos_of, as key=value joined by a bar."""
-    return _tag(surface, lambda word, pos, cut, feats: F.lit(feats))
+    """The features as key=value joined by a bar."""
+    return analysis(surface)["feats"]
 
 
 def rounded(value: Column, places: int) -> Column:

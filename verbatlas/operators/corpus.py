@@ -35,8 +35,7 @@ def positions(tokens: DataFrame) -> DataFrame:
 
 def tagged(tokens: DataFrame) -> DataFrame:
     """Add lemma, pos, feats by suffix."""
-    s = F.col("surface")
-    return tokens.withColumn("lemma", X.lemma_of(s)).withColumn("pos", X.pos_of(s)).withColumn("feats", X.feats_of(s))
+    return tokens.withColumn("analysis", X.analysis(F.col("surface"))).select(*tokens.columns, "analysis.*")
 
 
 def lexicon(texts: DataFrame) -> DataFrame:

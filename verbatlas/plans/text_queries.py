@@ -475,10 +475,11 @@ def tei_sentence(spark, d):
     """Sentences as TEI XML. Known forms come from a small lexicon by a join; a sentence is put together from its own tokens."""
     rows = _docs(spark, d).select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("sentence_no", "s"))
     tokens = rows.select("doc_id", "sentence_no", F.posexplode(X.surfaces(F.col("s.sentence"))).alias("i", "surface"))
+    tokens = tokens.withColumn("a", X.analysis(F.col("surface")))
     known = _lexicon(spark, d).select(F.col("slug").alias("k"))
     s = F.col("surface")
     joined = tokens.join(known, F.lower(s) == F.col("k"), "left")
-    xml = S.tei_token(s, X.lemma_of(s), X.pos_of(s), X.feats_of(s), X.is_word(s), F.col("k").isNotNull())
+    xml = S.tei_token(s, F.col("a.lemma"), F.col("a.pos"), F.col("a.feats"), F.col("a.pos") != "PUNCT", F.col("k").isNotNull())
     per = joined.groupBy("doc_id", "sentence_no").agg(F.array_sort(F.collect_list(F.struct("i", xml.alias("xml")))).alias("t"))
     line = F.concat(F.lit('<s n="'), (F.col("sentence_no") + 1).cast("string"), F.lit('">'), F.array_join(F.col("t.xml"), " "), F.lit("</s>"))
     return per.select("doc_id", "sentence_no", line.alias("xml"))
