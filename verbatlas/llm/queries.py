@@ -105,4 +105,45 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_lm_scores": op10_lm_scores,
 }
-ORACLES: dict[str, str] = {}
+#: The mix in SQL: the same targets by water level, the same keys, a plain sort of each source.
+OP1_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '') AS body,
+    len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS symbols FROM documents),
+keyed AS (
+  SELECT doc_id, source, size, -ln((('0x' || left(md5(body), 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496) / ((size + 1) / (size + 1 + symbols)) AS draw_key FROM sized),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM keyed GROUP BY source),
+weighed AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight, 2 * source_size AS cap FROM sources),
+rising AS (
+  SELECT *, cap / weight AS ratio, sum(source_size) OVER () * 1.5::DOUBLE AS budget, sum(weight) OVER () - sum(weight) OVER o AS free_weight, sum(cap) OVER o AS upto
+  FROM weighed WINDOW o AS (ORDER BY cap / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+filled AS (SELECT *, upto + ratio * free_weight <= budget AS is_full FROM rising),
+levels AS (
+  SELECT *, (budget - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER ()) / nullif(sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER (), 0) AS level FROM filled),
+goals AS (SELECT source, source_size, CASE WHEN is_full THEN cap::DOUBLE ELSE level * weight END AS target FROM levels),
+plans AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target + 0.5)::BIGINT // source_size ELSE 0 END AS epochs FROM goals),
+summed AS (
+  SELECT k.*, g.source_size, g.target, g.epochs, floor(g.target + 0.5)::BIGINT - g.epochs * g.source_size AS rest,
+    sum(size) OVER (PARTITION BY k.source ORDER BY draw_key, k.doc_id ROWS UNBOUNDED PRECEDING) - size AS before
+  FROM keyed k JOIN plans g ON k.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM summed
+"""
+
+#: Hosts, paths, rules and the block list in SQL.
+OP9_SQL = r"""
+WITH parsed AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+fitted AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM parsed),
+listed AS (SELECT unnest(['adult-x.example.com', 'ads-track.example.com', 'casino-win.example.net', 'free-bets.example.net', 'spam-farm.example.org']) AS entry)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'example.org/en/1', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN EXISTS (SELECT 1 FROM listed WHERE host = entry OR ends_with(host, '.' || entry)) THEN 'block' ELSE 'allow' END AS verdict FROM fitted
+"""
+
+ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op9_url_filter": OP9_SQL}
