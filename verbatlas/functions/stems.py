@@ -287,3 +287,94 @@ def root_candidates(words: DataFrame, group: str, word: str) -> DataFrame:
 def default_stem_type(slug: Column) -> Column:
     """A stem type from the ending where no historical class is known."""
     return F.when(inferred_gender(slug).isin("FEM", "NEUT"), "a_hard").otherwise("o_hard")
+
+
+#: Adjective endings by kind, number and gender, seven cases each.
+ADJECTIVE_TABLE = {
+    ("hard", "singular", "MASC"): "y y ogo omu ym om y",
+    ("hard", "singular", "FEM"): "a ų oj oj ojų oj a",
+    ("hard", "singular", "NEUT"): "o o ogo omu ym om o",
+    ("hard", "plural", "MASC"): "i e yh ym ymi yh i",
+    ("hard", "plural", "FEM"): "e e yh ym ymi yh e",
+    ("hard", "plural", "NEUT"): "a a yh ym ymi yh a",
+    ("hard", "dual", "MASC"): "a a oju yma yma oju a",
+    ("hard", "dual", "FEM"): "ě ě oju yma yma oju ě",
+    ("hard", "dual", "NEUT"): "ě ě oju yma yma oju ě",
+    ("soft", "singular", "MASC"): "i i ego emu im em i",
+    ("soft", "singular", "FEM"): "a ų ej ej ejų ej a",
+    ("soft", "singular", "NEUT"): "e e ego emu im em e",
+    ("soft", "plural", "MASC"): "i e ih im imi ih i",
+    ("soft", "plural", "FEM"): "e e ih im imi ih e",
+    ("soft", "plural", "NEUT"): "a a ih im imi ih a",
+    ("soft", "dual", "MASC"): "a a eju ima ima eju a",
+    ("soft", "dual", "FEM"): "i i eju ima ima eju i",
+    ("soft", "dual", "NEUT"): "i i eju ima ima eju i",
+}
+
+
+def adjective_endings(spark: SparkSession) -> DataFrame:
+    """kind, number, gender, case, ending."""
+    rows = [(k, n, g, c, e) for (k, n, g), line in ADJECTIVE_TABLE.items() for c, e in zip(CASES, line.split())]
+    return spark.createDataFrame(rows, "kind string, number string, gender string, `case` string, ending string")
+
+
+def adjective_forms(adjectives: DataFrame, table: DataFrame) -> DataFrame:
+    """The 63 forms of adjectives (slug, kind, paradigm), plain and with tones; the lemma's last letter is replaced.
+
+    A and C: on the syllable before the last, falling in C's nominative and accusative singular. B: on the ending's first.
+    Degrees beside the positive have no forms of their own.
+    """
+    base = cut(F.col("slug"), 1)
+    forms = adjectives.join(F.broadcast(table), "kind").withColumn("form", F.concat(base, "ending"))
+    vowels = lambda c: F.regexp_count(c, F.lit(f"(?i)[{VOWELS}]"))
+    place = F.when(F.col("paradigm") == "B", F.greatest(vowels(F.col("form")) - vowels(base) - 1, F.lit(0))).otherwise(1)
+    falling = (F.col("paradigm") == "C") & (F.col("number") == "singular") & F.col("case").isin("nominative", "accusative")
+    return forms.select("slug", "kind", "paradigm", "number", "gender", "case", "ending", "form", marked(F.col("form"), place, ~falling).alias("toned"))
+
+
+def adverb_forms(adverbs: DataFrame) -> DataFrame:
+    """(slug, degree, form): comparative and superlative of adverbs of three letters or more in o, e, ě."""
+    slug = F.col("slug")
+    graded = (F.length(slug) > 2) & F.substring(slug, -1, 1).isin("o", "e", "ě")
+    more = F.concat(cut(slug, 1), F.lit("ěje"))
+    degree = lambda name, form: F.struct(F.lit(name).alias("degree"), form.alias("form"))
+    forms = F.when(graded, F.array(degree("pos", slug), degree("cmp", more), degree("sup", F.concat(F.lit("naj"), more)))).otherwise(F.array(degree("pos", slug)))
+    return adverbs.select("slug", F.explode(forms).alias("f")).select("slug", "f.*")
+
+
+def morpheme_candidates(value: Column, prefix: Column | None = None) -> Column:
+    """Shapes under which a morpheme occurs in words; a prefix in z also with s."""
+    v = F.lower(value)
+    found = stem_candidates(v)
+    if prefix is None:
+        return found
+    return F.when(prefix & F.endswith(v, F.lit("z")), F.array_distinct(F.array_append(found, F.concat(cut(v, 1), F.lit("s"))))).otherwise(found)
+
+
+def segmented(words: DataFrame, roots: DataFrame, word: str = "word") -> DataFrame:
+    """word, parts: array<struct<kind, text>> of words with a known root (roots: root).
+
+    Roots found in a word are taken from the left, the longest first where several begin, without overlap. What stands
+    before the first is a prefix, between roots unknown, after the last a suffix. Roots meet words by their substrings, an equi-join;
+    a word's hits are folded in its own row.
+    """
+    w = F.lower(word)
+    starts = F.sequence(F.lit(1), F.length(w))
+    spans = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.length(w) - i + 1), lambda n: F.struct(i.alias("at"), (-n).alias("n"), F.substring(w, i, n).alias("root")))))
+    hits = words.select(word, F.explode(spans).alias("s")).select(word, "s.*").join(roots.select("root").distinct(), "root", "left_semi")
+    rows = hits.groupBy(word).agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("hits"))
+    state = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<kind:string,text:string>>").alias("parts"))
+    part = lambda kind, text: F.struct(F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), text.alias("text"))
+
+    def step(s: Column, h: Column) -> Column:
+        gap = F.when(h["at"] > s["at"], F.array(part(F.when(s["at"] == 1, "prefix").otherwise("unknown"), F.substring(F.col(word), s["at"], h["at"] - s["at"])))).otherwise(
+            F.array().cast("array<struct<kind:string,text:string>>")
+        )
+        root = F.array(part("root", F.substring(F.col(word), h["at"], -h["n"])))
+        return F.when(h["at"] < s["at"], s).otherwise(F.struct((h["at"] - h["n"]).alias("at"), F.concat(s["parts"], gap, root).alias("parts")))
+
+    def end(s: Column) -> Column:
+        rest = F.length(F.col(word)) - s["at"] + 1
+        return F.when(rest > 0, F.array_append(s["parts"], part("suffix", F.substring(F.col(word), s["at"], rest)))).otherwise(s["parts"])
+
+    return rows.select(word, F.aggregate("hits", state, step, end).alias("parts"))

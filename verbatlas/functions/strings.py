@@ -118,6 +118,17 @@ FROM_PROTO = (
     + pairs(("[ǫǭ]", "ų"), ("[ъь]$", ""), ("ь", "e"), ("ъ", "o"), ("ʒ", "z"), ("[ľĺ]", "lj"), ("ń", "nj"), ("ŕ", "r"))
 )
 
+#: The new orthography's letters in standard Latin; a soft vowel after i loses its j.
+NEW_TO_STANDARD = (
+    pairs((r"ый([^\pL▲]|$)", "y\\1"), (r"ий([^\pL▲]|$)", "i\\1"), (r"ЫЙ([^\pL▲]|$)", "Y\\1"), (r"ИЙ([^\pL▲]|$)", "I\\1"), ("[Ъъ҂]", ""))
+    + pairs(("Џ", "Dž"), ("џ", "dž"), ("Ѕ", "Dz"), ("ѕ", "dz"), ("Ї", "Ji"), ("ї", "ji"), ("Į", "In"), ("į", "in"), ("Щ", "Št"), ("щ", "št"), ("Ќ", "Ks"), ("ќ", "ks"), ("Ѱ", "Ps"), ("ѱ", "ps"))
+    + [both("бвгґджзпфхктчшсцјлмнрҏйўáåэыӯóаеиуôоіьѣѧѫѳ", "bvggdžzpfhktčšscilmnrrjvaaeyvoaeiuooijeeut")]
+    + [("sub", f"([iI]){c}", "\\1" + v) for s, v in (("я", "a"), ("ю", "u"), ("є", "e"), ("ё", "o")) for c, v in ((s.upper(), v.upper()), (s, v))]
+    + pairs(("Я", "Ja"), ("я", "ja"), ("Ю", "Ju"), ("ю", "ju"), ("Є", "Je"), ("є", "je"), ("Ё", "Jo"), ("ё", "jo"))
+)
+#: What is left of a lemma when it is matched with other sources.
+CLEAN_MATCH = [("lower",), ("sub", "[\u0301\u0300\u0302\u0311\u0304\u0306\u030b\u0307]", ""), ("sub", "[^a-zA-Zěęǫųščžy]", "")]
+
 SCRIPTS = ("etym_lat", "etym_cyr", "std_lat", "std_cyr", "simple_lat", "simple_cyr")
 TO_HUB: dict[str, Chain] = {
     "etym_lat": [("lower",)],
@@ -254,3 +265,20 @@ def tei_token(surface: Column, lemma: Column, pos: Column, feats: Column, word:
     low = F.when(sure, "").otherwise(' cert="low"')
     w = F.concat(F.lit('<w lemma="'), applied(XML, lemma), F.lit('" pos="'), tag, F.lit('"'), ana, low, F.lit(">"), text, F.lit("</w>"))
     return F.when(word, w).otherwise(F.concat(F.lit("<pc>"), text, F.lit("</pc>")))
+
+
+def yo_variants(word: Column) -> Column:
+    """The word, with е for each ё, and with ё for each е."""
+    return F.array_distinct(F.array(word, F.replace(word, F.lit("ё"), F.lit("е")), F.replace(word, F.lit("е"), F.lit("ё"))))
+
+
+def feats_text(feats: Column) -> Column:
+    """A map of features as key=value; key=value, without empty ones."""
+    entries = F.filter(F.map_entries(feats), lambda e: e["value"].isNotNull() & (e["value"] != ""))
+    return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), "; ")
+
+
+def joined_chapters(parts: Column) -> Column:
+    """Chapters (heading, content) as one text, the reverse of chapters()."""
+    text = lambda c: F.when(c["heading"] != "", F.concat(F.lit("## "), c["heading"], F.lit("\n\n"), c["content"])).otherwise(c["content"])
+    return F.array_join(F.filter(F.transform(parts, text), lambda t: t != ""), "\n\n")

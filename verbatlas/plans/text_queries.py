@@ -483,3 +483,40 @@ def tei_sentence(spark, d):
     per = joined.groupBy("doc_id", "sentence_no").agg(F.array_sort(F.collect_list(F.struct("i", xml.alias("xml")))).alias("t"))
     line = F.concat(F.lit('<s n="'), (F.col("sentence_no") + 1).cast("string"), F.lit('">'), F.array_join(F.col("t.xml"), " "), F.lit("</s>"))
     return per.select("doc_id", "sentence_no", line.alias("xml"))
+
+
+_ADJ_VALUES = ", ".join(f"('{k}', '{n}', '{g}', '{c}', '{e}')" for (k, n, g), line in M.ADJECTIVE_TABLE.items() for c, e in zip(M.CASES, line.split()))
+
+
+@query(
+    f"""{_WORDS}, ends(kind, number, gender, "case", ending) AS (VALUES {_ADJ_VALUES})
+    SELECT slug, kind, number, gender, "case", left(slug, length(slug) - 1) || ending AS form FROM (SELECT slug, CASE WHEN ends_with(slug, 'i') THEN 'soft' ELSE 'hard' END AS kind FROM lex WHERE right(slug, 1) IN ('y', 'i')) JOIN ends USING (kind)"""
+)
+def paradigm_adjective(spark, d):
+    slug = F.col("slug")
+    words = _lexicon(spark, d).filter(F.substring("slug", -1, 1).isin("y", "i"))
+    rows = words.select("slug", F.when(F.endswith(slug, F.lit("i")), "soft").otherwise("hard").alias("kind"), F.lit("A").alias("paradigm"))
+    return M.adjective_forms(rows, M.adjective_endings(spark)).select("slug", "kind", "number", "gender", "case", "form")
+
+
+@query()
+def paradigm_verb(spark, d):
+    """Forms of made-up infinitives from the lexicon's words."""
+    from verbatlas.functions.verbs import verb_forms
+
+    return verb_forms(_lexicon(spark, d).select(F.concat("slug", F.lit("ti")).alias("slug")))
+
+
+@query(f"{_WORDS} SELECT slug, {duck(S.NEW_TO_STANDARD, duck(S.TO_CYRILLIC_NEW, 'slug'))} AS standard, {duck(S.CLEAN_MATCH, 'slug')} AS clean FROM lex")
+def nsl_standard(spark, d):
+    """Words in the new Cyrillic spelling, read as standard Latin, and bare for matching."""
+    slug = F.col("slug")
+    return _lexicon(spark, d).select("slug", S.applied(S.TO_CYRILLIC_NEW + S.NEW_TO_STANDARD, slug).alias("standard"), S.applied(S.CLEAN_MATCH, slug).alias("clean"))
+
+
+@query()
+def morpheme_segments(spark, d):
+    """Words of the corpus cut at roots: the roots mined from the lexicon."""
+    words = _lexicon(spark, d).select(F.substring("slug", 1, 2).alias("g"), "slug")
+    roots = M.root_candidates(words, "g", "slug").select("root")
+    return M.segmented(_doc_words(spark, d), roots).withColumn("parts", F.expr("array_join(transform(parts, p -> p.kind || ':' || p.text), '|')"))
