@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from verbatlas.functions import text as X
 from verbatlas.operators import corpus as C
 
-from .registry import query, table
+from .registry import query, spread, table
 
 _W = X.WORD_CLASS
 _WS = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||chr(32)"
@@ -43,7 +43,7 @@ GENRE = f"""{TOK}, {LEX}, bygenre AS (SELECT lower(surface) AS slug, source AS g
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 def _lexicon(spark: SparkSession, d: str) -> DataFrame:

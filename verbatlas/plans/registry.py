@@ -23,5 +23,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it comes from fewer files than there are cores.
+
+    A single file may be a single row group, which one task would read and work on alone. A table of many files is left as it is,
+    so that a large corpus is never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
