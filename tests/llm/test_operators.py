@@ -576,6 +576,9 @@ def test_digest_index_confirms_strings(tmp_path, spark):
     none = urlfilter.DigestIndex(*urlfilter.write_index([], str(tmp_path), "n"))
     assert not none.contains([b"x"]).any()
     pages = spark.createDataFrame([(1, "host1.net", "/é1/z"), (2, "host1.net", "/q")], "page_id long, host string, path string")
+    for host, path in (("a.b.c", "/x//y/"), ("a", ""), ("", "/q"), ("é.net", "/ü")):
+        row = spark.createDataFrame([(host, path)], "h string, p string")
+        assert sorted(row.select(urlfilter.candidate_entries(F.col("h"), F.col("p"))).first()[0]) == sorted(urlfilter.candidates(host, path))
     joined = urlfilter.blocked_by_join(pages, spark.createDataFrame([(e,) for e in entries], "entry string"), "page_id")
     assert {r["page_id"]: r["listed"] for r in joined.collect()} == {1: True, 2: False}
 
@@ -649,3 +652,43 @@ def test_word_hashes_tell_words_apart(rows):
         assert (words(body)[0][:-1] == whole[:-1]).all()
     finally:
         text.BLOCK = block
+
+
+def test_empty_tables(spark, empty):
+    assert packing.pack_documents(empty, word_bpe_path()).count() == 0
+    assert media.read_back(media.stored(empty)).count() == 0
+    assert mixing.plan_mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
+    assert token_counts.count_edited(token_counts.redactions(empty), word_bpe_path()).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string")
+    assert urlfilter.judge(pages, urlfilter.RULES, []).count() == 0
+    assert neardup.deduplicated(empty).count() == 0
+
+
+def test_texts_without_words(spark):
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(["", None, " ", "", "\n"])]
+    blank = spark.createDataFrame(rows, DOCS)
+    assert [r["taken"] for r in mixing.plan_mix(blank).collect()] == [0] * 5
+    assert {(r["n_shingles"], r["component_id"] == r["doc_id"], r["kept"]) for r in neardup.classes(blank).collect()} == {(0, True, True)}
+    assert {r["length"] for r in packing.pack_documents(blank, word_bpe_path()).collect()} == {1}
+    assert not quality.judge(blank, None).filter("kept").count()
+
+
+def test_pipeline_runs_all_stages(spark, rows, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    before = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, before, str(tmp_path))
+        assert after.columns == docs.columns, name
+        after.write.parquet(f"{tmp_path}/{name}")
+        kept = spark.read.parquet(f"{tmp_path}/{name}")
+        if name != "mixing":
+            assert kept.exceptAll(before).count() == 0
+        before = kept
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(out.columns)
+    sizes = {r["doc_id"]: r["n"] for r in out.filter("piece = 0").groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert sizes == {r["doc_id"]: r["n"] for r in before.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
