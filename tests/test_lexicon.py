@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verbatlas.functions import stems, strings, verbs
-from verbatlas.operators import dedup, graph, lexicon
+from verbatlas.operators import dedup, graph, lexicon, maintenance
 from verbatlas.sources import tables
 from verbatlas.streaming import ingest
 
@@ -238,3 +238,36 @@ def test_stream(spark, tmp_path):
         stream = spark.readStream.schema("doc_id long, text string").parquet(str(source))
         ingest.counting(stream, target, str(tmp_path / "state")).awaitTermination()
     assert {r["slug"]: r["freq"] for r in ingest.counted(spark, target).collect()} == {"a": 2, "b": 2, "c": 1}
+
+
+def test_prepositions_and_notes(spark):
+    rows = [("na", "ru\u0302ka", "C", "singular", "accusative"), ("v", "ru\u0302ka", "C", "singular", "accusative"), ("na", "ruka\u0301", "C", "singular", "genitive"), ("na", "ru\u0302ka", "A", "singular", "accusative")]
+    df = spark.createDataFrame(rows, "p string, f string, a string, n string, c string")
+    got = [r[0] for r in df.select(stems.with_preposition(*[F.col(x) for x in "pfanc"])).collect()]
+    assert got == ["na\u0300 ruka", "v ru\u0302ka", "na ruka\u0301", "na ru\u0302ka"]
+    notes = [("#", "NOUN"), ("(+3)", "ADJ"), ("(-ogo)", "ADJ"), ("(a, b) (+2)", "NOUN"), ("(piše)", "VERB"), ("(ide, idut; šel / šla)", "VERB"), (None, "VERB")]
+    out = [r[0] for r in spark.createDataFrame(notes, "n string, p string").select(stems.addition(F.col("n"), F.col("p"))).collect()]
+    assert out[0]["omitted"] and out[1]["governs"] == 3 and out[1]["forms"] == []
+    assert [f["form"] for f in out[2]["forms"]] == ["-ogo"] and [f["form"] for f in out[3]["forms"]] == ["a", "b"] and out[3]["governs"] == 2
+    assert out[4]["secondary_stem"] == "piše" and out[4]["forms"] == []
+    assert [(f["form"], f["section"]) for f in out[5]["forms"]] == [("ide", "PRES"), ("idut", "PRES"), ("šel", "L_PART"), ("šla", "L_PART")] and out[5]["secondary_stem"] == "ide" and out[5]["tertiary_stem"] == "š"
+
+
+def test_maintenance(spark):
+    kind = "surface string, lemma string, pos string, word_slug string, feats string, match_count int, word_index int, token_index int, sentence_no int"
+    tokens = spark.createDataFrame([("a", "x", "X", None, "", 0, 0, 0, 0), ("b", "x", "N", "s", "f", 3, 1, 1, 0), (".", "q", "X", "s", "f", 2, -1, 2, 0)], kind)
+    analyses = spark.createDataFrame([("a", "al", "NOUN", "al", "n=1", 2)], "surface string, lemma string, pos string, word_slug string, feats string, match_count int")
+    got = {r["surface"]: (r["lemma"], r["pos"], r["word_slug"], r["match_count"]) for r in maintenance.reanalysed(tokens, analyses).collect()}
+    assert got == {"a": ("al", "NOUN", "al", 2), "b": ("b", "X", None, 3), ".": (".", "PUNCT", None, 2)}
+    assert maintenance.inspected(tokens).filter("recognised").count() == 2
+    entries = spark.createDataFrame([(5, ["w1", "w5", "none"], ["w2"], ["w3"])], "meaning_id long, synonyms array<string>, hypernyms array<string>, hyponyms array<string>")
+    words = spark.createDataFrame([("w1", 1), ("w2", 2), ("w3", 9), ("w5", 5)], "value string, meaning_id long")
+    assert {tuple(r) for r in maintenance.relations_of(entries, words).collect()} == {(1, 5, "synonym"), (5, 2, "hypernymy"), (9, 5, "hypernymy")}
+    stored = spark.createDataFrame([(1, "own"), (2, "auto"), (3, None)], "id long, origin string")
+    assert {r["id"] for r in maintenance.replaced(stored, spark.createDataFrame([(7,)], "id long"), "auto").collect()} == {1, 3, 7}
+    sentences = spark.createDataFrame([(1, 0, 1, "<s>b</s>"), (1, 0, 0, "<s>a</s>"), (1, 1, 2, "<s>c</s>")], "doc_id long, segment int, sentence_no int, xml string")
+    xml = maintenance.tei_documents(sentences, spark.createDataFrame([(1, "T & U", None)], "doc_id long, title string, author string")).first()["xml"]
+    import xml.dom.minidom as dom
+
+    parsed = dom.parseString(xml.encode())
+    assert [s.firstChild.data for s in parsed.getElementsByTagName("s")] == ["a", "b", "c"] and "T &amp; U" in xml

@@ -378,3 +378,55 @@ def segmented(words: DataFrame, roots: DataFrame, word: str = "word") -> DataFra
         return F.when(rest > 0, F.array_append(s["parts"], part("suffix", F.substring(F.col(word), s["at"], rest)))).otherwise(s["parts"])
 
     return rows.select(word, F.aggregate("hits", state, step, end).alias("parts"))
+
+
+def with_preposition(preposition: Column, toned: Column, paradigm: Column, number: Column, case: Column) -> Column:
+    """A preposition and a noun form: in paradigm C a falling tone moves from the noun to the preposition.
+
+    That happens in the accusative and nominative singular, locative singular and accusative plural, and not to a preposition without a vowel.
+    """
+    clean_ = F.lower(F.trim(preposition))
+    vowel = f"(?i)^([^{VOWELS}]*)([{VOWELS}])(.*)$"
+    single = (number == "singular") & case.isin("accusative", "nominative", "locative")
+    moves = (paradigm == "C") & toned.rlike("[̂̑]") & (single | ((number == "plural") & (case == "accusative"))) & clean_.rlike(vowel)
+    stressed = F.concat(F.regexp_extract(clean_, vowel, 1), F.regexp_extract(clean_, vowel, 2), F.lit("̀"), F.regexp_extract(clean_, vowel, 3))
+    return F.when(moves, F.concat(stressed, F.lit(" "), without_tones(toned))).otherwise(F.concat(preposition, F.lit(" "), toned))
+
+
+def addition(note: Column, pos: Column) -> Column:
+    """struct<omitted, governs, forms, section_forms, secondary_stem, tertiary_stem> of a dictionary note.
+
+    # is an omitted word; (+2) at the end a governed case; (-ogo) or (a, b) or (a) are irregular forms; (a, b; c / d; e) are sections, for verbs
+    present, l-participle, future. A verb's single form, or its first of the first section, gives its second stem, that of the second section its third.
+    """
+    text = F.regexp_replace(note, r"^\s+|\s+$", "")
+    governs = F.regexp_extract(text, r"\(\+(\d)\)$", 1)
+    main = F.regexp_replace(F.regexp_replace(text, r"\(\+\d\)$", ""), r"\s+$", "")
+    inner = F.when(main.rlike(r"^\(.*\)$"), F.regexp_extract(main, r"^\((.*)\)$", 1))
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    listed = lambda c, by: F.filter(F.transform(F.split(c, by), strip), lambda f: f != "")
+    verb, many = F.upper(pos) == "VERB", F.contains(inner, F.lit(";"))
+    sections = F.transform(F.split(inner, ";"), strip)
+    names = F.array(F.lit("PRES"), F.lit("L_PART"), F.lit("FUT"))
+    of_section = lambda s, i: F.transform(listed(s, "[,/]"), lambda f: F.struct(f.alias("form"), F.when(verb & (i < 3), F.get(names, i)).otherwise("FORM").alias("section")))
+    none = F.array().cast("array<struct<form:string,section:string>>")
+    plain = lambda forms: F.transform(forms, lambda f: F.struct(f.alias("form"), F.lit("FORM").alias("section")))
+    single = ~many & ~F.contains(inner, F.lit(","))
+    forms = (
+        F.when(inner.isNull() | F.startswith(inner, F.lit("+")), none)
+        .when(F.startswith(inner, F.lit("-")), plain(F.array(inner)))
+        .when(many, F.flatten(F.transform(sections, of_section)))
+        .when(single & verb, none)
+        .otherwise(plain(listed(inner, ",")))
+    )
+    head = lambda i: F.get(listed(F.get(sections, F.lit(i)), "[,/]"), F.lit(0))
+    second = F.when(verb & many, heuristic_stem(head(0), "VERB")).when(verb & single & ~inner.rlike(r"^[+-]"), heuristic_stem(strip(inner), "VERB"))
+    past = head(1)
+    third = F.when(verb & many & past.isNotNull(), F.when(F.endswith(past, F.lit("l")), F.regexp_replace(cut(past, 1), "[ěėeьъ]$", "")).otherwise(past))
+    return F.struct(
+        (text == "#").alias("omitted"),
+        F.when(governs != "", governs.cast("int")).alias("governs"),
+        forms.alias("forms"),
+        second.alias("secondary_stem"),
+        third.alias("tertiary_stem"),
+    )
