@@ -271,3 +271,18 @@ def test_maintenance(spark):
 
     parsed = dom.parseString(xml.encode())
     assert [s.firstChild.data for s in parsed.getElementsByTagName("s")] == ["a", "b", "c"] and "T &amp; U" in xml
+
+
+def test_closed_classes(spark):
+    from verbatlas.functions import closed_classes as K
+
+    got = {(r["lemma"], r["number"], r["gender"], r["case"]): (r["form"], r["short"]) for r in K.pronouns(spark).collect()}
+    assert got["ja", "singular", None, "dative"] == ("meně", "mi") and got["ty", "plural", None, "locative"] == ("vasъ", None)
+    assert got["kto", None, None, "instrumental"] == ("kěmь", None)
+    assert got["on", "singular", "NEUT", "accusative"] == ("ono", None) and got["on", "singular", "MASC", "genitive"] == ("jego", None)
+    small = {(r["lemma"], r["gender"], r["case"]): r["form"] for r in K.small_numerals(spark).collect()}
+    assert small["dva", "FEM", "nominative"] == "dvě" and small["tri", "MASC", "accusative"] == "tri" and small["četyri", "MASC", "dative"] == "četyrem"
+    five = {r["case"]: r["form"] for r in K.five_to_ten(spark.createDataFrame([("pęť",)], "slug string")).collect()}
+    assert five["nominative"] == "pęť" and five["genitive"] == "pęti" and five["instrumental"] == "pętejų"
+    many = {r["case"]: r["form"] for r in K.collectives(spark.createDataFrame([("dvoje",)], "slug string"), "oje").collect()}
+    assert many["nominative"] == "dvoje" and many["genitive"] == "dvojih"
