@@ -119,7 +119,7 @@ def inner_fk(spark, d):
 
 
 @query(
-    """SELECT p_partkey, a.v AS core, b.v AS nsl FROM part
+    """SELECT p_partkey, a.v AS core, b.v AS other FROM part
     LEFT JOIN (SELECT l_partkey, min(l_suppkey) AS v FROM lineitem WHERE l_returnflag = 'A' AND l_linestatus = 'F' GROUP BY 1) a ON a.l_partkey = p_partkey
     LEFT JOIN (SELECT l_partkey, min(l_suppkey) AS v FROM lineitem WHERE l_returnflag = 'N' AND l_linestatus = 'F' GROUP BY 1) b ON b.l_partkey = p_partkey"""
 )
@@ -127,8 +127,8 @@ def left_pivot(spark, d):
     """Two flavours of each lexeme side by side: one aggregate with two conditions instead of two joins."""
     lines = table(spark, d, "lineitem").filter("l_linestatus = 'F' AND l_returnflag IN ('A', 'N')")
     flavour = lambda flag: F.min(F.when(F.col("l_returnflag") == flag, F.col("l_suppkey")))
-    wide = lines.groupBy("l_partkey").agg(flavour("A").alias("core"), flavour("N").alias("nsl"))
-    return table(spark, d, "part").join(wide, F.col("p_partkey") == F.col("l_partkey"), "left").select("p_partkey", "core", "nsl")
+    wide = lines.groupBy("l_partkey").agg(flavour("A").alias("core"), flavour("N").alias("other"))
+    return table(spark, d, "part").join(wide, F.col("p_partkey") == F.col("l_partkey"), "left").select("p_partkey", "core", "other")
 
 
 @query("SELECT c_custkey, coalesce(n_name, c_name) AS shown FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_regionkey < 2")

@@ -508,7 +508,7 @@ def paradigm_verb(spark, d):
 
 
 @query(f"{_WORDS} SELECT slug, {duck(S.NEW_TO_STANDARD, duck(S.TO_CYRILLIC_NEW, 'slug'))} AS standard, {duck(S.CLEAN_MATCH, 'slug')} AS clean FROM lex")
-def nsl_standard(spark, d):
+def new_spelling(spark, d):
     """Words in the new Cyrillic spelling, read as standard Latin, and bare for matching."""
     slug = F.col("slug")
     return _lexicon(spark, d).select("slug", S.applied(S.TO_CYRILLIC_NEW + S.NEW_TO_STANDARD, slug).alias("standard"), S.applied(S.CLEAN_MATCH, slug).alias("clean"))
