@@ -62,8 +62,9 @@ def test_entities(spark):
 
 def test_lexicon_reports(spark):
     rows = spark.createDataFrame([(1, "x"), (2, "x"), (3, None), (4, "y")], "id long, v string")
-    out = {r["id"]: (r["dup_count"], r["dup_ids"]) for r in lexicon.duplicates(rows, "v", "id", F.col("id") > 1).collect()}
-    assert out == {1: (2, [2]), 2: (2, [1]), 3: (1, []), 4: (1, [])}
+    out = {r["id"]: (r["dup_count"], r["any_flag"]) for r in lexicon.duplicates(rows, "v", F.col("id") == 2).collect()}
+    assert out == {1: (2, True), 2: (2, True), 3: (1, False), 4: (1, False)}
+    assert {tuple(r) for r in lexicon.duplicate_members(rows, "v", "id").collect()} == {("x", 1), ("x", 2)}
     slugs = dedup.unique_slugs(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "a")], "id long, base string"), "base", "id")
     assert {r["id"]: r["slug"] for r in slugs.collect()} == {1: "a", 2: "a-2", 3: "b", 4: "a-3"}
     new = spark.createDataFrame([(1, None), (9, "z")], "id long, v string")

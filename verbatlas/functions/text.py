@@ -42,15 +42,19 @@ def surfaces(sentence: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """array<struct<segment, sentence, surface>>: a token's place in the array is its index in the document."""
-    return F.flatten(
-        F.transform(
-            sentences(text),
-            lambda s, i: F.transform(
-                surfaces(s["sentence"]), lambda t: F.struct(s["segment"].alias("segment"), i.alias("sentence_no"), t.alias("surface"))
-            ),
+    """array<struct<segment, sentence_no, place, size, surface>>: a token's place in the array is its index in the document.
+
+    place is its index in the sentence, size the sentence's number of tokens.
+    """
+
+    def of(sentence: Column, number: Column) -> Column:
+        parts = surfaces(sentence["sentence"])
+        return F.transform(
+            parts,
+            lambda t, i: F.struct(sentence["segment"].alias("segment"), number.alias("sentence_no"), i.alias("place"), F.size(parts).alias("size"), t.alias("surface")),
         )
-    )
+
+    return F.flatten(F.transform(sentences(text), of))
 
 
 def is_word(surface: Column) -> Column:

@@ -25,11 +25,14 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df to the shared folder and read it back.
 
     Cuts lineage at a file that outlives any executor, and gives the optimizer the true size of
-    what follows, so that joins are broadcast only where the measured bytes allow it.
+    what follows, so that joins are broadcast only where the measured bytes allow it. The files
+    go when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/verbatlas-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    written = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    written.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(written)
     return spark.read.schema(df.schema).parquet(path)
 
 

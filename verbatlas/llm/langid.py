@@ -89,21 +89,35 @@ class LanguageModel:
         return best, top, top - second < self.margin
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, steps: int, penalty: float) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and biases for each column of y in {-1, 1}, by Adam on the mean logistic loss."""
+def fitted(x: np.ndarray, y: np.ndarray, steps: int, penalty: float, use: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases for each column of y in {-1, 1}, by Adam on the mean logistic loss of the rows in `use`.
+
+    Rows are left out by a weight of 0, so that the matrix is not copied.
+    """
+    weight = np.ones(len(x), np.float32) if use is None else use.astype(np.float32)
+    weight = (weight / max(1, weight.sum()))[:, None]
     w, b = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)
     for t in range(1, steps + 1):
-        g = -y / (1 + np.exp(np.clip(y * (x @ w + b), -30, 30))) / len(x)
-        for p, d, first, second, rate in ((w, x.T @ g + penalty * w, m, v, 0.3), (b, g.sum(0), mb, vb, 0.3)):
+        g = (-y * weight / (1 + np.exp(np.clip(y * (x @ w + b), -30, 30)))).astype(np.float32)
+        for p, d, first, second in ((w, x.T @ g + np.float32(penalty) * w, m, v), (b, g.sum(0), mb, vb)):
             first *= 0.9
             first += 0.1 * d
             second *= 0.99
             second += 0.01 * d * d
-            p -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-7)
+            p -= 0.3 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-7)
     return w, b
 
 
+def matrix(rows: pa.Table, order: str, vectors: str) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the rows by a key, and their float16 vectors as one float32 matrix in that order."""
+    at = np.argsort(rows[order].to_numpy(), kind="stable")
+    binary = rows[vectors].combine_chunks()
+    binary = binary.chunk(0) if isinstance(binary, pa.ChunkedArray) else binary
+    flat = np.frombuffer(binary.buffers()[2], np.float16)[binary.offset :]
+    return at, flat.reshape(len(at), -1)[at].astype(np.float32)
+
+
 def train(docs: DataFrame, learn: Column, per_lang: int = 500, steps: int = 100, margin: float = 0.2) -> LanguageModel | None:
     """Fit on a sample of the rows of docs for which `learn` holds and lang is not null; None without such rows."""
     labelled = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -113,28 +127,30 @@ def train(docs: DataFrame, learn: Column, per_lang: int = 500, steps: int = 100,
     langs = sorted(counts)
     draw = (F.shiftrightunsigned(F.xxhash64(F.lit("lang"), "doc_id"), 11) + 0.5) / F.lit(float(1 << 53))
     share = F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(min(1.0, per_lang / counts[k]))) for k in langs))
-    sample = labelled.filter(draw < share[F.col("lang")]).select("lang", "text")
+    sample = labelled.filter(draw < share[F.col("lang")]).select("lang", F.xxhash64("doc_id", "text").alias("key"), "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(body).astype(np.float16).tobytes() for body in bodies(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], ["lang", "x"])
+            x = [features(body).astype(np.float16).tobytes() for body in bodies(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], ["lang", "key", "x"])
 
-    # ordered, so that the fit does not depend on which task ends first
-    rows = sample.mapInArrow(vectors, "lang string, x binary").orderBy("lang", "x").toArrow()
+    rows = sample.mapInArrow(vectors, "lang string, key long, x binary").toArrow()
     if not rows.num_rows:
         return LanguageModel(langs[:1], codewords(1), np.zeros((DIM, 0)), np.zeros(0), np.zeros(0), margin)
-    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float16).reshape(-1, DIM).astype(np.float32)
+    # put in order by a key, so that the fit does not depend on which task ends first
+    at, x = matrix(rows, "key", "x")
+    labels = np.array(rows["lang"].to_pylist(), object)[at]
+    del rows
     number = {k: i for i, k in enumerate(langs)}
-    own = np.array([number[k] for k in rows["lang"].to_pylist()])
+    own = np.array([number[k] for k in labels])
     code = codewords(len(langs))
     held = np.arange(len(x)) % 5 == 4
     scale = np.ones(code.shape[1], np.float32)
     if code.shape[1] and held.any() and not held.all():
-        w, b = _logistic(x[~held], code[own[~held]], steps // 2, 1e-5)
+        w, b = fitted(x, code[own], steps // 2, 1e-5, ~held)
         right = (np.sign(x[held] @ w + b) == code[own[held]]).mean(0)
         scale = np.clip(2 * right - 1, 0.05, 1).astype(np.float32)
-    w, b = _logistic(x, code[own], steps, 1e-5)
+    w, b = fitted(x, code[own], steps, 1e-5)
     return LanguageModel(langs, code, w, b, scale, margin)
 
 
@@ -146,7 +162,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, keep: list[str] | None
     row = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), F.col("text"), (has_letter if model else F.lit(False)).alias("letter"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = shared.value
+        model_ = shared.value
         for batch in batches:
             letter = np.array(batch.column(2).to_pylist(), bool)
             langs, score, unsure = np.full(len(letter), UND, object), np.zeros(len(letter)), np.zeros(len(letter), bool)
@@ -154,8 +170,8 @@ def predict(docs: DataFrame, model: LanguageModel | None, keep: list[str] | None
             at = np.flatnonzero(letter)
             for part in np.array_split(at, len(at) // 512 + 1):
                 if len(part):
-                    best, top, close = fitted.decode(np.stack([features(texts[i]) for i in part]))
-                    langs[part], score[part], unsure[part] = np.array(fitted.langs, object)[best], top, close
+                    best, top, close = model_.decode(np.stack([features(texts[i]) for i in part]))
+                    langs[part], score[part], unsure[part] = np.array(model_.langs, object)[best], top, close
             columns = [batch.column(0), pa.array(langs.tolist(), pa.string()), pa.array(score), pa.array(unsure)]
             yield pa.RecordBatch.from_arrays(columns, ["row", "lang_pred", "score", "ambiguous"])
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .langid import _logistic
+from .langid import fitted, matrix
 from .text import IS_WHITE, LOWER, WHITE, bodies, ngram_counts, words
 
 CHAR_DIM = WORD_DIM = 2048
@@ -95,7 +95,7 @@ def _calibrate(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 1e-3)), float(w[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 4000, steps: int = 150, threshold: float = 0.5) -> QualityModel | None:
+def train(docs: DataFrame, labels: DataFrame, most: int = 2500, steps: int = 150, threshold: float = 0.5) -> QualityModel | None:
     """Fit on about `most` labelled documents; None if there are not both kinds.
 
     The sample's ids are at most a fixed number, so joining by broadcasting them is bounded.
@@ -104,26 +104,29 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 4000, steps: int = 150
     n = rated.count()
     draw = (F.shiftrightunsigned(F.xxhash64(F.lit("quality"), "doc_id"), 11) + 0.5) / F.lit(float(1 << 53))
     chosen = rated.filter(draw < F.lit(min(1.0, most / max(1, n)))).groupBy("doc_id").agg(F.max("quality").alias("good")).limit(2 * most)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.col("text").isNotNull()).select("good", "text")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.col("text").isNotNull())
+    sample = sample.select("good", F.xxhash64("doc_id", "text").alias("key"), "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(b, words(b)[0]).astype(np.float16).tobytes() for b in bodies(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(x, pa.binary())], ["good", "x"])
+            x = [features(b, words(b)[0]).astype(np.float16).tobytes() for b in bodies(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), batch.column(1), pa.array(x, pa.binary())], ["good", "key", "x"])
 
-    rows = sample.mapInArrow(vectors, "good int, x binary").orderBy("x").limit(2 * most).toArrow()
-    y = np.array(rows["good"].to_pylist(), np.float32)
-    if not len(y) or y.min() == y.max():
+    rows = sample.mapInArrow(vectors, "good int, key long, x binary").toArrow()
+    if not rows.num_rows:
         return None
-    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float16).reshape(len(y), -1).astype(np.float32)
+    at, x = matrix(rows, "key", "x")
+    y = rows["good"].to_numpy().astype(np.float32)[at]
     del rows
+    if y.min() == y.max():
+        return None
     sign = (2 * y - 1)[:, None]
     fold = np.arange(len(y)) % 4 == 3
     slope, shift = 1.0, 0.0
     if len({*y[~fold]}) == 2 and len({*y[fold]}) == 2:
-        w, b = _logistic(x[~fold], sign[~fold], steps, 1e-5)
+        w, b = fitted(x, sign, steps, 1e-5, ~fold)
         slope, shift = _calibrate((x[fold] @ w + b)[:, 0], y[fold])
-    w, b = _logistic(x, sign, steps, 1e-5)
+    w, b = fitted(x, sign, steps, 1e-5)
     return QualityModel(w[:, 0], float(b[0]), slope, shift, threshold)
 
 
@@ -134,7 +137,7 @@ def judge(docs: DataFrame, model: QualityModel | None, keep: list[str] | None =
     row = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), docs["text"].alias("text"))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = shared.value
+        fit = shared.value
         for batch in batches:
             counts, p = [], np.ones(batch.num_rows)
             texts = bodies(batch.column(1))
@@ -143,13 +146,13 @@ def judge(docs: DataFrame, model: QualityModel | None, keep: list[str] | None =
                 for body in part:
                     hashes = words(body or b"")[0]
                     counts.append(base_counts(body or b"", hashes))
-                    if fitted:
+                    if fit:
                         x.append(features(body or b"", hashes))
-                if fitted:
-                    p[at : at + 512] = fitted.probability(np.stack(x))
+                if fit:
+                    p[at : at + 512] = fit.probability(np.stack(x))
             table = np.array(counts, np.int64).reshape(-1, len(BASE))
             failed = (table[:, 0] < 20) | (100 * table[:, 4] > 30 * table[:, 0])
-            kept = ~failed & (p >= (fitted.threshold if fitted else 0))
+            kept = ~failed & (p >= (fit.threshold if fit else 0))
             columns = [batch.column(0), *(pa.array(table[:, i]) for i in range(len(BASE))), pa.array(failed), pa.array(p), pa.array(kept)]
             yield pa.RecordBatch.from_arrays(columns, ["row", *BASE, "base_failed", "probability", "kept"])
 

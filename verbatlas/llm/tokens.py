@@ -16,7 +16,7 @@ _PARTS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
 class PieceEncoder:
     """ids(text) -> little-endian unsigned 32-bit ids, equal to the tokenizer's for the whole text."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most

@@ -100,11 +100,15 @@ def _of_surface(surface: Column) -> Callable[[str], Column]:
     return value
 
 
-def in_documents(docs: DataFrame, query: str, *keep: str) -> DataFrame:
-    """doc_id, any columns to keep, sentence_no, match_start, match_end over documents (doc_id, text)."""
+def in_documents(docs: DataFrame, query: str, *keep: str, payload: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """doc_id, any columns to keep, sentence_no, match_start, match_end over documents (doc_id, text).
+
+    payload makes a further column of the token array and the index of a match. It is made before matches become rows, so
+    no row carries a whole document.
+    """
     segments = _segments(query)
-    rows = docs.select("doc_id", *keep, X.tokens(F.col("text")).alias("all_tokens"))
     n, t = len(segments), F.col("all_tokens")
+    rows = docs.select("doc_id", *keep, X.tokens(F.col("text")).alias("all_tokens"))
 
     def fits(i: Column) -> Column:
         at = [F.get(t, i + k) for k in range(n)]
@@ -113,11 +117,13 @@ def in_documents(docs: DataFrame, query: str, *keep: str) -> DataFrame:
         own = reduce(lambda x, y: x & y, (_condition(segments[k], _of_surface(at[k]["surface"])) for k in order))
         return own & (at[0]["sentence_no"] == at[n - 1]["sentence_no"])
 
+    def hit(i: Column) -> Column:
+        more = [payload(t, i).alias("payload")] if payload else []
+        return F.struct(F.get(t, i)["sentence_no"].alias("sentence_no"), i.alias("match_start"), (i + n - 1).alias("match_end"), *more)
+
     starts = F.filter(F.sequence(F.lit(0), F.size(t) - n), fits)
-    hits = rows.filter(F.size(t) >= n).select("doc_id", *keep, F.explode(starts).alias("match_start"), "all_tokens")
-    return hits.select(
-        "doc_id", *keep, F.get("all_tokens", F.col("match_start"))["sentence_no"].alias("sentence_no"), "match_start", (F.col("match_start") + n - 1).alias("match_end")
-    )
+    hits = rows.filter(F.size(t) >= n).select("doc_id", *keep, F.explode(F.transform(starts, hit)).alias("hit"))
+    return hits.select("doc_id", *keep, "hit.*")
 
 
 def _of_row(value: Callable[[str], Column]) -> Callable[[str], Column]:

@@ -26,12 +26,13 @@ def span_lines(docs: DataFrame, query: str) -> DataFrame:
     Tokens stay in their document's row, so lines are cut without a join.
     """
     n = len(cql.parse(query))
-    with_tokens = docs.withColumn("tokens", X.tokens(F.col("text")))
-    hits = cql.in_documents(with_tokens, query, "tokens")
-    same = F.filter("tokens", lambda t: t["sentence_no"] == F.col("sentence_no"))
-    first = F.size(F.filter("tokens", lambda t: t["sentence_no"] < F.col("sentence_no")))
-    rows = hits.select("doc_id", "sentence_no", "match_start", same["surface"].alias("s"), (F.col("match_start") - first).alias("at"))
-    return rows.select(
+
+    def sentence(tokens: Column, i: Column) -> Column:
+        first = F.get(tokens, i)
+        return F.struct(F.slice(tokens, i - first["place"] + 1, first["size"])["surface"].alias("s"), first["place"].alias("at"))
+
+    hits = cql.in_documents(docs, query, payload=sentence).select("doc_id", "sentence_no", "match_start", "payload.*")
+    return hits.select(
         F.concat_ws("_", "doc_id", "sentence_no", "match_start").alias("match_id"),
         "doc_id",
         "sentence_no",

@@ -61,22 +61,20 @@ def first_match(left: DataFrame, right: DataFrame, key: str, order: list[str], *
     return left.join(first, key, "left").select(left["*"], *[F.col(f"first.{c}") for c in columns])
 
 
-def duplicates(df: DataFrame, value: str, key: str, flag: Column) -> DataFrame:
-    """Add dup_count (1 for a null value), dup_ids without the row's own, and any_flag over equal values.
+def duplicates(df: DataFrame, value: str, flag: Column) -> DataFrame:
+    """Add dup_count (rows with an equal value, 1 for null) and any_flag over them.
 
-    Groups are summed up by value and joined back, so that equal values need not meet in one task; only the ids
-    of a group are listed, as they are the answer.
+    Groups are summed up by value on the map side and joined back, so that equal values need not meet in one task.
     """
-    groups = df.filter(F.col(value).isNotNull()).groupBy(value).agg(
-        F.count("*").alias("dup_count"), F.array_sort(F.collect_list(key)).alias("ids"), F.max(flag).alias("any_flag")
-    )
+    groups = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("dup_count"), F.max(flag).alias("any_flag"))
     out = df.join(groups, value, "left")
-    return out.select(
-        df["*"],
-        F.coalesce("dup_count", F.lit(1)).alias("dup_count"),
-        F.coalesce(F.array_remove(F.col("ids"), F.col(key)), F.array().cast(df.select(F.array(key)).schema[0].dataType)).alias("dup_ids"),
-        F.coalesce("any_flag", flag).alias("any_flag"),
-    )
+    return out.select(df["*"], F.coalesce("dup_count", F.lit(1)).alias("dup_count"), F.coalesce("any_flag", flag).alias("any_flag"))
+
+
+def duplicate_members(df: DataFrame, value: str, key: str) -> DataFrame:
+    """(value, key) of all rows whose value another row has, too: the ids beside a row's own are those of its value."""
+    repeated = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("rows")).filter("rows > 1")
+    return df.select(value, key).join(repeated.select(value), value, "left_semi")
 
 
 def top_per_group(df: DataFrame, group: str, order: list, k: int) -> DataFrame:
