@@ -579,6 +579,9 @@ def test_digest_index_confirms_strings(tmp_path, spark):
     for host, path in (("a.b.c", "/x//y/"), ("a", ""), ("", "/q"), ("é.net", "/ü")):
         row = spark.createDataFrame([(host, path)], "h string, p string")
         assert sorted(row.select(urlfilter.candidate_entries(F.col("h"), F.col("p"))).first()[0]) == sorted(urlfilter.candidates(host, path))
+    assert urlfilter.extent(["a.b/c/d", "net", "x.y.z"]) == (3, 2) and urlfilter.extent([]) == (0, 0)
+    assert urlfilter.candidates("a.b.c.d", "/x/y/z", 2, 1) == ["c.d", "d", "c.d/x", "d/x"]
+    assert len(urlfilter.candidates("a." * 5000 + "net", "/b" * 5000, 3, 2)) == 9
     joined = urlfilter.blocked_by_join(pages, spark.createDataFrame([(e,) for e in entries], "entry string"), "page_id")
     assert {r["page_id"]: r["listed"] for r in joined.collect()} == {1: True, 2: False}
 

@@ -101,16 +101,18 @@ def plan_slots(histogram: dict[int, int], capacity: int) -> list[tuple[int, int,
     return plan
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, cells: int = 64) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096, min_cells: int = 64, rows_per_cell: int = 100_000) -> DataFrame:
     """Add sequence_id and offset to a table of pieces (doc_id, piece, length and any others).
 
     The driver sees one row per length. The plan has at most a few rows per length and open gap, so its size is
-    bounded by the capacity, not by the documents.
+    bounded by the capacity, not by the documents. pieces is read several times, so it should be a table. A
+    length has as many cells as the most frequent one needs to hold about rows_per_cell rows in each.
     """
     spark = pieces.sparkSession
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    cells = max(min_cells, -(-max(histogram.values(), default=0) // rows_per_cell))
     celled = pieces.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(cells)))
     counts = materialize(celled.groupBy("length", "cell").agg(F.count("*").alias("n")), "pack-lengths")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     # (length, ranks from..to, first sequence, pieces side by side, offset), dealt to chunks of ranks
     rows, planned = plan_slots(histogram, capacity), []
     for k, (length, rank, *slot) in enumerate(rows):
