@@ -80,6 +80,13 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES, BLOCK_LIST)
 
 
+def op9_site_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on all pages' URLs, with the unwanted sites blocked on all domains that pages has."""
+    from .urlfilter import RULES, SITES, judge_sites
+
+    return judge_sites(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES, SITES)
+
+
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language-model scores of all documents."""
     from .lm import score_documents
@@ -105,6 +112,7 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_sharding": op8_sharding,
     "op9_url_filter": op9_url_filter,
+    "op9_site_filter": op9_site_filter,
     "op10_lm_scores": op10_lm_scores,
 }
 #: The mix in SQL: the same targets by water level, the same keys, a plain sort of each source.
@@ -148,4 +156,20 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'example.org/en/1',
   WHEN EXISTS (SELECT 1 FROM listed WHERE host = entry OR ends_with(host, '.' || entry)) THEN 'block' ELSE 'allow' END AS verdict FROM fitted
 """
 
-ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op9_url_filter": OP9_SQL}
+#: The same rules, and sites by a label of the host.
+OP9_SITES_SQL = r"""
+WITH parsed AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+fitted AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM parsed)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'example.org/en/1', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN list_has_any(string_split(host, '.'), ['adult-x', 'ads-track', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) THEN 'block' ELSE 'allow' END AS verdict FROM fitted
+"""
+
+ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op9_url_filter": OP9_SQL, "op9_site_filter": OP9_SITES_SQL}
