@@ -78,6 +78,18 @@ def null_safe_match(spark, d):
     return a.join(b, a["v"].eqNullSafe(b["w"]) & (a["p_partkey"] % 10 == b["s_suppkey"] % 10)).select("p_partkey", "s_suppkey", "v")
 
 
+@query(
+    """WITH a AS (SELECT CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_size % 4 END AS v FROM part),
+    b AS (SELECT CASE WHEN s_nationkey % 4 = 0 THEN NULL ELSE s_nationkey % 4 END AS v FROM supplier)
+    SELECT a.v, count(*) AS pairs FROM a JOIN b ON a.v IS NOT DISTINCT FROM b.v GROUP BY a.v"""
+)
+def null_safe_counts(spark, d):
+    """The pairs of whole tables per matching value, null among them; each side is counted before they meet."""
+    a = table(spark, d, "part").groupBy(F.nullif(F.col("p_size") % 4, F.lit(0)).alias("v")).agg(F.count("*").alias("parts"))
+    b = table(spark, d, "supplier").groupBy(F.nullif(F.col("s_nationkey") % 4, F.lit(0)).alias("w")).agg(F.count("*").alias("suppliers"))
+    return a.join(b, a["v"].eqNullSafe(b["w"])).select("v", (F.col("parts") * F.col("suppliers")).alias("pairs"))
+
+
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 350000)")
 def anti_done(spark, d):
     done = table(spark, d, "orders").filter("o_totalprice > 350000").select(F.col("o_custkey").alias("c_custkey"))
