@@ -289,6 +289,11 @@ def sym_neighbors(spark, d):
     return graph.undirected(_edges(spark, d)).filter("node < 100")
 
 
+@query(f"WITH {_EDGES} SELECT source AS node, target AS other, type FROM edges UNION ALL SELECT target, source, type FROM edges WHERE source <> target")
+def sym_neighbors_all(spark, d):
+    return graph.undirected(_edges(spark, d))
+
+
 @query(f"WITH {_EDGES} SELECT source AS node, target AS other, type, 'out' AS direction FROM edges WHERE source = 7 UNION ALL SELECT target, source, type, 'in' FROM edges WHERE target = 7")
 def dir_neighbors(spark, d):
     return graph.directed(_edges(spark, d)).filter("node = 7")
@@ -306,6 +311,28 @@ def two_hop(spark, d):
     return graph.two_hops(_edges(spark, d), roots, 4)
 
 
+@query(
+    f"""WITH {_EDGES}, near AS (SELECT DISTINCT * FROM (SELECT source AS node, target AS other FROM edges UNION ALL SELECT target, source FROM edges) WHERE node <> other),
+    lvl1 AS (SELECT node AS root, other AS parent FROM near WHERE node % 100 = 50 AND node IN (SELECT p_partkey FROM part)),
+    lvl2 AS (SELECT root, min(parent) AS parent, other AS child FROM lvl1 JOIN near ON node = parent WHERE other <> root GROUP BY root, other),
+    fresh AS (SELECT * FROM lvl2 WHERE NOT EXISTS (SELECT 1 FROM lvl1 WHERE lvl1.root = lvl2.root AND lvl1.parent = lvl2.child))
+    SELECT root, parent, child FROM (SELECT *, row_number() OVER (PARTITION BY root, parent ORDER BY child) AS rn FROM fresh) WHERE rn <= 4"""
+)
+def two_hop_set(spark, d):
+    """From every hundredth part: a query set that grows with the table."""
+    roots = table(spark, d, "part").filter("p_partkey % 100 = 50").select(F.col("p_partkey").alias("root"))
+    return graph.two_hops(_edges(spark, d), roots, 4)
+
+
+@query(
+    f"""WITH {_EDGES}, old AS (SELECT DISTINCT source, target FROM edges WHERE type = 'A'), new AS (SELECT DISTINCT source, target FROM edges WHERE type = 'R' AND source <> target)
+    SELECT source, target, 'add' AS action FROM (SELECT * FROM new EXCEPT SELECT * FROM old) UNION ALL SELECT source, target, 'remove' FROM (SELECT * FROM old EXCEPT SELECT * FROM new)"""
+)
+def edge_diff_all(spark, d):
+    edges = _edges(spark, d)
+    return graph.changes(edges.filter("type = 'A'"), edges.filter("type = 'R' AND source <> target"), ["source", "target"])
+
+
 @query(
     f"""WITH {_EDGES}, old AS (SELECT DISTINCT source, target FROM edges WHERE type = 'A' AND source < 300), new AS (SELECT DISTINCT source, target FROM edges WHERE type = 'R' AND source < 300 AND source <> target)
     SELECT source, target, 'add' AS action FROM (SELECT * FROM new EXCEPT SELECT * FROM old) UNION ALL SELECT source, target, 'remove' FROM (SELECT * FROM old EXCEPT SELECT * FROM new)"""
