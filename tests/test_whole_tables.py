@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from verbatlas.operators import lexicon
 from verbatlas.plans import catalog
 
 SF = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name", ["null_safe_counts", "sym_neighbors_all", "two_hop_set", "edge_diff_all"])
+@pytest.mark.parametrize("name", ["null_safe_counts", "multi_sort_all", "sym_neighbors_all", "two_hop_set", "edge_diff_all"])
 def test_whole_tables(spark, name):
     con = duckdb.connect()
     for t in ("part", "supplier", "nation", "lineitem"):
@@ -19,7 +21,17 @@ def test_whole_tables(spark, name):
     got = [tuple(r) for r in df.collect()]
     want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalog.ORACLES[name]})").fetchall()
     assert sorted(map(repr, got)) == sorted(map(repr, want))
+    if name == "multi_sort_all":
+        assert len(got) == con.execute("SELECT count(*) FROM supplier").fetchone()[0] > 30
     if name == "edge_diff_all":
         assert max(r[0] for r in got) > 300
     if name == "sym_neighbors_all":
         assert max(r[0] for r in got) > 100
+
+
+def test_places_with_nulls_and_ties(spark):
+    rows = [(i, None if i % 7 == 0 else "ab"[i % 2], None if i % 5 == 0 else (i * 37 % 50) / 4) for i in range(200)]
+    df = spark.createDataFrame(rows, "key long, name string, amount double")
+    order = sorted(rows, key=lambda r: (r[1] is None, r[1] or "", r[2] is None, -(r[2] or 0), r[0]))
+    got = lexicon.placed(df, "name", "amount", "key", 3).orderBy(F.col("place")).collect()
+    assert [tuple(r) for r in got] == [(*r, i + 1) for i, r in enumerate(order)]

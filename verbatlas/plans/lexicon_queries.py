@@ -211,6 +211,16 @@ def multi_sort(spark, d):
     return top.withColumn("place", F.row_number().over(Window.orderBy("n_name", F.desc("s_acctbal"), "s_suppkey")))
 
 
+@query(
+    """SELECT s_suppkey, s_acctbal, n_name, row_number() OVER (ORDER BY n_name, s_acctbal DESC, s_suppkey) AS place
+    FROM supplier JOIN nation ON n_nationkey = s_nationkey"""
+)
+def multi_sort_all(spark, d):
+    """All rows with their places in the order of multi_sort."""
+    rows = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    return lexicon.placed(rows.select("s_suppkey", "s_acctbal", "n_name"), "n_name", "s_acctbal", "s_suppkey", 100)
+
+
 @query(
     """SELECT c_custkey, c_name, count(o_orderkey) AS orders FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 20 OFFSET 40)
     LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2"""
