@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ def tokens(docs):
 
 
 def test_positions(docs):
-    rows = corpus.positions(corpus.token_table(docs)).filter("doc_id = 1").orderBy("token_index").collect()
+    rows = corpus.positions(docs).filter("doc_id = 1").orderBy("token_index").collect()
     assert [r["token_index"] for r in rows] == list(range(10))
     assert [r["word_index"] for r in rows] == [0, 1, 2, 3, -1, 4, 5, 6, 7, -1]
     assert [r["sentence_no"] for r in rows] == [0] * 5 + [1] * 5
@@ -43,37 +44,54 @@ def test_tag_rules(spark, word, pos, lemma):
     assert (row["p"], row["l"]) == (pos, lemma)
 
 
-def test_cql_grammar():
-    q = cql.parse('[pos="ADJ" & feats_gender="masc"] [lemma!="dom"]')
-    assert [[(a.name, a.operator, a.value) for a in s.attributes] for s in q] == [[("pos", "=", "ADJ"), ("feats_gender", "=", "masc")], [("lemma", "!=", "dom")]]
-    assert cql.parse("  ") == []
-    for bad in ("[pos=ADJ]", '[pos="ADJ"] x', 'x [pos="ADJ"]', "abc", '[a="1"|b="2"]', "[]", '[a="]"]'):
-        with pytest.raises(cql.CqlError):
-            cql.parse(bad)
-    with pytest.raises(cql.CqlError, match="empty"):
-        cql._segments("")
+T = cql.token
+PATTERNS = [
+    [T(pos="ADJ"), T(lemma="d")],
+    [T(pos="ADV"), T(pos="PUNCT")],
+    [T(surface="veliky"), T(surface="Profesori")],
+    [T(surface="DOM")],
+    [T().but(pos="X")],
+    [T(number="sg", pos="NOUN")],
+    [T().but(case="dat"), T(pos="X")],
+    [T(), T(pos="PUNCT")],
+]
 
 
-QUERIES = ['[pos="ADJ"] [lemma="d"]', '[pos="ADV"] [pos="PUNCT"]', '[surfaceForm="veliky"] [surfaceForm="Profesori"]', '[surfaceForm="DOM"]', '[pos!="X"]', '[number="sg" & pos="NOUN"]', '[case!="dat"] [pos="X"]']
-
-
-@pytest.mark.parametrize("query", QUERIES)
-def test_plans_agree(docs, tokens, query):
+@pytest.mark.parametrize("pattern", PATTERNS)
+def test_plans_agree(docs, tokens, pattern):
     feats = F.to_json(F.str_to_map("feats", F.lit("\\|"), F.lit("=")))
     table = tokens.withColumn("feats", F.when(F.col("feats") == "", "{}").otherwise(feats))
-    lead = {tuple(r) for r in cql.by_lead(table, query, ["doc_id", "sentence_no"]).collect()}
-    join = {tuple(r) for r in cql.by_join(table, query, ["doc_id", "sentence_no"]).collect()}
-    array = {tuple(r) for r in cql.in_documents(docs, query).collect()}
+    lead = {tuple(r) for r in cql.by_lead(table, pattern, ["doc_id", "sentence_no"]).collect()}
+    join = {tuple(r) for r in cql.by_join(table, pattern, ["doc_id", "sentence_no"]).collect()}
+    array = {tuple(r) for r in cql.in_documents(docs, pattern).collect()}
     assert lead == join == array
 
 
 def test_matches(docs):
     found = lambda q: {tuple(r)[2:] for r in cql.in_documents(docs, q).filter("doc_id = 1").collect()}
-    assert found(QUERIES[0]) == {(0, 1)} and found(QUERIES[1]) == {(8, 9)} and found(QUERIES[2]) == set() and found(QUERIES[3]) == {(1, 1)}
+    assert found(PATTERNS[0]) == {(0, 1)} and found(PATTERNS[1]) == {(8, 9)} and found(PATTERNS[2]) == set() and found(PATTERNS[3]) == {(1, 1)}
+    with pytest.raises(ValueError):
+        cql.in_documents(docs, [])
+
+
+def test_sentences_are_cut_into_tokens_once(docs):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all")
+    assert plan(corpus.token_table(docs)) == plan(corpus.positions(docs)) == 1
+    assert [plan(cql.in_documents(docs, p)) for p in PATTERNS] == [1] * len(PATTERNS)
+    assert plan(kwic.span_lines(docs, PATTERNS[0])) == 1
+    assert plan(corpus.document_metrics(docs, docs.sparkSession.createDataFrame([("tam",)], "slug string"))) == 1
+
+
+def test_ranges_hold_the_letters_of_both_cases(spark):
+    rows = spark.createDataFrame(pd.DataFrame({"t": [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]}))
+    folded = rf"(?iu)[{X.WORD_CLASS}]"
+    assert rows.filter(F.col("t").rlike(folded) != X.is_word(F.col("t"))).count() == 0
+    letters = r"(?iu)[^a-zа-яёѕєіјљњћџѫѭѣžčšě]"
+    assert rows.filter(F.regexp_replace(F.lower("t"), letters, "") != X.clean(F.col("t"))).count() == 0
 
 
 def test_pages(docs):
-    matches = cql.in_documents(docs, '[pos!="NONE"]')
+    matches = cql.in_documents(docs, [T().but(pos="NONE")])
     first = cql.page(matches, ["doc_id", "match_start"], 1, 4).collect()
     assert len(first) == 4 and all(r["has_more"] for r in first)
     last = cql.page(matches, ["doc_id", "match_start"], 5, 4).collect()
@@ -82,7 +100,7 @@ def test_pages(docs):
 
 
 def test_lines(docs):
-    line = kwic.span_lines(docs, QUERIES[0]).first()
+    line = kwic.span_lines(docs, PATTERNS[0]).first()
     assert (line["left_context"], line["keyword"], line["right_context"], line["match_id"]) == ("", "Drugi dom", "byl veliky.", "1_0_0")
     lines = [r for r in kwic.lemma_lines(docs, "d").collect() if r["doc_id"] == 2]
     assert [(r["left_context"], r["right_context"]) for r in lines] == [("", "i dom."), ("", "i dom.")] and lines[0]["total"] == 3

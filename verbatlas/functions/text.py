@@ -5,17 +5,26 @@ All of them are built-in expressions on one row, so a document becomes tokens wi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The letters of a word beside ASCII letters, digits and underscore.
 LETTERS = "а-яёѕєіјљњћџѫѭѣžčšěŽČŠĚ"
 WORD_CLASS = r"\w" + LETTERS
-TOKEN = rf"(?iu)[{WORD_CLASS}]+|[^\s{WORD_CLASS}]+"
+#: The same class in both cases as ranges, so that a character is tested against few bounds and no case is folded.
+WORD_RANGES = r"0-9A-Za-z_Č-čĚ-ěŠ-šŽ-žЁЄ-ІЈ-ЋЏ-яёє-іј-ћџѢѣѪ-ѭ\x{1C80}-\x{1C87}"
+TOKEN = rf"[{WORD_RANGES}]+|[^\s{WORD_RANGES}]+"
 SEGMENT_BREAK = r"\n\s*\n"
 SENTENCE_BREAK = r"(?<=[.!?])\s+"
 
 
+def named(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value made once: inside body it is a variable, which the optimizer never writes out again."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trimmed(text: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")
@@ -44,26 +53,29 @@ def surfaces(sentence: Column) -> Column:
 def tokens(text: Column) -> Column:
     """array<struct<segment, sentence_no, place, size, surface>>: a token's place in the array is its index in the document.
 
-    place is its index in the sentence, size the sentence's number of tokens.
+    place is its index in the sentence, size the sentence's number of tokens. A sentence is cut into tokens once.
     """
 
     def of(sentence: Column, number: Column) -> Column:
-        parts = surfaces(sentence["sentence"])
-        return F.transform(
-            parts,
-            lambda t, i: F.struct(sentence["segment"].alias("segment"), number.alias("sentence_no"), i.alias("place"), F.size(parts).alias("size"), t.alias("surface")),
-        )
+        def rows(parts: Column) -> Column:
+            return F.transform(
+                parts,
+                lambda t, i: F.struct(sentence["segment"].alias("segment"), number.alias("sentence_no"), i.alias("place"), F.size(parts).alias("size"), t.alias("surface")),
+            )
+
+        return named(surfaces(sentence["sentence"]), rows)
 
     return F.flatten(F.transform(sentences(text), of))
 
 
 def is_word(surface: Column) -> Column:
-    return surface.rlike(rf"(?iu)[{WORD_CLASS}]")
+    """Whether there is a word character."""
+    return surface.rlike(rf"[{WORD_RANGES}]")
 
 
 def clean(surface: Column) -> Column:
     """Lower case, without what is no letter of the tagger's alphabet (digits go, too)."""
-    return F.regexp_replace(F.lower(surface), r"(?iu)[^a-zа-яёѕєіјљњћџѫѭѣžčšě]", "")
+    return F.regexp_replace(F.lower(surface), r"[^a-zčěšžıſа-яёѕєіјљњћџѫѭѣ\x{1C80}-\x{1C87}]", "")
 
 
 #: Fixed values, first fit wins: ending, least length, part of speech, letters cut for the lemma, features.
@@ -82,10 +94,7 @@ SUFFIX_RULES = [
 
 
 def analysis(surface: Column) -> Column:
-    """struct<lemma, pos, feats> by ordered suffix rules: a lemma is the word without a few letters, if any are left.
-
-    The cleaned word is named once (a lambda over an array of one), so it is not made again for every rule.
-    """
+    """struct<lemma, pos, feats> by ordered suffix rules: a lemma is the word without a few letters, if any are left."""
 
     def row(lemma: Column, pos: str, feats: str) -> Column:
         return F.struct(lemma.alias("lemma"), F.lit(pos).alias("pos"), F.lit(feats).alias("feats"))
@@ -97,7 +106,7 @@ def analysis(surface: Column) -> Column:
             chain = chain.when(F.endswith(word, F.lit(ending)) & (F.length(word) >= least), row(lemma, pos, feats))
         return chain.otherwise(row(word, "X", ""))
 
-    return F.when(is_word(surface), F.get(F.transform(F.array(clean(surface)), of), F.lit(0))).otherwise(row(surface, "PUNCT", ""))
+    return F.when(is_word(surface), named(clean(surface), of)).otherwise(row(surface, "PUNCT", ""))
 
 
 def pos_of(surface: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbatlas.functions import text as X
@@ -25,12 +25,24 @@ def token_table(docs: DataFrame, *keep: str) -> DataFrame:
     return rows.select("doc_id", *keep, "token_index", "t.segment", "t.sentence_no", "t.surface")
 
 
-def positions(tokens: DataFrame) -> DataFrame:
-    """Add word_index: the number of words before in the document, -1 for punctuation."""
-    upto = Window.partitionBy("doc_id").orderBy("token_index").rowsBetween(Window.unboundedPreceding, 0)
-    word = X.is_word(F.col("surface"))
-    count = F.sum(word.cast("int")).over(upto) - 1
-    return tokens.withColumn("word_index", F.when(word, count).otherwise(-1).cast("int"))
+def positions(docs: DataFrame, *keep: str) -> DataFrame:
+    """The token table with word_index: the number of words before in the document, -1 for punctuation.
+
+    Words and the rest are numbered as two arrays in the document's row, so nothing is shuffled or sorted.
+    """
+
+    def numbered(tokens: Column) -> Column:
+        placed = F.transform(tokens, lambda t, i: F.struct(i.alias("token_index"), t["segment"], t["sentence_no"], t["surface"], X.is_word(t["surface"]).alias("word")))
+
+        def both(p: Column) -> Column:
+            words = F.transform(F.filter(p, lambda t: t["word"]), lambda t, i: F.struct(t.alias("t"), i.alias("word_index")))
+            others = F.transform(F.filter(p, lambda t: ~t["word"]), lambda t: F.struct(t.alias("t"), F.lit(-1).alias("word_index")))
+            return F.concat(words, others)
+
+        return X.named(placed, both)
+
+    rows = docs.select("doc_id", *keep, F.explode(X.named(X.tokens(F.col("text")), numbered)).alias("n"))
+    return rows.select("doc_id", *keep, "n.t.token_index", "n.t.segment", "n.t.sentence_no", "n.t.surface", "n.word_index")
 
 
 def tagged(tokens: DataFrame) -> DataFrame:
@@ -138,34 +150,32 @@ def usage_levels(by_genre: DataFrame, marks: DataFrame) -> DataFrame:
 def document_metrics(docs: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, tokens, words, sentences, oov_rate, punct_density, space_words.
 
-    A word is out of vocabulary if the tagger says X and it is not known. Words are summed per document before
-    they are matched, and a document's counts meet again by its id.
+    A word is out of vocabulary if the tagger says X and it is not known. A document is read once: its counts are made in
+    its row, and only the words tagged X become rows, of which the first carries the counts. Rows of one doc_id are one document.
     """
-    s = F.col("surface")
-    tokens = token_table(docs)
-    per_word = tokens.groupBy("doc_id", F.lower("surface").alias("slug")).agg(
-        F.count("*").alias("tokens"),
-        F.count_if(X.is_word(s)).alias("words"),
-        F.count_if(X.is_word(s) & (X.pos_of(s) == "X")).alias("x_words"),
-        F.max("sentence_no").alias("last"),
-    )
+    words = lambda t: F.filter(t, lambda x: X.is_word(x))
+    tokens = F.transform(X.tokens(F.col("text")), lambda t: F.struct(t["surface"].alias("surface"), t["sentence_no"].alias("sentence_no")))
+
+    def counted(t: Column) -> Column:
+        def of(w: Column) -> Column:
+            unsure = F.transform(F.filter(w, lambda x: X.pos_of(x) == "X"), lambda x: F.lower(x))
+            last = F.coalesce(F.get(t, F.size(t) - 1)["sentence_no"] + 1, F.lit(0))
+            return F.struct(F.size(t).alias("tokens"), F.size(w).alias("words"), last.alias("sentences"), unsure.alias("unsure"))
+
+        return X.named(words(t["surface"]), of)
+
+    spaced = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    rows = docs.select("doc_id", X.named(tokens, counted).alias("c"), spaced.alias("space_words"))
+    rows = rows.select("doc_id", "c.tokens", "c.words", "c.sentences", "space_words", F.posexplode_outer("c.unsure").alias("at", "slug"))
     flagged = known.withColumn("known", F.lit(True))
-    summed = (
-        per_word.join(flagged, "slug", "left")
-        .groupBy("doc_id")
-        .agg(
-            F.sum("tokens").alias("tokens"),
-            F.sum("words").alias("words"),
-            (F.max("last") + 1).cast("long").alias("sentences"),
-            F.sum(F.when(F.col("known").isNull(), F.col("x_words")).otherwise(0)).alias("oov"),
-        )
-    )
-    spaced = docs.select("doc_id", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).cast("long").alias("space_words"))
+    first = F.coalesce(F.col("at"), F.lit(0)) == 0
+    once = lambda c: F.coalesce(F.sum(F.when(first, F.greatest(F.col(c), F.lit(0)))), F.lit(0)).cast("long").alias(c)
+    oov = F.count_if(F.col("slug").isNotNull() & F.col("known").isNull()).alias("oov")
+    out = rows.join(flagged, "slug", "left").groupBy("doc_id").agg(*map(once, ("tokens", "words", "sentences", "space_words")), oov)
     percent = lambda a, b: F.when(b > 0, F.floor(100 * a / b + 0.5)).otherwise(0)
-    out = spaced.join(summed, "doc_id", "left").na.fill(0)
-    words, all_ = F.col("words"), F.col("tokens")
+    words_, all_ = F.col("words"), F.col("tokens")
     return out.select(
-        "doc_id", "tokens", "words", "sentences", percent(F.col("oov"), words).alias("oov_rate"), percent(all_ - words, all_).alias("punct_density"), "space_words"
+        "doc_id", "tokens", "words", "sentences", percent(F.col("oov"), words_).alias("oov_rate"), percent(all_ - words_, all_).alias("punct_density"), "space_words"
     )
 
 

@@ -1,15 +1,15 @@
-"""A small corpus query language: bracketed token conditions, one after the other.
+"""Token sequences in a corpus: conditions on neighbouring tokens, given as data.
 
-query := segment+ ; segment := '[' attribute ('&' attribute)* ']' ; attribute := name ('=' | '!=') '"' value '"'
+A pattern is a list of segments, one for each token in a row; a segment is a list of tests that its token has to pass.
+`token(surface="the")`, `token(pos="ADJ", number="sg")` and `token().but(pos="PUNCT")` make segments.
 
-Conditions become Column predicates. Three plans give the same matches: `in_documents` works on a document's
+Tests become Column predicates. Three plans give the same matches: `in_documents` works on a document's
 array of tokens, so nothing is shuffled; `by_lead` sorts a token table once for any number of segments;
 `by_join` joins it to itself, which pays where the first segment is rare.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -19,142 +19,120 @@ from pyspark.sql import functions as F
 
 from verbatlas.functions import text as X
 
-
-class CqlError(ValueError):
-    """The query can't be read."""
+#: Columns that compare without regard to case; any other name is a key of the features.
+COLUMNS = ("surface", "lemma", "pos")
 
 
 @dataclass(frozen=True)
-class Attribute:
+class Test:
     name: str
-    operator: str
     value: str
+    equal: bool = True
 
 
 @dataclass(frozen=True)
 class Segment:
-    attributes: tuple[Attribute, ...]
+    """The tests of one token; without any, every token fits."""
 
+    tests: tuple[Test, ...] = ()
+
+    def but(self, **values: str) -> Segment:
+        """The segment, where the named values must differ."""
+        return Segment(self.tests + tuple(Test(n, v, False) for n, v in values.items()))
 
-_BRACKETS = re.compile(r"\[([^\]]*)\]")
-_ATTRIBUTE = re.compile(r'([A-Za-z_][A-Za-z0-9_]*)\s*(!=|=)\s*"([^"]*)"')
-#: Columns that compare without regard to case; any other name is a key of the features.
-COLUMNS = ("lemma", "pos", "surfaceForm")
-
-
-def parse(query: str) -> list[Segment]:
-    """Segments of a query; a blank one has none. Splitting is textual: ] and & can't be in a value."""
-    query = query.strip()
-    found, at = [], 0
-    if not query:
-        return found
-    for m in _BRACKETS.finditer(query):
-        between = query[at : m.start()].strip()
-        if between:
-            raise CqlError(f'Unexpected token "{between}" outside of brackets')
-        attributes = []
-        for part in m[1].split("&"):
-            a = _ATTRIBUTE.fullmatch(part.strip())
-            if not a:
-                raise CqlError(f'Invalid attribute "{part.strip()}"')
-            attributes.append(Attribute(*a.groups()))
-        found.append(Segment(tuple(attributes)))
-        at = m.end()
-    rest = query[at:].strip()
-    if rest:
-        raise CqlError(f'Trailing garbage "{rest}"')
-    return found
-
-
-def _segments(query: str) -> list[Segment]:
-    segments = parse(query)
-    if not segments:
-        raise CqlError("Cannot translate an empty CQL query.")
-    return segments
+
+Pattern = list[Segment]
+
+
+def token(**values: str) -> Segment:
+    """A token with these values of surface, lemma, pos or features."""
+    return Segment(tuple(Test(n, v) for n, v in values.items()))
 
 
 def _condition(segment: Segment, value: Callable[[str], Column]) -> Column:
-    """value gives a token's lemma, pos, surfaceForm or the feature of another name; a missing feature fits nothing."""
+    """value gives a token's lemma, pos, surface or the feature of another name; a missing feature fits nothing."""
+
+    def one(t: Test) -> Column:
+        have, want = value(t.name), t.value
+        if t.name in COLUMNS:
+            have, want = F.lower(have), want.lower()
+        return have == want if t.equal else have != want
 
-    def one(a: Attribute) -> Column:
-        have = value(a.name)
-        if a.name in COLUMNS:
-            have, want = F.lower(have), a.value.lower()
-        else:
-            want = a.value
-        return have != want if a.operator == "!=" else have == want
+    return reduce(lambda x, y: x & y, map(one, segment.tests), F.lit(True))
 
-    return reduce(lambda x, y: x & y, map(one, segment.attributes))
 
+def _of_token(segment: Segment, surface: Column) -> Column:
+    """The segment's tests on a surface form. Tests of the surface itself come first; the analysis is made once, and only for what they leave."""
+    cheap = Segment(tuple(t for t in segment.tests if t.name == "surface"))
+    rest = Segment(tuple(t for t in segment.tests if t.name != "surface"))
+    own = _condition(cheap, lambda _: surface)
+    if not rest.tests:
+        return own
 
-def _of_surface(surface: Column) -> Callable[[str], Column]:
-    def value(name: str) -> Column:
-        if name == "surfaceForm":
-            return surface
-        if name == "lemma":
-            return X.lemma_of(surface)
-        if name == "pos":
-            return X.pos_of(surface)
-        return F.str_to_map(X.feats_of(surface), F.lit("\\|"), F.lit("="))[name]
+    def analysed(a: Column) -> Column:
+        return _condition(rest, lambda name: a[name] if name in COLUMNS else F.str_to_map(a["feats"], F.lit("\\|"), F.lit("="))[name])
 
-    return value
+    return own & X.named(X.analysis(surface), analysed)
 
 
-def in_documents(docs: DataFrame, query: str, *keep: str, payload: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def in_documents(docs: DataFrame, pattern: Pattern, *keep: str, payload: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """doc_id, any columns to keep, sentence_no, match_start, match_end over documents (doc_id, text).
 
     payload makes a further column of the token array and the index of a match. It is made before matches become rows, so
-    no row carries a whole document.
+    no row carries a whole document. Documents without a surface form that the pattern asks for are dropped before they are cut into tokens.
     """
-    segments = _segments(query)
-    n, t = len(segments), F.col("all_tokens")
+    n, t = len(pattern), F.col("all_tokens")
+    if not n:
+        raise ValueError("a pattern needs a segment")
+    # only ASCII: the lower case of other letters may depend on what stands beside them
+    asked = {x.value.lower() for s in pattern for x in s.tests if x.name == "surface" and x.equal and x.value.isascii()}
+    for word in sorted(asked):
+        docs = docs.filter(F.contains(F.lower("text"), F.lit(word)))
     rows = docs.select("doc_id", *keep, X.tokens(F.col("text")).alias("all_tokens"))
 
     def fits(i: Column) -> Column:
         at = [F.get(t, i + k) for k in range(n)]
-        # surface conditions first: they are cheap and most tokens fail them
-        order = sorted(range(n), key=lambda k: not any(a.name == "surfaceForm" and a.operator == "=" for a in segments[k].attributes))
-        own = reduce(lambda x, y: x & y, (_condition(segments[k], _of_surface(at[k]["surface"])) for k in order))
+        # segments with a surface first: they are cheap and most tokens fail them
+        order = sorted(range(n), key=lambda k: not any(x.name == "surface" and x.equal for x in pattern[k].tests))
+        own = reduce(lambda x, y: x & y, (_of_token(pattern[k], at[k]["surface"]) for k in order))
         return own & (at[0]["sentence_no"] == at[n - 1]["sentence_no"])
 
     def hit(i: Column) -> Column:
         more = [payload(t, i).alias("payload")] if payload else []
         return F.struct(F.get(t, i)["sentence_no"].alias("sentence_no"), i.alias("match_start"), (i + n - 1).alias("match_end"), *more)
 
-    starts = F.filter(F.sequence(F.lit(0), F.size(t) - n), fits)
-    hits = rows.filter(F.size(t) >= n).select("doc_id", *keep, F.explode(F.transform(starts, hit)).alias("hit"))
+    # short documents have no start at all: a filter on the array's size would be pushed below the tokens and make them twice
+    starts = F.filter(F.when(F.size(t) >= n, F.sequence(F.lit(0), F.size(t) - n)), fits)
+    hits = rows.select("doc_id", *keep, F.explode(F.transform(starts, hit)).alias("hit"))
     return hits.select("doc_id", *keep, "hit.*")
 
 
 def _of_row(value: Callable[[str], Column]) -> Callable[[str], Column]:
-    names = {"surfaceForm": "surface", "lemma": "lemma", "pos": "pos"}
-    return lambda name: value(names[name]) if name in names else F.get_json_object(value("feats"), f"$.{name}")
+    return lambda name: value(name) if name in COLUMNS else F.get_json_object(value("feats"), f"$.{name}")
 
 
-def by_lead(tokens: DataFrame, query: str, sentence: list[str]) -> DataFrame:
-    """Matches over a token table (sentence columns, token_index, and the columns that the query names).
+def by_lead(tokens: DataFrame, pattern: Pattern, sentence: list[str]) -> DataFrame:
+    """Matches over a token table (sentence columns, token_index, and the columns that the pattern names).
 
     feats is JSON text. Later tokens are read by lead, after one sort by sentence.
     """
-    segments = _segments(query)
     order = Window.partitionBy(*sentence).orderBy("token_index")
-    needed = {a.name for s in segments for a in s.attributes}
-    columns = [c for c in ("surface", "lemma", "pos", "feats") if c in tokens.columns and ({"surface": "surfaceForm"}.get(c, c) in needed or c == "feats" and needed - set(COLUMNS))]
+    needed = {x.name for s in pattern for x in s.tests}
+    columns = [c for c in (*COLUMNS, "feats") if c in tokens.columns and (c in needed or c == "feats" and needed - set(COLUMNS))]
     row = F.struct("token_index", *columns)
-    ahead = tokens.select(*sentence, "token_index", *[F.lead(row, k).over(order).alias(f"t{k}") if k else row.alias("t0") for k in range(len(segments))])
-    fits = reduce(lambda x, y: x & y, (_condition(s, _of_row(lambda name, k=k: F.col(f"t{k}.{name}"))) for k, s in enumerate(segments)))
-    together = reduce(lambda x, y: x & y, [F.col(f"t{k}.token_index") == F.col("token_index") + k for k in range(len(segments))])
-    return ahead.filter(fits & together).select(*sentence, F.col("token_index").alias("match_start"), (F.col("token_index") + len(segments) - 1).alias("match_end"))
+    ahead = tokens.select(*sentence, "token_index", *[F.lead(row, k).over(order).alias(f"t{k}") if k else row.alias("t0") for k in range(len(pattern))])
+    fits = reduce(lambda x, y: x & y, (_condition(s, _of_row(lambda name, k=k: F.col(f"t{k}.{name}"))) for k, s in enumerate(pattern)))
+    together = reduce(lambda x, y: x & y, [F.col(f"t{k}.token_index") == F.col("token_index") + k for k in range(len(pattern))])
+    return ahead.filter(fits & together).select(*sentence, F.col("token_index").alias("match_start"), (F.col("token_index") + len(pattern) - 1).alias("match_end"))
 
 
-def by_join(tokens: DataFrame, query: str, sentence: list[str]) -> DataFrame:
+def by_join(tokens: DataFrame, pattern: Pattern, sentence: list[str]) -> DataFrame:
     """The same by equi-joins on the sentence and the next index; each side is filtered before it is joined."""
-    segments = _segments(query)
     found = None
-    for k, s in enumerate(segments):
+    for k, s in enumerate(pattern):
         own = tokens.filter(_condition(s, _of_row(F.col))).select(*sentence, (F.col("token_index") - k).alias("match_start"))
         found = own if found is None else found.join(own, [*sentence, "match_start"])
-    return found.withColumn("match_end", F.col("match_start") + len(segments) - 1)
+    return found.withColumn("match_end", F.col("match_start") + len(pattern) - 1)
 
 
 def page(matches: DataFrame, order: list[str], number: int, size: int) -> DataFrame:

@@ -20,18 +20,18 @@ def joined(surfaces: Column) -> Column:
     return F.array_join(F.transform(surfaces, lambda t, i: F.when((i == 0) | t.rlike(GLUED), t).otherwise(F.concat(F.lit(" "), t))), "")
 
 
-def span_lines(docs: DataFrame, query: str) -> DataFrame:
+def span_lines(docs: DataFrame, pattern: cql.Pattern) -> DataFrame:
     """match_id, doc_id, sentence_no, left_context, keyword, right_context of every match.
 
     Tokens stay in their document's row, so lines are cut without a join.
     """
-    n = len(cql.parse(query))
+    n = len(pattern)
 
     def sentence(tokens: Column, i: Column) -> Column:
         first = F.get(tokens, i)
         return F.struct(F.slice(tokens, i - first["place"] + 1, first["size"])["surface"].alias("s"), first["place"].alias("at"))
 
-    hits = cql.in_documents(docs, query, payload=sentence).select("doc_id", "sentence_no", "match_start", "payload.*")
+    hits = cql.in_documents(docs, pattern, payload=sentence).select("doc_id", "sentence_no", "match_start", "payload.*")
     return hits.select(
         F.concat_ws("_", "doc_id", "sentence_no", "match_start").alias("match_id"),
         "doc_id",

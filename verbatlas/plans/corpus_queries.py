@@ -17,7 +17,7 @@ SEG = rf"""seg AS (SELECT doc_id, source, unnest(p) AS body, unnest(range(len(p)
 SENT = rf"""{SEG}, sent AS (SELECT doc_id, source, segment, sentence, (row_number() OVER (PARTITION BY doc_id ORDER BY segment, k) - 1)::INT AS sentence_no FROM (
   SELECT doc_id, source, segment, unnest(p) AS sentence, unnest(range(len(p))) AS k FROM (SELECT doc_id, source, segment,
     list_filter(list_transform(string_split(regexp_replace(body, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, {_WS})), lambda x: x <> '') AS p FROM seg)))"""
-TOK = rf"""{SENT}, tok AS (SELECT doc_id, source, segment, sentence_no, surface, (row_number() OVER (PARTITION BY doc_id ORDER BY sentence_no, k) - 1)::INT AS token_index,
+TOK = rf"""{SENT}, tok AS MATERIALIZED (SELECT doc_id, source, segment, sentence_no, surface, (row_number() OVER (PARTITION BY doc_id ORDER BY sentence_no, k) - 1)::INT AS token_index,
   regexp_matches(surface, '(?i)[{_W}]') AS is_word FROM (SELECT doc_id, source, segment, sentence_no, unnest(p) AS surface, unnest(range(len(p))) AS k FROM (
     SELECT doc_id, source, segment, sentence_no, regexp_extract_all(sentence, '(?i)[{_W}]+|[^\s{_W}]+') AS p FROM sent)))"""
 _CLEAN = "regexp_replace(lower(surface), '(?i)[^a-zа-яёѕєіјљњћџѫѭѣžčšě]', '', 'g')"
@@ -29,7 +29,7 @@ def _case(answer) -> str:
 
 
 _LEMMA = _case(lambda p, k, f: "surface" if k < 0 else f"CASE WHEN length(c) > {k} THEN left(c, length(c) - {k}) ELSE c END")
-TAG = f"""{TOK}, tag AS (SELECT *, {_case(lambda p, k, f: f"'{p}'")} AS pos, {_LEMMA} AS lemma, {_case(lambda p, k, f: f"'{f}'")} AS feats
+TAG = f"""{TOK}, tag AS MATERIALIZED (SELECT *, {_case(lambda p, k, f: f"'{p}'")} AS pos, {_LEMMA} AS lemma, {_case(lambda p, k, f: f"'{f}'")} AS feats
   FROM (SELECT *, {_CLEAN} AS c FROM tok))"""
 LEX = f"lex AS (SELECT DISTINCT lower(w) AS slug FROM (SELECT unnest(regexp_extract_all(text, '(?i)[{_W}]+|[^\\s{_W}]+')) AS w FROM benchmark) WHERE regexp_matches(w, '(?i)[{_W}]'))"
 FREQ = f"""{TOK}, {LEX}, freqs AS (SELECT slug, freq, floor(freq / sum(freq) OVER () * 1e6 * 10000 + 0.5) / 10000 AS per_million,
@@ -71,7 +71,7 @@ def sentences(spark, d):
     CASE WHEN is_word THEN (sum(is_word::INT) OVER (PARTITION BY doc_id ORDER BY token_index) - 1)::INT ELSE -1 END AS word_index FROM tok"""
 )
 def tokenize_positions(spark, d):
-    return C.positions(C.token_table(_docs(spark, d))).select("doc_id", "token_index", "sentence_no", "surface", "word_index")
+    return C.positions(_docs(spark, d)).select("doc_id", "token_index", "sentence_no", "surface", "word_index")
 
 
 @query(

@@ -1,4 +1,4 @@
-"""Queries in the corpus query language, concordances, and disambiguation."""
+"""Token sequences, concordances, and disambiguation."""
 
 from __future__ import annotations
 
@@ -11,25 +11,33 @@ from verbatlas.operators import cql, disambiguation, kwic
 from .corpus_queries import SENT, TAG, _docs
 from .registry import query, table
 
-SINGLE = '[surfaceForm="The"]'
-BIGRAM = '[surfaceForm="the"] [pos="ADJ"]'
-TRIGRAM = '[pos="ADJ"] [surfaceForm="of"] [pos="NOUN"]'
-NEGATED = '[pos!="PUNCT" & lemma="of"] [pos!="NOUN"]'
+THE = cql.token(surface="the")
+BIGRAM = [THE, cql.token(pos="ADJ")]
+TRIGRAM = [cql.token(pos="ADJ"), cql.token(surface="of"), cql.token(pos="NOUN")]
+NEGATED = [cql.token(lemma="of").but(pos="PUNCT"), cql.token().but(pos="NOUN")]
 LEMMA = "tion"
 
 
 def _match(*conditions: str) -> str:
-    joins = "".join(f" JOIN tag t{k} ON t{k}.doc_id = t0.doc_id AND t{k}.sentence_no = t0.sentence_no AND t{k}.token_index = t0.token_index + {k}" for k in range(1, len(conditions)))
-    where = " AND ".join(c.replace("#", f"t{k}") for k, c in enumerate(conditions))
-    return f"SELECT t0.doc_id, t0.sentence_no, t0.token_index AS match_start, t0.token_index + {len(conditions) - 1} AS match_end FROM tag t0{joins} WHERE {where}"
+    """Matches in SQL: tokens with those that follow them in their sentence, by lead."""
+    ahead = "".join(
+        f", lead({c}, {k}) OVER s AS {c}{k}" for k in range(1, len(conditions)) for c in ("surface", "lemma", "pos")
+    )
+    window = " WINDOW s AS (PARTITION BY doc_id, sentence_no ORDER BY token_index)" if ahead else ""
+    last = f" AND pos{len(conditions) - 1} IS NOT NULL" if ahead else ""
+    where = " AND ".join(c.replace("#", str(k) if k else "") for k, c in enumerate(conditions)) + last
+    return (
+        f"SELECT doc_id, sentence_no, token_index AS match_start, token_index + {len(conditions) - 1} AS match_end"
+        f" FROM (SELECT doc_id, sentence_no, token_index, surface, lemma, pos{ahead} FROM tag{window}) WHERE {where}"
+    )
 
 
-_BIGRAM = _match("lower(#.surface) = 'the'", "#.pos = 'ADJ'")
+_BIGRAM = _match("lower(surface#) = 'the'", "pos# = 'ADJ'")
 
 
-@query(f"WITH {TAG} {_match('lower(#.surface) = ' + chr(39) + 'the' + chr(39))}")
+@query(f"WITH {TAG} {_match('lower(surface#) = ' + chr(39) + 'the' + chr(39))}")
 def cql_single(spark, d):
-    return cql.in_documents(_docs(spark, d), SINGLE)
+    return cql.in_documents(_docs(spark, d), [THE])
 
 
 @query(f"WITH {TAG} {_BIGRAM}")
@@ -37,12 +45,12 @@ def cql_bigram(spark, d):
     return cql.in_documents(_docs(spark, d), BIGRAM)
 
 
-@query(f"""WITH {TAG} {_match("#.pos = 'ADJ'", "lower(#.surface) = 'of'", "#.pos = 'NOUN'")}""")
+@query(f"""WITH {TAG} {_match("pos# = 'ADJ'", "lower(surface#) = 'of'", "pos# = 'NOUN'")}""")
 def cql_trigram(spark, d):
     return cql.in_documents(_docs(spark, d), TRIGRAM)
 
 
-@query(f"""WITH {TAG} {_match("#.pos <> 'PUNCT' AND lower(#.lemma) = 'of'", "#.pos <> 'NOUN'")}""")
+@query(f"""WITH {TAG} {_match("pos# <> 'PUNCT' AND lower(lemma#) = 'of'", "pos# <> 'NOUN'")}""")
 def cql_neg(spark, d):
     return cql.in_documents(_docs(spark, d), NEGATED)
 
@@ -58,7 +66,7 @@ def cql_json_feat(spark, d):
     tokens = table(spark, d, "events").select(
         "user_id", (F.row_number().over(order) - 1).cast("long").alias("token_index"), F.col("event_type").alias("lemma"), F.col("props").alias("feats")
     )
-    return cql.by_lead(tokens, '[lemma="view" & k="2"] [k!="1"]', ["user_id"])
+    return cql.by_lead(tokens, [cql.token(lemma="view", k="2"), cql.token().but(k="1")], ["user_id"])
 
 
 @query(

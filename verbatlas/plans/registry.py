@@ -24,13 +24,16 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, if it comes from fewer files than there are cores.
+    """df over all cores, if it is a small table of fewer files than there are cores.
 
-    A single file may be a single row group, which one task would read and work on alone. A table of many files is left as it is,
-    so that a large corpus is never shuffled here.
+    A single file may be a single row group, which one task would read and work on alone. A table of many files, or of a few
+    very large ones (whose scan has many more parts than cores), is left as it is, so that a large corpus is never shuffled here. Both
+    are decided by a number that the plan gives; no list of files is brought to Python.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    if df.rdd.getNumPartitions() > 4 * cores or len(df._jdf.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
