@@ -148,14 +148,31 @@ def test_weighted_draws_prefer_quality(spark):
 def test_piece_encoder_equals_the_tokenizer(rows):
     from tokenizers import Tokenizer
 
-    plain, own = Tokenizer.from_file(word_bpe_path()), PieceEncoder(word_bpe_path(), most=50)
-    hard = ["It's John'S I'LL 12a_b__ ### naïve Ĳ ﬁ é\u0301 a\u00a0b\u2003c 日本語 🙂x", "<|endoftext|> a <|startoftext|>b", "a\x1cb\x00c", "'s't're", "İstanbul ǅ"]
-    for text in [r[1] or "" for r in rows] + hard:
-        assert np.frombuffer(own.ids(text.encode()), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text[:50]
+    plain, own = Tokenizer.from_file(word_bpe_path()), PieceEncoder(word_bpe_path(), most_bytes=9000)
+    hard = ["It's John'S I'LL 12a_b__ ### naïve Ĳ ﬁ é\u0301 a\u00a0b\u2003c 日本語 🙂x", "<|endoftext|> a <|startoftext|>b", "a\x1cb\x00c", "'s't're", "İstanbul ǅ", "J\u030c E\u0301 ÀÉſ'S ΑΣ", "x" * 70_000 + "é " * 9 + "日" * 50_000]
+    rng = random.Random(4)
+    hard += ["".join(rng.choice("ab's'tré/1ß€Äſİµ÷Σ \u030cJ\t\x1c日S'LL|") for _ in range(rng.randint(0, 25))) for _ in range(2000)]
+    texts = [r[1] or "" for r in rows] + hard
+    for text, ids in zip(texts, own.ids_of([x.encode() for x in texts]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text[:50]
+    assert own.left < 500 and sum(map(len, own.known)) < 9000
+
+
+def test_counts_follow_the_tokenizer_at_unusual_white_space():
+    own, rng = PieceEncoder(word_bpe_path()), random.Random(8)
+    count = lambda texts: [len(own.ids(s.encode())) // 4 for s in texts]
+    for _ in range(600):
+        text = "".join(rng.choice("ab'sé日ß \x1c\x1f\x85\xa0\u2003\n.,") for _ in range(rng.randint(0, 30)))
+        tree = token_counts.CountTree(text, count, width=1)
+        assert tree.total() == count([text])[0]
+        at = rng.randint(0, len(text))
+        tree.edit(at, at + 2, "'s \x1c")
+        text = text[:at] + "'s \x1c" + text[at + 2 :]
+        assert tree.text() == text and tree.total() == count([text])[0]
 
 
 def test_count_tree_follows_any_edit():
-    count, rng = (lambda s: len(SEP.findall(s))), random.Random(5)
+    count, rng = (lambda texts: [len(SEP.findall(s)) for s in texts]), random.Random(5)
     for _ in range(150):
         text = prose(rng, "en", rng.randint(0, 60))
         tree = token_counts.CountTree(text, count, width=rng.choice([1, 3, 8]))
@@ -164,7 +181,7 @@ def test_count_tree_follows_any_edit():
             new = rng.choice(["", " ", "x", "one two", "\n\n y "])
             tree.edit(a, b, new)
             text = text[:a] + new + text[b:]
-            assert tree.text() == text and tree.total() == count(text) and tree.chars[1] == len(text)
+            assert tree.text() == text and tree.total() == count([text])[0] and tree.chars[1] == len(text)
 
 
 def test_edits_are_counted_as_if_encoded_again(spark, rows):
@@ -418,7 +435,7 @@ def test_quality_counts_and_verdicts(spark, docs, rows):
     more += [(2000, "one two three four five six seven eight nine ten\n" * 3 + "\n \n", "en", "a", 0), (2001, "é\u00a0ü x\x1cy", "en", "a", 0)]
     table = docs.select("doc_id", "text").union(spark.createDataFrame([(r[0], r[1]) for r in more], "doc_id long, text string"))
     labels = spark.createDataFrame([(1000 + i, i % 2, 0) for i in range(150)] + [(None, 1, 0), (1000, None, 0)], "doc_id long, quality int, toxic int")
-    out = quality.judge(table, quality.train(table, labels)).select("row.doc_id", *quality.BASE, "base_failed", "kept", "probability").collect()
+    out = quality.verdicts(table, labels).collect()
     texts = collections.defaultdict(set)
     for r in rows + more:
         texts[r[0]].add(slow_base(r[1] or ""))

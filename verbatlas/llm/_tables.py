@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where it is unset (tests, local mode) a folder of this process."""
+    """The session's spark.checkpoint.dir; where it is unset in local mode (tests) a folder of this process.
+
+    A cluster must name one that its driver and executors share.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), f"verbatlas-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -36,6 +42,16 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def carried(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """row (a struct of the columns in keep, but for the text) and text, which so travels to Python once."""
+    return docs.select(F.struct(F.lit(0).alias("n"), *[docs[c].alias(f"c{i}") for i, c in enumerate(keep) if c != "text"]).alias("row"), docs["text"].alias("text"))
+
+
+def restored(keep: list[str]) -> list[Column]:
+    """The columns in keep, from what `carried` made of them."""
+    return [F.col("text") if c == "text" else F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(keep)]
+
+
 def crc_mod(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo a number; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)

@@ -6,12 +6,13 @@ over bits of the logistic loss at the predicted margin, each bit weighted by its
 sample rows. Where the two best codewords cost nearly the same, the text is flagged as ambiguous.
 
 Languages and their counts are taken over all labelled rows; the classifiers are fitted on a
-bounded sample: about `per_lang` rows of each language, chosen by a hash of the id.
-Prediction reads whole texts, one Arrow batch after another, and shuffles nothing.
+bounded sample: about `per_lang` documents of each language, chosen by a hash of the id, each once however often it is repeated.
+Prediction reads whole texts, a few MB of an Arrow batch after another, and shuffles nothing.
 
 Defined results: null text, or text without any letter, is `und` with score 0; with no labelled row at
 all everything is `und`; with one language every text with a letter gets it, with score 1; repeated rows
-get equal results; other columns are ignored.
+get equal results; an empty table gives no rows; a very long text is counted in blocks, to its end; other columns are ignored
+or carried along as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import crc_mod
-from .text import bodies, ngram_counts
+from ._tables import carried, crc_mod, restored
+from .text import bodies, ngram_counts, slices
 
 DIM = 4096
 UND = "und"
@@ -119,7 +120,10 @@ def matrix(rows: pa.Table, order: str, vectors: str) -> tuple[np.ndarray, np.nda
 
 
 def train(docs: DataFrame, learn: Column, per_lang: int = 500, steps: int = 100, margin: float = 0.2) -> LanguageModel | None:
-    """Fit on a sample of the rows of docs for which `learn` holds and lang is not null; None without such rows."""
+    """Fit on a sample of the rows of docs for which `learn` holds and lang is not null; None without such rows.
+
+    A document with many texts is in the sample with one of them, so a repeated id can't make the sample grow.
+    """
     labelled = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -127,10 +131,11 @@ def train(docs: DataFrame, learn: Column, per_lang: int = 500, steps: int = 100,
     langs = sorted(counts)
     draw = (F.shiftrightunsigned(F.xxhash64(F.lit("lang"), "doc_id"), 11) + 0.5) / F.lit(float(1 << 53))
     share = F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(min(1.0, per_lang / counts[k]))) for k in langs))
-    sample = labelled.filter(draw < share[F.col("lang")]).select("lang", F.xxhash64("doc_id", "text").alias("key"), "text")
+    sample = labelled.filter(draw < share[F.col("lang")]).groupBy("lang", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = sample.select("lang", F.xxhash64("doc_id", "text").alias("key"), "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in slices(whole, 2)):
             x = [features(body).astype(np.float16).tobytes() for body in bodies(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], ["lang", "key", "x"])
 
@@ -155,35 +160,36 @@ def train(docs: DataFrame, learn: Column, per_lang: int = 500, steps: int = 100,
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, lang_pred, score, ambiguous for every row; `keep` names other columns to carry along."""
+    """row and, if kept, text (see `restored`), lang_pred, score, ambiguous for every row; `keep` names the columns to carry along."""
     keep = ["doc_id"] if keep is None else keep
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, with_text = docs.sparkSession.sparkContext.broadcast(model), "text" in keep
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    row = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), F.col("text"), (has_letter if model else F.lit(False)).alias("letter"))
+    row = carried(docs, keep).withColumn("letter", has_letter if model else F.lit(False))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model_ = shared.value
-        for batch in batches:
+        for batch in (x for whole in batches for x in slices(whole, 1)):
             letter = np.array(batch.column(2).to_pylist(), bool)
             langs, score, unsure = np.full(len(letter), UND, object), np.zeros(len(letter)), np.zeros(len(letter), bool)
-            texts = bodies(batch.column(1))
             at = np.flatnonzero(letter)
-            for part in np.array_split(at, len(at) // 512 + 1):
-                if len(part):
-                    best, top, close = model_.decode(np.stack([features(texts[i]) for i in part]))
-                    langs[part], score[part], unsure[part] = np.array(model_.langs, object)[best], top, close
+            if len(at):
+                texts = bodies(batch.column(1))
+                best, top, close = model_.decode(np.stack([features(texts[i]) for i in at]))
+                langs[at], score[at], unsure[at] = np.array(model_.langs, object)[best], top, close
             columns = [batch.column(0), pa.array(langs.tolist(), pa.string()), pa.array(score), pa.array(unsure)]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "lang_pred", "score", "ambiguous"])
+            names = ["row", "lang_pred", "score", "ambiguous"]
+            yield pa.RecordBatch.from_arrays(columns + [batch.column(1)] * with_text, names + ["text"] * with_text)
 
     kind = row.schema["row"].dataType.simpleString()
-    return row.mapInArrow(scored, f"row {kind}, lang_pred string, score double, ambiguous boolean")
+    return row.mapInArrow(scored, f"row {kind}, lang_pred string, score double, ambiguous boolean" + ", text string" * with_text)
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous; fitted on the ids whose crc32 modulo 4 is not 2."""
     held = crc_mod(F.col("doc_id"), 4) == 2
     out = predict(docs, train(docs, ~held))
-    return out.select("row.doc_id", held_of("row.doc_id"), "lang_pred", "score", "ambiguous")
+    out = out.select(*restored(["doc_id"]), "lang_pred", "score", "ambiguous")
+    return out.select("doc_id", held_of("doc_id"), "lang_pred", "score", "ambiguous")
 
 
 def held_of(name: str) -> Column:
@@ -196,4 +202,4 @@ def accepted(docs: DataFrame) -> DataFrame:
     A flagged text also goes if it is so short of evidence that no language has half of the score.
     """
     out = predict(docs, train(docs, F.lit(True)), docs.columns)
-    return out.filter((F.col("lang_pred") != UND) & ~(F.col("ambiguous") & (F.col("score") < 0.5))).select("row.*")
+    return out.filter((F.col("lang_pred") != UND) & ~(F.col("ambiguous") & (F.col("score") < 0.5))).select(*restored(docs.columns))

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .jpeg import decode, encode_bytes, payload_of, strips
+from .text import bodies, slices
 
 
 def padded(body: bytes) -> bytes:
@@ -43,12 +44,10 @@ def stored(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: the JPEG of every text."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [b or b"" for b in batch.column(1).cast(pa.binary()).to_pylist()]
-            for at in range(0, len(texts), 256):
-                part = texts[at : at + 256]
-                media = pa.array([encode_bytes(padded(b)) for b in part], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), pa.array([len(b) for b in part], pa.int64()), media], ["doc_id", "n_bytes", "media"])
+        for part in (x for whole in batches for x in slices(whole, 1, most_rows=256)):
+            texts = [b or b"" for b in bodies(part.column(1))]
+            media = pa.array([encode_bytes(padded(b)) for b in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(b) for b in texts], pa.int64()), media], ["doc_id", "n_bytes", "media"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(encoded, f"doc_id {kind}, n_bytes long, media binary")
@@ -59,7 +58,7 @@ def read_back(media: DataFrame, tensors: bool = False) -> DataFrame:
     kind = media.schema["doc_id"].dataType.simpleString()
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in slices(whole, 2, most_rows=256)):
             rows: list[list] = [[] for _ in range(9 if tensors else 6)]
             for body in batch.column(2).to_pylist():
                 image = decode(body)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._tables import materialize
-from .text import bodies, mix, shingles, words
+from .text import bodies, mix, shingles, slices, words
 
 ROWS, BANDS = 6, 50
 PARITY_WORDS = 32
@@ -83,7 +83,7 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs = pa.list_(pa.int64())
-        for batch in batches:
+        for batch in (x for whole in batches for x in slices(whole, 1)):
             n, bands, bits, seen = [], [], [], []
             for body in bodies(batch.column(1)):
                 hashes = words((body or b"").lower())[0]
@@ -106,7 +106,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     """(id, items): the full shingle sets of the rows of docs."""
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in slices(whole, 1)):
             items = [shingles(words((body or b"").lower())[0], k).view(np.int64) for body in bodies(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.list_(pa.int64()))], ["id", "items"])
 

@@ -4,11 +4,12 @@ Documents are tokenized, closed by an end id and cut into pieces of at most one
 pieces' lengths are counted; as there are at most `capacity` lengths, the plan is made on the driver from
 counts alone: best fit by falling length, a whole group of equal gaps at a time. It says for each
 length and range of ranks which sequences and offsets the pieces get. Pieces are then ranked within
-their length and take the planned slots by a join on length. Ranks are made per cell of a
-length (a hash of the document) and the cells' counts summed up, so that no task ranks a whole length.
+their length and take the planned slots by a join on length and cell. Ranks are made per cell of a
+length (a hash of the document and its row) and the cells' counts summed up, so that no task ranks a whole length,
+not even if one document is repeated very often.
 
-Defined results: null or empty text is one piece that holds the end id; an empty table gives no rows;
-repeated rows are packed as often as they occur; other columns are ignored.
+Defined results: null or empty text is one piece that holds the end id; a very long text is tokenized in blocks and gives many
+pieces; an empty table gives no rows; repeated rows are packed as often as they occur; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +24,6 @@ from pyspark.sql import functions as F
 
 from ._tables import materialize
 
-#: Ranks of a length are looked up in chunks of 2^8, each with the planned slots that it touches.
-CHUNK_BITS = 8
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -37,20 +36,21 @@ def tokenized(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1,
     """Pieces of every document: doc_id, piece, start, length, ids_crc32, and the ids as bytes if asked."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .text import bodies
+        from .text import bodies, slices
         from .tokens import encoder
 
-        encode, end = encoder(path).ids, end_id.to_bytes(4, "little")
+        encode, end = encoder(path).ids_of, end_id.to_bytes(4, "little")
         width = 4 * capacity
-        for batch in batches:
+        for part in (x for batch in batches for x in slices(batch, 1)):
             rows: list[list] = [[] for _ in range(5 + with_ids)]
-            for doc_id, body in zip(batch.column(0).to_pylist(), bodies(batch.column(1)), strict=True):
-                ids = encode(body or b"") + end
+            texts = encode([body or b"" for body in bodies(part.column(1))])
+            for doc_id, ids in zip(part.column(0).to_pylist(), texts, strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), width)):
                     cut = ids[at : at + width]
                     for into, x in zip(rows, (doc_id, k, at // 4, len(cut) // 4, zlib.crc32(cut), cut)):
                         into.append(x)
-            kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            kinds = [part.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(rows)])
 
     return docs.select("doc_id", "text").mapInArrow(pieces, _schema(docs, PIECE + ", ids binary" * with_ids))
@@ -106,37 +106,32 @@ def pack(pieces: DataFrame, capacity: int = 4096, min_cells: int = 64, rows_per_
 
     The driver sees one row per length. The plan has at most a few rows per length and open gap, so its size is
     bounded by the capacity, not by the documents. pieces is read several times, so it should be a table. A
-    length has as many cells as the most frequent one needs to hold about rows_per_cell rows in each.
+    length has as many cells as the most frequent one needs to hold about rows_per_cell rows in each; a cell carries the
+    plan's rows that its ranks touch, one or two in most. If pieces has a column `lot`, cells are dealt by it, else by doc_id and piece.
     """
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     cells = max(min_cells, -(-max(histogram.values(), default=0) // rows_per_cell))
-    celled = pieces.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(cells)))
+    lot = F.col("lot") if "lot" in pieces.columns else F.xxhash64("doc_id", "piece")
+    celled = pieces.withColumn("cell", F.pmod(lot, F.lit(cells))).drop("lot")
     counts = materialize(celled.groupBy("length", "cell").agg(F.count("*").alias("n")), "pack-lengths")
-    # (length, ranks from..to, first sequence, pieces side by side, offset), dealt to chunks of ranks
+    before = Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("cell_start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    # (length, ranks from..to, first sequence, pieces side by side, offset)
     rows, planned = plan_slots(histogram, capacity), []
     for k, (length, rank, *slot) in enumerate(rows):
         following = rows[k + 1][1] if k + 1 < len(rows) and rows[k + 1][0] == length else histogram[length]
         planned.append((length, rank, following - 1, *slot))
-    plan = spark.createDataFrame(planned, "length long, rank long, last long, first long, each long, offset long")
-    chunk = F.explode(F.sequence(F.shiftright("rank", CHUNK_BITS), F.shiftright("last", CHUNK_BITS))).alias("chunk")
-    slots = (
-        plan.select("length", F.struct("rank", "first", "each", "offset").alias("slot"), chunk)
-        .groupBy("length", "chunk")
-        .agg(F.array_sort(F.collect_list("slot")).alias("slots"))
-    )
+    plan = spark.createDataFrame(planned, "of long, rank long, last long, first long, each long, offset long")
+    touched = (F.col("length") == F.col("of")) & (F.col("rank") < F.col("cell_start") + F.col("n")) & (F.col("last") >= F.col("cell_start"))
+    slots = starts.join(plan, touched).groupBy("length", "cell", "cell_start").agg(F.array_sort(F.collect_list(F.struct("rank", "first", "each", "offset"))).alias("slots"))
     slots = materialize(slots, "pack-plan")
-    before = Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("length", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("cell_start"))
-    starts = materialize(starts, "pack-starts")
     order = Window.partitionBy("length", "cell").orderBy("doc_id", "piece")
-    ranked = celled.withColumn("place", F.row_number().over(order) - 1).join(starts, ["length", "cell"])
+    ranked = celled.withColumn("place", F.row_number().over(order) - 1).join(slots, ["length", "cell"])
     ranked = ranked.withColumn("rank", F.col("cell_start") + F.col("place"))
-    ranked = ranked.withColumn("chunk", F.shiftright("rank", CHUNK_BITS)).join(slots, ["length", "chunk"])
-    slot = F.expr("element_at(filter(slots, s -> s.rank <= rank), -1)")
-    taken = ranked.withColumn("slot", slot).withColumn("nth", F.col("rank") - F.col("slot.rank"))
+    taken = ranked.withColumn("slot", F.expr("element_at(filter(slots, s -> s.rank <= rank), -1)")).withColumn("nth", F.col("rank") - F.col("slot.rank"))
     return taken.select(
-        *pieces.columns,
+        *[c for c in pieces.columns if c != "lot"],
         (F.col("slot.first") + F.floor(F.col("nth") / F.col("slot.each"))).cast("long").alias("sequence_id"),
         (F.col("slot.offset") + F.pmod("nth", "slot.each") * F.col("length")).cast("long").alias("offset"),
     )
@@ -144,4 +139,5 @@ def pack(pieces: DataFrame, capacity: int = 4096, min_cells: int = 64, rows_per_
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
-    return pack(materialize(tokenized(docs, path, capacity, end_id), "pack-pieces"), capacity)
+    lot = F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()).alias("lot")
+    return pack(materialize(tokenized(docs, path, capacity, end_id).select("*", lot), "pack-pieces"), capacity)

@@ -1,12 +1,13 @@
 """Quality rules: plain counts, then a logistic regression on hashed word and character n-grams.
 
-The model is fitted on a bounded sample of the rows that `labels` rates (about `most` rows, chosen by a hash of
-the id), calibrated by a sigmoid on rows of the sample that the fit did not see, and applied to every
-whole text in Arrow batches against a fixed threshold of probability.
+The model is fitted on a bounded sample of the documents that `labels` rates (`most` of them at most, those with the smallest hashes of
+the id, each once however often it is repeated), calibrated by a sigmoid on rows of the sample that the fit did not see, and applied to every
+whole text, a few MB of an Arrow batch after another, against a fixed threshold of probability.
 
 Defined results: null and empty text have counts of 0, fail the base rule and are not kept; without
 labels, or with labels of one kind only, the base rule alone decides; a document with several labels
-counts as good if one of them says so; repeated rows get equal results; other columns are ignored.
+counts as good if one of them says so; repeated rows get equal results; an empty table gives no rows; a very long text is read in
+blocks, to its end; other columns, also of labels, are ignored or carried along as they are, whatever their names.
 Words are compared by 64-bit hashes.
 """
 
@@ -20,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._tables import carried, restored
 from .langid import fitted, matrix
-from .text import IS_WHITE, LOWER, WHITE, bodies, ngram_counts, words
+from .text import IS_WHITE, LOWER, WHITE, bodies, ngram_counts, slices, words
 
 CHAR_DIM = WORD_DIM = 2048
 WINDOW = 8
@@ -96,19 +98,19 @@ def _calibrate(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 2500, steps: int = 150, threshold: float = 0.5) -> QualityModel | None:
-    """Fit on about `most` labelled documents; None if there are not both kinds.
+    """Fit on `most` labelled documents at most; None if there are not both kinds.
 
-    The sample's ids are at most a fixed number, so joining by broadcasting them is bounded.
+    The sample has a fixed number of ids, so broadcasting them is bounded; a document with many texts is in it with one of them.
     """
-    rated = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-    n = rated.count()
-    draw = (F.shiftrightunsigned(F.xxhash64(F.lit("quality"), "doc_id"), 11) + 0.5) / F.lit(float(1 << 53))
-    chosen = rated.filter(draw < F.lit(min(1.0, most / max(1, n)))).groupBy("doc_id").agg(F.max("quality").alias("good")).limit(2 * most)
+    rated = labels.select("doc_id", "quality").filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
+    rated = rated.groupBy("doc_id").agg(F.max("quality").alias("good"))
+    chosen = rated.orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(most)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.col("text").isNotNull())
+    sample = sample.groupBy("doc_id", "good").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     sample = sample.select("good", F.xxhash64("doc_id", "text").alias("key"), "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in slices(whole, 2)):
             x = [features(b, words(b)[0]).astype(np.float16).tobytes() for b in bodies(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), batch.column(1), pa.array(x, pa.binary())], ["good", "key", "x"])
 
@@ -131,36 +133,38 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 2500, steps: int = 150
 
 
 def judge(docs: DataFrame, model: QualityModel | None, keep: list[str] | None = None) -> DataFrame:
-    """row (the columns in keep), the counts of BASE, base_failed, probability, kept, for every row of docs."""
+    """row and, if kept, text (see `restored`), the counts of BASE, base_failed, probability, kept, for every row of docs."""
     keep = ["doc_id"] if keep is None else keep
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    row = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), docs["text"].alias("text"))
+    shared, with_text = docs.sparkSession.sparkContext.broadcast(model), "text" in keep
+    row = carried(docs, keep)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fit = shared.value
-        for batch in batches:
-            counts, p = [], np.ones(batch.num_rows)
-            texts = bodies(batch.column(1))
-            for at in range(0, len(texts), 512):
-                part, x = texts[at : at + 512], []
-                for body in part:
-                    hashes = words(body or b"")[0]
-                    counts.append(base_counts(body or b"", hashes))
-                    if fit:
-                        x.append(features(body or b"", hashes))
+        for batch in (x for whole in batches for x in slices(whole, 1)):
+            counts, x = [], []
+            for body in bodies(batch.column(1)):
+                hashes = words(body or b"")[0]
+                counts.append(base_counts(body or b"", hashes))
                 if fit:
-                    p[at : at + 512] = fit.probability(np.stack(x))
+                    x.append(features(body or b"", hashes))
+            p = fit.probability(np.stack(x)) if x else np.ones(batch.num_rows)
             table = np.array(counts, np.int64).reshape(-1, len(BASE))
             failed = (table[:, 0] < 20) | (100 * table[:, 4] > 30 * table[:, 0])
             kept = ~failed & (p >= (fit.threshold if fit else 0))
-            columns = [batch.column(0), *(pa.array(table[:, i]) for i in range(len(BASE))), pa.array(failed), pa.array(p), pa.array(kept)]
-            yield pa.RecordBatch.from_arrays(columns, ["row", *BASE, "base_failed", "probability", "kept"])
+            columns = [batch.column(0), *(pa.array(table[:, i]) for i in range(len(BASE))), pa.array(failed), pa.array(p.astype(float)), pa.array(kept)]
+            names = ["row", *BASE, "base_failed", "probability", "kept"]
+            yield pa.RecordBatch.from_arrays(columns + [batch.column(1)] * with_text, names + ["text"] * with_text)
 
     kind = row.schema["row"].dataType.simpleString()
     counts = ", ".join(f"{c} long" for c in BASE)
-    return row.mapInArrow(judged, f"row {kind}, {counts}, base_failed boolean, probability double, kept boolean")
+    return row.mapInArrow(judged, f"row {kind}, {counts}, base_failed boolean, probability double, kept boolean" + ", text string" * with_text)
+
+
+def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, the counts of BASE, base_failed, probability, kept, for every row of docs."""
+    return judge(docs, train(docs, labels)).select(*restored(["doc_id"]), *BASE, "base_failed", "probability", "kept")
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are kept, unchanged."""
-    return judge(docs, train(docs, labels), docs.columns).filter("kept").select("row.*")
+    return judge(docs, train(docs, labels), docs.columns).filter("kept").select(*restored(docs.columns))

@@ -53,10 +53,9 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict on all documents."""
-    from .quality import BASE, judge, train
+    from .quality import verdicts
 
-    docs, labels = _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return judge(docs, train(docs, labels)).select("row.doc_id", *BASE, "base_failed", "probability", "kept")
+    return verdicts(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:

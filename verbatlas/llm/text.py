@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 WHITE = b" \t\n\r\x0b\x0c"
@@ -14,7 +15,7 @@ IS_WHITE[list(WHITE)] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Texts are hashed in blocks of this many bytes, so that long ones need bounded memory.
-BLOCK = 1 << 22
+BLOCK = 1 << 18
 _BASE, _MASK = 0x9E3779B97F4A7C55, (1 << 64) - 1
 _tables = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -117,3 +118,15 @@ def ngram_counts(body: bytes, table: np.ndarray, dim: int, longest: int = 3) ->
 def bodies(column: pa.Array) -> list[bytes | None]:
     """A text column's values as bytes."""
     return column.cast(pa.binary()).to_pylist()
+
+
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4 << 20, most_rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of so many bytes of text and rows at most (one row at least), so that Python never holds a whole batch."""
+    texts = batch.column(column)
+    upto = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most_bytes, side="right"))
+        end = min(max(end, at + 1), at + most_rows)
+        yield batch.slice(at, end - at)
+        at = end

@@ -9,7 +9,9 @@ end in white space are independent of what follows.
 
 Defined results: null text is the empty text, with no tokens; edits are applied one after the other,
 each to the text that the ones before left; positions beyond the text count as its end; an edit with
-start after end is an insertion at start; no edits leave the counts as they are.
+start after end is an insertion at start; no edits (or a null list of them) leave the counts as they are; an edit's null text is
+empty; repeated rows get equal counts; an empty table gives no rows; other columns are ignored. A very long text is many
+segments and is encoded in blocks; a single very long word is one segment.
 """
 
 from __future__ import annotations
@@ -22,20 +24,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_RUN = re.compile(r"\S*\s+|\S+\Z")
+#: Pre-tokens end at the white space that the tokenizer's blocks end at, so other white space stays inside them.
+_RUN = re.compile(r"[^\t-\r ]*[\t-\r ]+|[^\t-\r ]+\Z")
 
 
 class CountTree:
     """Segments of one text, with sums of characters and tokens over a binary tree."""
 
-    def __init__(self, text: str, count: Callable[[str], int], width: int = 32):
+    def __init__(self, text: str, count: Callable[[list[str]], list[int]], width: int = 32):
         self.count, self.encoded = count, 0
         runs = _RUN.findall(text)
         self.segments = ["".join(runs[i : i + width]) for i in range(0, len(runs), width)] or [""]
         self.leaves = 1 << (len(self.segments) - 1).bit_length()
         self.segments += [""] * (self.leaves - len(self.segments))
         self.chars = [0] * self.leaves + [len(s) for s in self.segments]
-        self.tokens = [0] * self.leaves + [self.count(s) if s else 0 for s in self.segments]
+        self.tokens = [0] * self.leaves + self.count(self.segments)
         for sums in (self.chars, self.tokens):
             for i in range(self.leaves - 1, 0, -1):
                 sums[i] = sums[2 * i] + sums[2 * i + 1]
@@ -57,12 +60,18 @@ class CountTree:
         return node - self.leaves, char
 
     def _beside(self, leaf: int, step: int) -> int:
-        """The next segment with text in that direction, or the same one."""
-        at = leaf + step
-        while 0 <= at < self.leaves:
-            if self.segments[at]:
-                return at
-            at += step
+        """The next segment with text in that direction, or the same one: up the tree to a sum that is not 0, then down."""
+        node = leaf + self.leaves
+        while node > 1:
+            side = node + step
+            if side // 2 == node // 2 and self.chars[side]:
+                node = side
+                while node < self.leaves:
+                    node = 2 * node + (step < 0)
+                    if not self.chars[node]:
+                        node ^= 1
+                return node - self.leaves
+            node //= 2
         return leaf
 
     def edit(self, start: int, end: int, new: str) -> None:
@@ -82,7 +91,7 @@ class CountTree:
 
     def _set(self, leaf: int, text: str) -> None:
         self.segments[leaf] = text
-        for sums, value in ((self.chars, len(text)), (self.tokens, self.count(text) if text else 0)):
+        for sums, value in ((self.chars, len(text)), (self.tokens, self.count([text])[0])):
             node = leaf + self.leaves
             change = value - sums[node]
             while node:
@@ -94,15 +103,16 @@ def count_edited(docs: DataFrame, path: str) -> DataFrame:
     """Counts before and after edits, of (doc_id, text, edits array<struct<start, end, new>>).
 
     Returns doc_id, n_chars, n_tokens, n_edits, edited_chars, edited_tokens, encoded_chars: the last is what
-    had to be encoded again. Each document is read whole, alone and once; nothing is shuffled.
+    had to be encoded again. Each document is read whole and once; nothing is shuffled.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .text import slices
         from .tokens import encoder
 
-        encode = encoder(path)
-        count = lambda s: len(encode.ids(s.encode())) // 4
-        for batch in batches:
+        encode = encoder(path).ids_of
+        count = lambda texts: [len(x) // 4 for x in encode([s.encode() for s in texts])]
+        for batch in (x for whole in batches for x in slices(whole, 1)):
             rows: list[list] = [[] for _ in range(7)]
             for doc_id, text, edits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 tree = CountTree(text or "", count)
