@@ -47,3 +47,18 @@ def test_entry_runs(spark):
 
     assert set(catalog.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_entry_without_the_training_operators(tmp_path):
+    """A folder that holds compiled files only, as a deletion may leave it, is no subpackage."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "verbatlas", tmp_path / "verbatlas", ignore=shutil.ignore_patterns("llm"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    (tmp_path / "verbatlas" / "llm" / "__pycache__").mkdir(parents=True)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), sum(k.startswith('op') for k in e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": ""}, capture_output=True, text=True, check=True)
+    assert out.stdout.split() == [str(len(catalog.QUERIES)), str(len(catalog.ORACLES)), "0"]

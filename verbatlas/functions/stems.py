@@ -182,21 +182,23 @@ def stem_type(proto: Column, extension: Column, gender: Column) -> Column:
 VOWELS = "aeiouyěęǫọų"
 
 
+def accented(word: Column, from_end: Column, mark: Column) -> Column:
+    """The word with a combining mark after a vowel, counted from the end (0 is the last); after the first if there are too few."""
+    n = F.greatest(F.least(from_end, F.regexp_count(word, F.lit(f"(?i)[{VOWELS}]")) - 1), F.lit(0))
+    after = F.concat(F.lit(f"(?is)^(.*[{VOWELS}])((?:[^{VOWELS}]*[{VOWELS}]){{"), n.cast("string"), F.lit(f"}}[^{VOWELS}]*)$"))
+    return F.regexp_replace(word, after, F.concat(F.lit("$1"), mark, F.lit("$2")))
+
+
 def marked(word: Column, from_end: Column, rising: Column) -> Column:
     """A combining tone mark after a vowel, counted from the end; the first vowel if there are too few.
 
     o and e are short: grave or inverted breve; other vowels are long: acute or circumflex.
     """
-    last = f"(?i)^(.*)([{VOWELS}])([^{VOWELS}]*)$"
-    before = f"(?i)^(.*)([{VOWELS}])([^{VOWELS}]*[{VOWELS}][^{VOWELS}]*)$"
-
-    def put(pattern: str) -> Column:
-        vowel = F.lower(F.regexp_extract(word, pattern, 2))
-        short = vowel.isin("o", "e")
-        sign = F.when(rising, F.when(short, "̀").otherwise("́")).otherwise(F.when(short, "̑").otherwise("̂"))
-        return F.concat(F.regexp_extract(word, pattern, 1), F.regexp_extract(word, pattern, 2), sign, F.regexp_extract(word, pattern, 3))
-
-    return F.when((from_end == 1) & word.rlike(before), put(before)).when(word.rlike(last), put(last)).otherwise(word)
+    plain = F.lower(F.regexp_replace(word, f"(?i)[^{VOWELS}]", ""))
+    n = F.greatest(F.least(from_end, F.length(plain) - 1), F.lit(0))
+    short = F.substring(plain, F.length(plain) - n, F.lit(1)).isin("o", "e")
+    sign = F.when(rising, F.when(short, "̀").otherwise("́")).otherwise(F.when(short, "̑").otherwise("̂"))
+    return F.when(plain != "", accented(word, from_end, sign)).otherwise(word)
 
 
 def without_tones(word: Column) -> Column:

@@ -66,21 +66,22 @@ def word_counts(docs: DataFrame, *by: str) -> DataFrame:
 def ranked(counts: DataFrame, amount: str = "freq", key: str = "slug", name: str = "freq_rank") -> DataFrame:
     """Add the 1-based position by falling amount, ties by key.
 
-    Equal to row_number over all rows, without gathering them in one task: positions are counted
-    per amount and key prefix, a window over those sums gives each group its start, and rows are
-    numbered inside their group.
+    Equal to row_number over all rows, without gathering them in one task: rows are counted per amount and key prefix; amounts
+    fall into bins, sixteen for each power of e. One window runs over the bins (a thousand at most), others over the amounts inside a bin and
+    the prefixes of an amount, and rows are numbered inside their group.
     """
-    group = counts.withColumn("prefix", F.substring(key, 1, 3))
-    sizes = group.groupBy(amount, "prefix").agg(F.count("*").alias("rows"))
-    per_amount = sizes.groupBy(amount).agg(F.sum("rows").alias("rows"))
-    higher = Window.orderBy(F.desc(amount)).rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy(amount).orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(amount, "prefix", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("inside")).join(
-        per_amount.select(amount, F.coalesce(F.sum("rows").over(higher), F.lit(0)).alias("above")), amount
-    )
+    group = counts.withColumn("prefix", F.substring(key, 1, 3)).withColumn("bin", F.when(F.col(amount) > 0, F.floor(F.log(amount) * 16)).otherwise(-(1 << 20)))
+    sizes = group.groupBy("bin", amount, "prefix").agg(F.count("*").alias("rows"))
+    per_amount = sizes.groupBy("bin", amount).agg(F.sum("rows").alias("rows"))
+    per_bin = per_amount.groupBy("bin").agg(F.sum("rows").alias("rows"))
+    upto = lambda w: F.coalesce(F.sum("rows").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = per_bin.select("bin", upto(Window.orderBy(F.desc("bin"))).alias("in_bins"))
+    amounts = per_amount.select("bin", amount, upto(Window.partitionBy("bin").orderBy(F.desc(amount))).alias("in_amounts"))
+    prefixes = sizes.select(amount, "prefix", upto(Window.partitionBy(amount).orderBy("prefix")).alias("in_prefixes"))
     own = Window.partitionBy(amount, "prefix").orderBy(key)
-    numbered = group.withColumn("own", F.row_number().over(own)).join(starts, [amount, "prefix"])
-    return numbered.select(*counts.columns, (F.col("above") + F.col("inside") + F.col("own")).cast("long").alias(name))
+    numbered = group.withColumn("own", F.row_number().over(own)).join(prefixes, [amount, "prefix"]).join(amounts, ["bin", amount]).join(bins, "bin")
+    place = F.col("in_bins") + F.col("in_amounts") + F.col("in_prefixes") + F.col("own")
+    return numbered.select(*counts.columns, place.cast("long").alias(name))
 
 
 def frequencies(docs: DataFrame, known: DataFrame) -> DataFrame:

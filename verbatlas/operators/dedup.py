@@ -55,3 +55,28 @@ def field_changes(before: DataFrame, after: DataFrame, key: str, fields: list[st
     b = after.select(key, *[F.col(f).cast("string").alias(f"new_{f}") for f in fields])
     rows = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"old_{f}").alias("old_value"), F.col(f"new_{f}").alias("new_value")) for f in fields]))
     return a.join(b, key).select(key, rows.alias("c")).select(key, "c.*").filter(~F.col("old_value").eqNullSafe(F.col("new_value")))
+
+
+def merged(targets: DataFrame, updates: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """The rows that stay after a merge: a field of updates where it has one, else the target's own. Updates are one per key."""
+    new = updates.select(F.col(key).alias("own_key"), *[F.col(f).alias(f"new_{f}") for f in fields])
+    rows = targets.join(new, targets[key] == new["own_key"], "left")
+    return rows.select(key, *[F.coalesce(f"new_{f}", f).alias(f) for f in fields])
+
+
+def merge_audit(targets: DataFrame, after: DataFrame, sources: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """key, field, old_value, new_value: the changed fields, and one row `mergedFrom` for each merged row of sources (key, source)."""
+    origin = sources.select(key, F.lit("mergedFrom").alias("field"), F.lit(None).cast("string").alias("old_value"), F.col("source").cast("string").alias("new_value"))
+    return field_changes(targets, after, key, fields).unionByName(origin)
+
+
+def without_ids(lists: DataFrame, gone: DataFrame, key: str, ids: str) -> DataFrame:
+    """lists (key, an array of ids) without ids that are gone (gone: id), in their order; a list that loses its last id goes.
+
+    Ids become rows and meet those that are gone in one join, so neither side has to be small.
+    """
+    rows = lists.select(key, F.posexplode(ids).alias("at", "id")).join(gone.select("id").distinct(), "id", "left_anti")
+    kept = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("kept"))
+    kind = lists.schema[ids].dataType.simpleString()
+    own = lists.join(kept.withColumnRenamed(key, "own_key"), F.col(key) == F.col("own_key"), "left").filter(F.col("kept").isNotNull() | (F.size(ids) == 0))
+    return own.select(key, F.coalesce(F.col("kept.id"), F.array().cast(kind)).alias(ids))

@@ -81,6 +81,16 @@ def replaced(stored: DataFrame, new: DataFrame, source: str) -> DataFrame:
     return others.unionByName(new.withColumn("origin", F.lit(source)))
 
 
+#: The parts of a TEI document around its title, its author and its body.
+TEI_HEAD = (
+    '<?xml version="1.0" encoding="UTF-8"?>\n<TEI xmlns="http://www.tei-c.org/ns/1.0">\n  <teiHeader>\n    <fileDesc>\n      <titleStmt>\n        <title>',
+    "</title>\n",
+    "      </titleStmt>\n    </fileDesc>\n  </teiHeader>\n  <text>\n    <body>\n",
+)
+TEI_AUTHOR = ("        <author>", "</author>\n")
+TEI_END = "\n    </body>\n  </text>\n</TEI>\n"
+
+
 def tei_documents(sentences: DataFrame, titles: DataFrame) -> DataFrame:
     """doc_id, xml: whole TEI documents from sentences (doc_id, segment, sentence_no, xml) and titles (doc_id, title, author).
 
@@ -91,12 +101,6 @@ def tei_documents(sentences: DataFrame, titles: DataFrame) -> DataFrame:
     block = F.concat(F.lit('      <div type="segment" n="'), (F.col("segment") + 1).cast("string"), F.lit('">\n'), F.col("body"), F.lit("\n      </div>"))
     bodies = per.groupBy("doc_id").agg(line(F.struct("segment", block.alias("xml")), "xml").alias("body"))
     text = lambda c: S.applied(S.XML, F.coalesce(F.col(c), F.lit("")))
-    author = F.when(F.col("author").isNotNull(), F.concat(F.lit("        <author>"), text("author"), F.lit("</author>\n"))).otherwise("")
-    head = F.concat(
-        F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<TEI xmlns="http://www.tei-c.org/ns/1.0">\n  <teiHeader>\n    <fileDesc>\n      <titleStmt>\n        <title>'),
-        text("title"),
-        F.lit("</title>\n"),
-        author,
-        F.lit("      </titleStmt>\n    </fileDesc>\n  </teiHeader>\n  <text>\n    <body>\n"),
-    )
-    return titles.join(bodies, "doc_id").select("doc_id", F.concat(head, F.col("body"), F.lit("\n    </body>\n  </text>\n</TEI>\n")).alias("xml"))
+    author = F.when(F.col("author").isNotNull(), F.concat(F.lit(TEI_AUTHOR[0]), text("author"), F.lit(TEI_AUTHOR[1]))).otherwise("")
+    head = F.concat(F.lit(TEI_HEAD[0]), text("title"), F.lit(TEI_HEAD[1]), author, F.lit(TEI_HEAD[2]))
+    return titles.join(bodies, "doc_id").select("doc_id", F.concat(head, F.col("body"), F.lit(TEI_END)).alias("xml"))

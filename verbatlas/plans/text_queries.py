@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from verbatlas.functions import stems as M
 from verbatlas.functions import strings as S
 from verbatlas.functions import text as X
+from verbatlas.functions import verbs as V
 from verbatlas.operators import corpus as C
 
 from .corpus_queries import LEX, SENT, TAG, _docs, _lexicon
@@ -44,19 +45,32 @@ def _words(spark, d, source: S.Chain | None = None):
     return rows.withColumn("word", S.applied(source, F.col("slug")) if source else F.col("slug"))
 
 
-_ASCII = "SELECT slug AS a, lead(slug) OVER (ORDER BY slug) AS b, lead(slug, 2) OVER (ORDER BY slug) AS c FROM lex WHERE regexp_full_match(slug, '[a-z]+')"
+#: Words of both alphabets: those of even length in Cyrillic letters.
+_MIXED = f"CASE WHEN length(slug) % 2 = 0 THEN {duck(S.TO_CYRILLIC, 'slug')} ELSE slug END"
+_TRIPLE = f"""SELECT word AS a, lead(word) OVER g AS b, lead(word, 2) OVER g AS c FROM (SELECT slug, {_MIXED} AS word FROM lex)
+  WINDOW g AS (PARTITION BY left(slug, 2), length(slug) // 3 ORDER BY slug)"""
+#: DuckDB's distance counts bytes: letters get one byte each, all different, before they are compared.
+_LETTERS = "абвгдежзийклмнопрстуфхцчшщъыьэюяёѕєіјљњћџѫѭѣѧěčšž"
+_SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&*+-./:;<=>?@[]^{|}~()"[: len(_LETTERS)]
+
+
+def _distance(a: str, b: str) -> str:
+    flat = lambda v: f"translate({v}, '{_LETTERS}', '{_SIGNS}')"
+    return f"levenshtein({flat(a)}, {flat(b)})"
 
 
 def _triples(spark, d):
-    """Each ASCII word with the two that follow it: (a, b, c)."""
+    """Each word with the two that follow it among those that begin like it and are about as long: (a, b, c)."""
     from pyspark.sql import Window
 
-    order = Window.orderBy("slug")
-    rows = _lexicon(spark, d).filter(F.col("slug").rlike("^[a-z]+$"))
-    return rows.select(F.col("slug").alias("a"), F.lead("slug").over(order).alias("b"), F.lead("slug", 2).over(order).alias("c"))
+    slug = F.col("slug")
+    group = Window.partitionBy(F.substring(slug, 1, 2), F.floor(F.length(slug) / 3)).orderBy("slug")
+    word = F.when(F.length(slug) % 2 == 0, S.applied(S.TO_CYRILLIC, slug)).otherwise(slug)
+    rows = _lexicon(spark, d).withColumn("word", word)
+    return rows.select(F.col("word").alias("a"), F.lead("word").over(group).alias("b"), F.lead("word", 2).over(group).alias("c"))
 
 
-@query(f"{_WORDS} SELECT a, b, levenshtein(a, b)::INT AS distance FROM ({_ASCII}) WHERE b IS NOT NULL")
+@query(f"{_WORDS} SELECT a, b, {_distance('a', 'b')}::INT AS distance FROM ({_TRIPLE}) WHERE b IS NOT NULL")
 def lev(spark, d):
     return _triples(spark, d).filter("b IS NOT NULL").select("a", "b", F.levenshtein("a", "b").alias("distance"))
 
@@ -83,17 +97,18 @@ def split_translations(spark, d):
 
 
 def _sql_mark(a: str, b: str) -> str:
-    s = f"(1 - levenshtein({a}, {b}) / greatest(length({a}), length({b})))"
+    x, y = duck(S.SIMPLE_LATIN, a), duck(S.SIMPLE_LATIN, b)
+    s = f"(1 - {_distance(x, y)} / greatest(length({x}), length({y})))"
     return f"CASE WHEN {s} >= 0.6 THEN '+' WHEN {s} >= 0.35 THEN '~' ELSE '-' END"
 
 
-@query(f"{_WORDS} SELECT a, concat_ws(' ', 'ru' || CASE WHEN b IS NULL THEN NULL ELSE {_sql_mark('a', 'b')} END, 'pl' || CASE WHEN c IS NULL THEN NULL ELSE {_sql_mark('a', 'c')} END) AS marks FROM ({_ASCII})")
+@query(f"{_WORDS} SELECT a, concat_ws(' ', 'ru' || CASE WHEN b IS NULL THEN NULL ELSE {_sql_mark('a', 'b')} END, 'pl' || CASE WHEN c IS NULL THEN NULL ELSE {_sql_mark('a', 'c')} END) AS marks FROM ({_TRIPLE})")
 def intelligibility(spark, d):
     rows = _triples(spark, d)
     return rows.select("a", S.intelligibility(F.col("a"), {"pl": F.col("c"), "ru": F.col("b")}).alias("marks"))
 
 
-@query(f"{_WORDS} SELECT a, floor(greatest(0.0, least(1.0, 1 - (levenshtein(a, b) + levenshtein(a, c)) / 2 / greatest(length(a), length(b), length(c)))) * 1e6 + 0.5) / 1e6 AS similarity FROM ({_ASCII}) WHERE c IS NOT NULL")
+@query(f"{_WORDS} SELECT a, floor(greatest(0.0, least(1.0, 1 - ({_distance('a', 'b')} + {_distance('a', 'c')}) / 2 / greatest(length(a), length(b), length(c)))) * 1e6 + 0.5) / 1e6 AS similarity FROM ({_TRIPLE}) WHERE c IS NOT NULL")
 def target_similarity(spark, d):
     rows = _triples(spark, d).filter("c IS NOT NULL")
     return rows.select("a", X.rounded(S.target_similarity(F.col("a"), F.array("b", "c")), 6).alias("similarity"))
@@ -101,7 +116,7 @@ def target_similarity(spark, d):
 
 @query(
     f"""{_WORDS} SELECT a, CASE WHEN greatest(x, y, z) = 0 THEN 1.0 ELSE floor((1 - (x + y + z) / 3 / greatest(x, y, z)) * 1e6 + 0.5) / 1e6 END AS similarity
-    FROM (SELECT a, levenshtein(a, b) AS x, levenshtein(a, c) AS y, levenshtein(b, c) AS z FROM ({_ASCII}) WHERE c IS NOT NULL)"""
+    FROM (SELECT a, {_distance('a', 'b')} AS x, {_distance('a', 'c')} AS y, {_distance('b', 'c')} AS z FROM ({_TRIPLE}) WHERE c IS NOT NULL)"""
 )
 def pairwise_similarity(spark, d):
     rows = _triples(spark, d).filter("c IS NOT NULL")
@@ -450,15 +465,19 @@ def chapter_split(spark, d):
 
 
 @query(
-    r"""SELECT doc_id, len(regexp_extract_all(text, '\*([^\s.,;()]+)', 1)) AS hits, regexp_extract_all(text, '\*([^\s.,;()]+)', 1)[1] AS first,
-    substr(text, greatest(strpos(text, '*') - 10, 1), 300) AS context FROM documents WHERE regexp_matches(text, '\*[^\s.,;()]')"""
+    r"""WITH p AS (SELECT doc_id, string_split(regexp_replace(text, '(\*[^\s.,;()]+)', chr(1) || '\1', 'g'), chr(1)) AS parts FROM documents),
+    m AS (SELECT doc_id, unnest(parts[:-2]) AS before, unnest(parts[2:]) AS part, unnest(range(len(parts) - 1))::INT AS hit FROM p)
+    SELECT doc_id, hit, regexp_extract(part, '\*([^\s.,;()]+)', 1) AS word, right(before, 10) || left(part, 290) AS context FROM m"""
 )
 def regex_context(spark, d):
-    """Starred forms in running text, with the text around the first star."""
-    found = F.regexp_extract_all("text", F.lit(r"\*([^\s.,;()]+)"), F.lit(1))
-    rows = _docs(spark, d).filter(F.col("text").rlike(r"\*[^\s.,;()]"))
-    start = F.greatest(F.instr("text", "*") - 10, F.lit(1))
-    return rows.select("doc_id", F.size(found).cast("long").alias("hits"), F.get(found, F.lit(0)).alias("first"), F.substring("text", start, F.lit(300)).alias("context"))
+    """Every starred form in running text, with the text before and after it, up to the next one on either side."""
+    star = r"\*([^\s.,;()]+)"
+    rows = _docs(spark, d).filter(F.contains("text", F.lit("*"))).select("doc_id", F.split(F.regexp_replace("text", star, "\u0001*$1"), "\u0001").alias("parts"))
+    parts = F.col("parts")
+    hit = lambda p, i: F.struct(F.get(parts, i).alias("before"), p.alias("part"))
+    found = rows.select("doc_id", F.posexplode(F.transform(F.slice(parts, F.lit(2), F.size(parts)), hit)).alias("hit", "m"))
+    context = F.concat(F.right("m.before", F.lit(10)), F.left("m.part", F.lit(290)))
+    return found.select("doc_id", "hit", F.regexp_extract("m.part", star, 1).alias("word"), context.alias("context"))
 
 
 _TEI_TAG = "CASE pos " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.TEI_TAGS.items()) + " ELSE lower(pos) END"
@@ -499,12 +518,44 @@ def paradigm_adjective(spark, d):
     return M.adjective_forms(rows, M.adjective_endings(spark)).select("slug", "kind", "number", "gender", "case", "form")
 
 
-@query()
+def _verb_sql() -> str:
+    """The verb table in SQL: stems by the infinitive's ending, then one struct for each form."""
+    cut = lambda v, n: f"left({v}, length({v}) - {n})"
+    plus = lambda stem, line: [f"{stem} || '{'' if e == '-' else e}'" for e in line.split()]
+    either = lambda condition, x, y: [f"CASE WHEN {condition} THEN {p} ELSE {q} END" for p, q in zip(x, y, strict=True)]
+    four = "verb_class = 'IV'"
+    present = plus("pres", V.PRESENT)
+    present[0] = f"CASE WHEN {four} THEN {_IOT(cut('pres', 1))} || 'ų' ELSE base || 'ų' END"
+    present[8] = f"CASE WHEN {four} THEN {cut('pres', 1)} || 'ęt' ELSE base || 'ųt' END"
+    passive = either("ends_with(base, 'j')", plus("base", V.PASSIVE["j"]), plus("base", V.PASSIVE[""]))
+    tenses = [
+        ("infinitive", ["-"], ["slug"]),
+        ("present", V.PERSONS, present),
+        ("aorist", V.PERSONS, either("vowel", plus("inf", V.AORIST_VOWEL), plus("inf", V.AORIST_CONSONANT))),
+        ("imperfect", V.PERSONS, plus("(CASE WHEN vowel THEN inf ELSE inf || 'ě' END)", V.IMPERFECT)),
+        ("imperative", list(V.IMPERATIVE), [f"command || '{e}'" for e in V.IMPERATIVE.values()]),
+        ("l_participle", list(V.L_PARTICIPLE), [f"inf || '{e}'" for e in V.L_PARTICIPLE.values()]),
+        ("active_participle", V.GENDERS, either(four, plus("(" + _IOT(cut("pres", 1)) + ")", V.ACTIVE["IV"]), plus("base", V.ACTIVE[""]))),
+        ("passive_participle", V.GENDERS, either(four, plus(cut("pres", 1), V.PASSIVE["IV"]), passive)),
+        ("past_passive", V.GENDERS, plus("past", V.PAST_PASSIVE)),
+    ]
+    rows = ", ".join(f"{{'tense': '{t}', 'person': '{p}', 'form': {f}}}" for t, persons, forms in tenses for p, f in zip(persons, forms, strict=True))
+    return f"""{_WORDS}, v AS (SELECT slug || 'ti' AS slug FROM lex),
+    c AS (SELECT slug, CASE WHEN ends_with(slug, 'iti') AND length(slug) > 5 THEN 'IV' WHEN ends_with(slug, 'ovati') OR ends_with(slug, 'ati') THEN 'III' WHEN ends_with(slug, 'nuti') THEN 'II' ELSE 'I' END AS verb_class FROM v),
+    s AS (SELECT slug, verb_class, {cut('slug', 2)} AS inf,
+      CASE WHEN {four} THEN {cut('slug', 2)} WHEN ends_with(slug, 'ovati') THEN {cut('slug', 5)} || 'uje' WHEN verb_class = 'III' THEN {cut('slug', 3)} || 'aje' WHEN verb_class = 'II' THEN {cut('slug', 4)} || 'ne'
+      ELSE ({_PAL(cut('slug', 2))}) || 'e' END AS pres FROM c),
+    b AS (SELECT *, CASE WHEN ends_with(pres, 'e') THEN {cut('pres', 1)} ELSE pres END AS base, verb_class IN ('III', 'IV') OR right(inf, 1) IN ('a', 'i') AS vowel FROM s),
+    m AS (SELECT *, CASE WHEN {four} THEN pres WHEN ends_with(base, 'j') THEN base ELSE base || 'j' END AS command,
+      CASE WHEN {four} THEN ({_PAL(cut('inf', 1))}) || 'en' WHEN verb_class = 'III' THEN inf || 'n' WHEN verb_class = 'II' THEN {cut('inf', 1)} || 'en'
+      WHEN regexp_matches(right(inf, 1), '[aeiouyěęǫ]') THEN inf || 't' ELSE ({_PAL('inf')}) || 'en' END AS past FROM b),
+    f AS (SELECT slug, verb_class, unnest([{rows}]) AS f FROM m) SELECT slug, verb_class, f.tense AS tense, f.person AS person, f.form AS form FROM f"""
+
+
+@query(_verb_sql())
 def paradigm_verb(spark, d):
     """Forms of made-up infinitives from the lexicon's words."""
-    from verbatlas.functions.verbs import verb_forms
-
-    return verb_forms(_lexicon(spark, d).select(F.concat("slug", F.lit("ti")).alias("slug")))
+    return V.verb_forms(_lexicon(spark, d).select(F.concat("slug", F.lit("ti")).alias("slug")))
 
 
 @query(f"{_WORDS} SELECT slug, {duck(S.NEW_TO_STANDARD, duck(S.TO_CYRILLIC_NEW, 'slug'))} AS standard, {duck(S.CLEAN_MATCH, 'slug')} AS clean FROM lex")
@@ -514,7 +565,20 @@ def new_spelling(spark, d):
     return _lexicon(spark, d).select("slug", S.applied(S.TO_CYRILLIC_NEW + S.NEW_TO_STANDARD, slug).alias("standard"), S.applied(S.CLEAN_MATCH, slug).alias("clean"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {LEX}, {_DOC_WORDS}, g AS (SELECT left(slug, 2) AS root_group, slug FROM lex WHERE length(slug) >= 3),
+    parts AS (SELECT DISTINCT root_group, slug, substr(slug, i, k) AS part FROM (SELECT root_group, slug, i, unnest(range(3, length(slug) - i + 2)) AS k FROM (SELECT root_group, slug, unnest(range(1, length(slug) - 1)) AS i FROM g))),
+    c AS (SELECT root_group, part, count(*) AS hits FROM parts GROUP BY 1, 2),
+    roots AS (SELECT DISTINCT part AS root FROM (SELECT *, row_number() OVER (PARTITION BY root_group ORDER BY hits DESC, length(part) DESC, part) AS rn FROM c) WHERE rn = 1),
+    spans AS (SELECT word, i, unnest(range(1, length(word) - i + 2)) AS n FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM dw)),
+    h AS (SELECT word, i, max(n) AS n FROM spans JOIN roots ON substr(word, i, n) = root GROUP BY 1, 2),
+    nxt AS MATERIALIZED (SELECT h.word, h.i, h.n, min(j.i) AS nx FROM h LEFT JOIN h j ON j.word = h.word AND j.i >= h.i + h.n GROUP BY 1, 2, 3),
+    r AS (SELECT word, i, n, nx, CASE WHEN i > 1 THEN 'prefix:' || left(word, i - 1) || '|' ELSE '' END || 'root:' || substr(word, i, n) AS parts
+        FROM nxt JOIN (SELECT word, min(i) AS i FROM h GROUP BY 1) USING (word, i)
+      UNION ALL SELECT r.word, nxt.i, nxt.n, nxt.nx, r.parts || CASE WHEN nxt.i > r.i + r.n THEN '|unknown:' || substr(r.word, r.i + r.n, nxt.i - r.i - r.n) ELSE '' END || '|root:' || substr(r.word, nxt.i, nxt.n)
+        FROM r JOIN nxt ON nxt.word = r.word AND nxt.i = r.nx)
+    SELECT word, parts || CASE WHEN i + n <= length(word) THEN '|suffix:' || substr(word, i + n) ELSE '' END AS parts FROM r WHERE nx IS NULL"""
+)
 def morpheme_segments(spark, d):
     """Words of the corpus cut at roots: the roots mined from the lexicon."""
     words = _lexicon(spark, d).select(F.substring("slug", 1, 2).alias("g"), "slug")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gzip
 import re
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,6 +39,11 @@ def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Files with a JSON object in each line."""
+    return spark.read.schema(schema).json(path)
+
+
 def word_ids(column: Column) -> Column:
     """array<struct<id, flavor>> from any of the three ways in which lists of ids were stored.
 
@@ -109,10 +116,44 @@ def decompressed(df: DataFrame, column: str, into: str) -> DataFrame:
     return row.mapInArrow(opened, f"row {kind}, {into} string").select("row.*", into)
 
 
-def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
+def packed(df: DataFrame, column: str, into: str) -> DataFrame:
+    """Add the gzip+base64 form of a text column, in Arrow batches; null stays null."""
+    row = df.select(F.struct(*df.columns).alias("row"), F.col(column).alias("body"))
+
+    def closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [None if t is None else compressed(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", into])
+
+    kind = row.schema["row"].dataType.simpleString()
+    return row.mapInArrow(closed, f"row {kind}, {into} string").select("row.*", into)
+
+
+def write_csv(df: DataFrame, path: str, order: list[str] | None = None, separator: str = ",") -> None:
     """A quoted CSV report with a header."""
     df = df.orderBy(*order) if order else df
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').option("sep", separator).csv(path)
+
+
+def write_json(df: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """A JSON report, an object in each line; null fields are left out."""
+    df = df.orderBy(*order) if order else df
+    df.write.mode("overwrite").json(path)
+
+
+def append_csv(df: DataFrame, path: str) -> None:
+    """Rows added to a CSV report, as files beside those that are there: whatever they end in, no line runs into another."""
+    df.write.mode("append").option("header", True).option("escape", '"').csv(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share: the session's spark.checkpoint.dir, in local mode a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp()
+    return f"{folder.rstrip('/')}/verbatlas-{name}-{uuid.uuid4().hex}"
 
 
 def write_tokens(tokens: DataFrame, path: str) -> None:
