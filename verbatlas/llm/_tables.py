@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,19 +28,40 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Where the tables written here are, as long as their DataFrames live.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df to the shared folder and read it back.
 
     Cuts lineage at a file that outlives any executor, and gives the optimizer the true size of
     what follows, so that joins are broadcast only where the measured bytes allow it. The files
-    go when the application ends.
+    go when they are discarded or the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/verbatlas-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    written = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    written.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(written)
-    return spark.read.schema(df.schema).parquet(path)
+    files, written = _files(spark, path)
+    files.deleteOnExit(written)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[table] = path
+    return table
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, and the path for it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `materialize` wrote, once nothing that is still to be run reads them."""
+    for table in tables:
+        path = _PATHS.pop(table, None)
+        if path:
+            files, at = _files(table.sparkSession, path)
+            files.delete(at, True)
 
 
 def carried(docs: DataFrame, keep: list[str]) -> DataFrame:

@@ -16,6 +16,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Texts are hashed in blocks of this many bytes, so that long ones need bounded memory.
 BLOCK = 1 << 18
+#: Words of so many bytes or more are hashed by xxhash, shorter ones all at once.
+LONG = 128
 _BASE, _MASK = 0x9E3779B97F4A7C55, (1 << 64) - 1
 _tables = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -74,7 +76,11 @@ def words(body: bytes) -> tuple[np.ndarray, np.ndarray]:
         power, inverse = _powers(len(a) + 1)
         upto = np.zeros(len(a) + 1, np.uint64)
         np.cumsum((a + np.uint64(1)) * power[: len(a)], out=upto[1:])
-        hashes.append(mix((upto[end] - upto[start]) * inverse[start] + (end - start).astype(np.uint64)))
+        own = mix((upto[end] - upto[start]) * inverse[start] + (end - start).astype(np.uint64))
+        # sums of powers modulo 2^64 agree for some long words of two letters, so long words are digested one by one
+        for i in np.flatnonzero(end - start >= LONG):
+            own[i] = xxhash.xxh64_intdigest(part[start[i] : end[i]])
+        hashes.append(own)
         first = np.where(end - start > 1, a[np.maximum(end, 2) - 2], 0).astype(np.uint16)
         tails.append(first * np.uint16(256) + a[end - 1])
     if not hashes:
@@ -120,7 +126,7 @@ def bodies(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4 << 20, most_rows: int = 512) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 2 << 20, most_rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batch in parts of so many bytes of text and rows at most (one row at least), so that Python never holds a whole batch."""
     texts = batch.column(column)
     upto = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)), dtype=np.int64)
