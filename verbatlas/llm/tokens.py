@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -41,16 +41,23 @@ class PieceEncoder:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
-        self.tokenizer, self.bare, self.left = Tokenizer.from_file(path), Tokenizer.from_file(path), most_bytes
+        self.path, self.bare, self.left = path, Tokenizer.from_file(path), most_bytes
         # pre-tokens come in the vocabulary's own letters and in lower case, so that this one has to cut at spaces only
         self.bare.normalizer, self.bare.pre_tokenizer = None, WhitespaceSplit()
-        self.specials = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.specials = [x.content.encode() for x in self.bare.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
-        vocab = self.tokenizer.get_vocab()
+        vocab = self.bare.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
+    @cached_property
+    def tokenizer(self):
+        """The tokenizer as it is in its file, loaded where a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
