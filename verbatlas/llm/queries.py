@@ -73,10 +73,10 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verdict on all pages' URLs."""
-    from .urlfilter import BLOCK_LIST, RULES, judge
+    """The verdict on all pages' URLs, with every address of the unwanted sites listed."""
+    from .urlfilter import RULES, SITES, judge_addresses
 
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES, BLOCK_LIST)
+    return judge_addresses(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES, SITES)
 
 
 def op9_site_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,9 +150,9 @@ fitted AS (
     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM parsed),
-listed AS (SELECT unnest(['adult-x.example.com', 'ads-track.example.com', 'casino-win.example.net', 'free-bets.example.net', 'spam-farm.example.org']) AS entry)
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'example.org/en/1', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-  WHEN EXISTS (SELECT 1 FROM listed WHERE host = entry OR ends_with(host, '.' || entry)) THEN 'block' ELSE 'allow' END AS verdict FROM fitted
+listed AS (SELECT DISTINCT host, path FROM parsed WHERE list_has_any(string_split(host, '.'), ['adult-x', 'ads-track', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']))
+SELECT page_id, f.host, f.path, rule, CASE WHEN rule IN ('org/', 'example.org/en/1', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN l.host IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict FROM fitted f LEFT JOIN listed l ON f.host = l.host AND f.path = l.path
 """
 
 #: The same rules, and sites by a label of the host.
