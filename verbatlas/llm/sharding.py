@@ -139,7 +139,7 @@ def shard_rows(keyed: DataFrame, n_shards: int = 16, rows_per_block: int = 250_0
     min_blocks of them spread the local permutations. keyed is read several times, so it should be
     a table. Slots are gapless from 0 in each shard: a shard is cut into as many random cells as
     there are blocks per shard, rows are ranked inside a cell, and cells are laid end to end; thus
-    no task holds a shard. Rows that are equal in content have one digest and are interchangeable.
+    no task holds a shard. Rows with one digest are interchangeable.
     """
     n = keyed.count()
     blocks = min_blocks
@@ -168,13 +168,14 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, seed: int = 0) -> DataF
     """doc_id, size, text_crc32, shard, slot of every document under the law `rows`.
 
     Null text has no bytes: size 1, crc 0. An empty table gives no rows. Repeated rows get places
-    of their own. Other columns are ignored.
+    of their own; the digest holds a row's number in its input, so that a row that is repeated very often is spread like any
+    others. Very long texts are only hashed. Other columns are ignored.
     """
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     keyed = docs.select(
         "doc_id",
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
-        F.xxhash64("doc_id", "text").alias("digest"),
+        F.xxhash64("doc_id", "text", F.monotonically_increasing_id()).alias("digest"),
     )
     return shard_rows(materialize(keyed, "shard-keys"), n_shards, seed=seed).drop("digest")
