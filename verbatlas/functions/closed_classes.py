@@ -21,8 +21,8 @@ COLLECTIVE = {"oje": "e e ih im imi ih e", "ero": "o o yh ym ymi yh o"}
 GENDERS = ["MASC", "FEM", "NEUT"]
 
 
-def pronouns(spark: SparkSession) -> DataFrame:
-    """lemma, number, gender, case, form, short: all forms of ja, ty, kto, čto, on; gender only where it matters."""
+def pronoun_rows() -> list[tuple]:
+    """(lemma, number, gender, case, form, short) of all forms of ja, ty, kto, čto, on; gender only where it matters."""
     rows = []
     for lemma, lines in PERSONAL.items():
         for number, line in zip(NUMBERS, lines):
@@ -36,18 +36,26 @@ def pronouns(spark: SparkSession) -> DataFrame:
             for case, ending in zip(CASES, line.split()):
                 own = case == "nominative" or (case == "accusative" and gender == "NEUT")
                 rows.append(("on", number, gender, case, direct[gender] if own else "j" + ending, None))
-    return spark.createDataFrame(rows, "lemma string, number string, gender string, `case` string, form string, short string")
+    return rows
 
 
-def small_numerals(spark: SparkSession) -> DataFrame:
-    """lemma, gender, case, form of two, three and four; two has ě for a in the feminine and neuter."""
+def pronouns(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(pronoun_rows(), "lemma string, number string, gender string, `case` string, form string, short string")
+
+
+def numeral_rows() -> list[tuple]:
+    """(lemma, gender, case, form) of two, three and four; two has ě for a in the feminine and neuter."""
     rows = []
     for lemma, (base, line) in SMALL_NUMBERS.items():
         for gender in GENDERS:
             for case, ending in zip(CASES, line.split()):
                 soft = lemma == "dva" and ending == "a" and gender != "MASC"
                 rows.append((lemma, gender, case, base + ("ě" if soft else ending)))
-    return spark.createDataFrame(rows, "lemma string, gender string, `case` string, form string")
+    return rows
+
+
+def small_numerals(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(numeral_rows(), "lemma string, gender string, `case` string, form string")
 
 
 def _declined(rows: DataFrame, base, line: str) -> DataFrame:

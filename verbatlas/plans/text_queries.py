@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from verbatlas.functions import closed_classes as K
+from verbatlas.functions import paradigms as P
 from verbatlas.functions import stems as M
 from verbatlas.functions import strings as S
 from verbatlas.functions import text as X
@@ -519,7 +521,7 @@ def paradigm_adjective(spark, d):
 
 
 def _verb_sql() -> str:
-    """The verb table in SQL: stems by the infinitive's ending, then one struct for each form."""
+    """CTEs from v (slug) to f (slug, verb_class, f): stems by the infinitive's ending, then one struct for each form."""
     cut = lambda v, n: f"left({v}, length({v}) - {n})"
     plus = lambda stem, line: [f"{stem} || '{'' if e == '-' else e}'" for e in line.split()]
     either = lambda condition, x, y: [f"CASE WHEN {condition} THEN {p} ELSE {q} END" for p, q in zip(x, y, strict=True)]
@@ -540,8 +542,7 @@ def _verb_sql() -> str:
         ("past_passive", V.GENDERS, plus("past", V.PAST_PASSIVE)),
     ]
     rows = ", ".join(f"{{'tense': '{t}', 'person': '{p}', 'form': {f}}}" for t, persons, forms in tenses for p, f in zip(persons, forms, strict=True))
-    return f"""{_WORDS}, v AS (SELECT slug || 'ti' AS slug FROM lex),
-    c AS (SELECT slug, CASE WHEN ends_with(slug, 'iti') AND length(slug) > 5 THEN 'IV' WHEN ends_with(slug, 'ovati') OR ends_with(slug, 'ati') THEN 'III' WHEN ends_with(slug, 'nuti') THEN 'II' ELSE 'I' END AS verb_class FROM v),
+    return f"""c AS (SELECT slug, CASE WHEN ends_with(slug, 'iti') AND length(slug) > 5 THEN 'IV' WHEN ends_with(slug, 'ovati') OR ends_with(slug, 'ati') THEN 'III' WHEN ends_with(slug, 'nuti') THEN 'II' ELSE 'I' END AS verb_class FROM v),
     s AS (SELECT slug, verb_class, {cut('slug', 2)} AS inf,
       CASE WHEN {four} THEN {cut('slug', 2)} WHEN ends_with(slug, 'ovati') THEN {cut('slug', 5)} || 'uje' WHEN verb_class = 'III' THEN {cut('slug', 3)} || 'aje' WHEN verb_class = 'II' THEN {cut('slug', 4)} || 'ne'
       ELSE ({_PAL(cut('slug', 2))}) || 'e' END AS pres FROM c),
@@ -549,10 +550,10 @@ def _verb_sql() -> str:
     m AS (SELECT *, CASE WHEN {four} THEN pres WHEN ends_with(base, 'j') THEN base ELSE base || 'j' END AS command,
       CASE WHEN {four} THEN ({_PAL(cut('inf', 1))}) || 'en' WHEN verb_class = 'III' THEN inf || 'n' WHEN verb_class = 'II' THEN {cut('inf', 1)} || 'en'
       WHEN regexp_matches(right(inf, 1), '[aeiouyěęǫ]') THEN inf || 't' ELSE ({_PAL('inf')}) || 'en' END AS past FROM b),
-    f AS (SELECT slug, verb_class, unnest([{rows}]) AS f FROM m) SELECT slug, verb_class, f.tense AS tense, f.person AS person, f.form AS form FROM f"""
+    f AS (SELECT slug, verb_class, unnest([{rows}]) AS f FROM m)"""
 
 
-@query(_verb_sql())
+@query(f"{_WORDS}, v AS (SELECT slug || 'ti' AS slug FROM lex), {_verb_sql()} SELECT slug, verb_class, f.tense AS tense, f.person AS person, f.form AS form FROM f")
 def paradigm_verb(spark, d):
     """Forms of made-up infinitives from the lexicon's words."""
     return V.verb_forms(_lexicon(spark, d).select(F.concat("slug", F.lit("ti")).alias("slug")))
@@ -584,3 +585,49 @@ def morpheme_segments(spark, d):
     words = _lexicon(spark, d).select(F.substring("slug", 1, 2).alias("g"), "slug")
     roots = M.root_candidates(words, "g", "slug").select("root")
     return M.segmented(_doc_words(spark, d), roots).withColumn("parts", F.expr("array_join(transform(parts, p -> p.kind || ':' || p.text), '|')"))
+
+
+# all parts of speech
+
+_POS = """CASE WHEN right(slug, 1) IN ('y', 'i') AND NOT ends_with(slug, 'ti') THEN 'ADJ' WHEN ends_with(slug, 'ti') THEN 'VERB' WHEN ends_with(slug, 'o') THEN 'ADV' WHEN length(slug) < 3 THEN 'ADP' ELSE 'NOUN' END"""
+_PRONOUNS = ", ".join("(" + ", ".join("NULL" if v is None else _text(v) for v in r) + ")" for r in K.pronoun_rows())
+_NUMERALS = ", ".join("(" + ", ".join(map(_text, r)) + ")" for r in K.numeral_rows())
+_GRADED = "length(slug) > 2 AND right(slug, 1) IN ('o', 'e', 'ě')"
+_ALL_FORMS = f"""lp AS (SELECT slug, {_POS} AS pos FROM lex), {_END_TABLE}, adj(kind, number, gender, "case", ending) AS (VALUES {_ADJ_VALUES}),
+    pron(slug, number, gender, "case", form, short) AS (VALUES {_PRONOUNS}), nums(slug, gender, "case", form) AS (VALUES {_NUMERALS}), v AS (SELECT slug FROM lp WHERE pos = 'VERB'), {_verb_sql()},
+    forms AS (SELECT slug, 'NOUN' AS pos, number || ' ' || "case" AS feats, slug || ending AS form FROM (SELECT slug, CASE WHEN ({_GENDER}) IN ('FEM', 'NEUT') THEN 'a_hard' ELSE 'o_hard' END AS stem_type FROM lp WHERE pos = 'NOUN') JOIN ends USING (stem_type)
+      UNION ALL SELECT slug, 'ADJ', number || ' ' || gender || ' ' || "case", left(slug, length(slug) - 1) || ending FROM lp JOIN adj ON kind = CASE WHEN ends_with(slug, 'i') THEN 'soft' ELSE 'hard' END WHERE pos = 'ADJ'
+      UNION ALL SELECT slug, 'VERB', f.tense || ' ' || f.person, f.form FROM f
+      UNION ALL SELECT slug, 'ADV', 'pos', slug FROM lp WHERE pos = 'ADV'
+      UNION ALL SELECT slug, 'ADV', d, CASE d WHEN 'cmp' THEN '' ELSE 'naj' END || left(slug, length(slug) - 1) || 'ěje' FROM lp, (SELECT unnest(['cmp', 'sup']) AS d) WHERE pos = 'ADV' AND {_GRADED}
+      UNION ALL SELECT slug, 'ADP', '', slug FROM lp WHERE pos = 'ADP'
+      UNION ALL SELECT slug, 'PRON', concat_ws(' ', number, gender, "case"), form FROM pron UNION ALL SELECT slug, 'NUM', gender || ' ' || "case", form FROM nums)"""
+
+
+def _all_forms(spark, d):
+    slug = F.col("slug")
+    pos = (
+        F.when(F.substring(slug, -1, 1).isin("y", "i") & ~F.endswith(slug, F.lit("ti")), "ADJ")
+        .when(F.endswith(slug, F.lit("ti")), "VERB")
+        .when(F.endswith(slug, F.lit("o")), "ADV")
+        .when(F.length(slug) < 3, "ADP")
+        .otherwise("NOUN")
+    )
+    closed = [(w, "PRON") for w in sorted({r[0] for r in K.pronoun_rows()})] + [(w, "NUM") for w in sorted({r[0] for r in K.numeral_rows()})]
+    lexemes = _lexicon(spark, d).select("slug", pos.alias("pos")).unionByName(spark.createDataFrame(closed, "slug string, pos string"))
+    return P.forms_of(lexemes)
+
+
+@query(f"{_WORDS}, {_ALL_FORMS} SELECT slug, pos, feats, form FROM forms")
+def paradigm_dispatch(spark, d):
+    """All forms of the lexicon's words, which their endings make nouns, adjectives, verbs or adverbs, and of pronouns and numerals."""
+    return _all_forms(spark, d)
+
+
+@query(
+    f"""{_WORDS}, {_DOC_WORDS}, {_ALL_FORMS}, k AS (SELECT slug, pos, {duck(S.NORMAL_FORM, 'lower(form)')} AS key FROM forms)
+    SELECT word, pos, min(slug) AS lemma, count(*) AS match_count FROM dw JOIN k ON {duck(S.NORMAL_FORM, 'lower(word)')} = key GROUP BY word, pos"""
+)
+def dict_analyze_all(spark, d):
+    """Words of the corpus looked up in the forms of all parts of speech."""
+    return P.analyses(_doc_words(spark, d), _all_forms(spark, d))
