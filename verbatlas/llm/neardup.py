@@ -208,7 +208,9 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     pairs = members.filter("id <> leader").select(F.col("leader").alias("x"), F.col("id").alias("y")).distinct()
     starred = pairs.join(_side(slim, "a"), F.col("x") == F.col("a_id")).join(_side(slim, "b"), (F.col("y") == F.col("b_id")) & _possible(percent))
     starred = materialize(starred.select(F.col("x").alias("a"), F.col("y").alias("b")), "minhash-pairs")
-    wanted = docs.select("doc_id", "text").join(slim.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # the candidates grow with the documents, so they are never broadcast, however few they are
+    candidates = slim.select(F.col("id").alias("doc_id")).distinct().hint("shuffle_merge")
+    wanted = docs.select("doc_id", "text").join(candidates, "doc_id", "left_semi")
     sets = materialize(_sets(wanted, k), "minhash-sets")
     links = materialize(_confirmed(starred, sets, percent), "minhash-links")
 
