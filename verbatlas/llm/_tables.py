@@ -32,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", compression: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back.
 
     Cuts lineage at a file that outlives any executor, and gives the optimizer the true size of
@@ -41,7 +41,8 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/verbatlas-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write.option("compression", compression) if compression else df.write
+    writer.parquet(path)
     files, written = _files(spark, path)
     files.deleteOnExit(written)
     table = spark.read.schema(df.schema).parquet(path)

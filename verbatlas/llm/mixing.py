@@ -12,7 +12,8 @@ source, and documents compare their key with it, so a source with a third of all
 
 Defined results: null or empty text has size 0 and takes 0 words; a null source is a source of its
 own, last in order; an empty table gives no rows; rows that are equal in id and text share one key,
-and where the budget ends among them each takes an equal whole part; other columns are ignored, or
+and where the budget ends among them each takes an equal whole part (what that leaves, fewer words than such rows, is not taken);
+very long texts are only counted; other columns are ignored, or
 kept by `mixed`, which replaces none of them.
 """
 

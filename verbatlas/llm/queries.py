@@ -12,7 +12,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that a 5:2:1 mix over 150 % of all words takes of each document."""
+    """Words that a 5:2:1 mix over 150 % of all words takes of each document; of equal rows at a budget's end each takes an equal whole part."""
     from .mixing import plan_mix
 
     return plan_mix(_docs(spark, sf_dir)).drop("source")
@@ -59,10 +59,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All texts as progressive JPEGs, read back."""
+    """All texts as progressive JPEGs, written to the shared folder and read back."""
+    from ._tables import materialize
     from .media import read_back, stored
 
-    return read_back(stored(_docs(spark, sf_dir)))
+    return read_back(materialize(stored(_docs(spark, sf_dir)), "media", "zstd"))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
