@@ -94,6 +94,30 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_docs(spark, sf_dir))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every document's token ids stand in files of equal-length sequences, and their checksum, read back from the files."""
+    from pyspark.sql import functions as F
+
+    from .token_files import byte_bpe_path, documents_of, write_files
+
+    files = write_files(_docs(spark, sf_dir), byte_bpe_path())
+    return documents_of(files).select("doc_id", (F.col("file_start") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document's words, a tenth of the documents with a tail made to repeat."""
+    from .periodic import digests, looped_tenth, periodic_runs
+
+    return digests(periodic_runs(_docs(spark, sf_dir), looped_tenth()))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, roots and proof in the Merkle manifest by language, and its check after tampering."""
+    from .merkle import manifest_documents
+
+    return manifest_documents(_docs(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw documents to packed sequences, through all stages."""
     import corpus_pipeline
@@ -114,6 +138,9 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op9_site_filter": op9_site_filter,
     "op10_lm_scores": op10_lm_scores,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_merkle": op12_merkle,
+    "op13_token_files": op13_token_files,
 }
 #: The mix in SQL: the same targets by water level, the same keys, a plain sort of each source.
 OP1_SQL = r"""
@@ -172,4 +199,44 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'example.org/en/1',
   WHEN list_has_any(string_split(host, '.'), ['adult-x', 'ads-track', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) THEN 'block' ELSE 'allow' END AS verdict FROM fitted
 """
 
-ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op9_url_filter": OP9_SQL, "op9_site_filter": OP9_SITES_SQL}
+#: The tree level by level, then every leaf's path, folded upwards.
+OP12_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT *, CASE WHEN crc % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other FROM (
+    SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(list_filter(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda c: c <> ''), lambda c: ascii(c)::BIGINT)),
+      lambda v, c: list_reduce(list_prepend(xor(v, c), range(8)), lambda x, j: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))) AS crc FROM documents)),
+heads AS (
+  SELECT doc_id, lang, text, other, concat(
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'),
+    coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head FROM texts),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS size FROM (
+    SELECT doc_id, lang, sha256(concat(head, coalesce(strlen(text) || ':' || text, '-'))) AS leaf, sha256(concat(head, coalesce(strlen(other) || ':' || other, '-'))) AS other FROM heads)),
+lower_levels AS (
+  SELECT 0 AS k, lang, pos, size, leaf AS node FROM placed UNION ALL
+  SELECT k + 1, lang, pos // 8, (size + 7) // 8, sha256(string_agg(node, '' ORDER BY pos)) FROM lower_levels WHERE size > 1 GROUP BY k, lang, pos // 8, (size + 7) // 8),
+tops AS (SELECT lang, node, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS size FROM lower_levels WHERE size = 1),
+upper_levels AS (
+  SELECT 0 AS k, pos, size, node FROM tops UNION ALL
+  SELECT k + 1, pos // 8, (size + 7) // 8, sha256(string_agg(node, '' ORDER BY pos)) FROM upper_levels WHERE size > 1 GROUP BY k, pos // 8, (size + 7) // 8),
+lower_steps AS (
+  SELECT k, lang, pos, coalesce(string_agg(node, '') OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce(string_agg(node, '') OVER (r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM lower_levels WHERE size > 1
+  WINDOW r AS (PARTITION BY k, lang, pos // 8 ORDER BY pos)),
+upper_steps AS (
+  SELECT k, pos, coalesce(string_agg(node, '') OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce(string_agg(node, '') OVER (r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM upper_levels WHERE size > 1
+  WINDOW r AS (PARTITION BY k, pos // 8 ORDER BY pos)),
+lower_folds AS (
+  SELECT doc_id, lang, leaf, 0 AS k, pos, size, other AS h, '' AS proof FROM placed UNION ALL
+  SELECT doc_id, f.lang, leaf, f.k + 1, f.pos // 8, (size + 7) // 8, sha256(concat(before, h, after)), concat(proof, before, after)
+  FROM lower_folds f JOIN lower_steps s ON f.k = s.k AND f.lang IS NOT DISTINCT FROM s.lang AND f.pos = s.pos WHERE size > 1),
+upper_folds AS (
+  SELECT doc_id, leaf, node AS subroot, 0 AS k, t.pos, t.size, h, proof FROM lower_folds f JOIN tops t ON f.lang IS NOT DISTINCT FROM t.lang WHERE f.size = 1 UNION ALL
+  SELECT doc_id, leaf, subroot, f.k + 1, f.pos // 8, (size + 7) // 8, sha256(concat(before, h, after)), concat(proof, before, after)
+  FROM upper_folds f JOIN upper_steps s ON f.k = s.k AND f.pos = s.pos WHERE size > 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified
+FROM upper_folds, (SELECT node AS root FROM upper_levels WHERE size = 1) WHERE size = 1
+"""
+
+ORACLES: dict[str, str] = {"op12_merkle": OP12_SQL, "op1_mixing": OP1_SQL, "op9_url_filter": OP9_SQL, "op9_site_filter": OP9_SITES_SQL}
