@@ -709,11 +709,62 @@ def test_units_and_scores_grow_with_the_corpus(spark):
         rows.append((i, " ".join(text), "en", "a", 0))
     docs = spark.createDataFrame(rows, DOCS)
     sizes = [lm.vocabulary(lm.word_counts(docs.filter(f"doc_id < {n}"))).own for n in (20, 100)]
-    assert sizes == [max(64, int((121 * n) ** 0.5)) for n in (20, 100)] and sizes[0] < sizes[1]
-    out = lm.score(docs, F.col("doc_id") % 5 != 1, every=1).filter("doc_id % 5 = 1").collect()
+    assert sizes == [min(300, lm.units_for(121 * n)) for n in (20, 100)] and sizes[0] < sizes[1]
+    out = lm.score(docs, F.col("doc_id") % 5 != 1).filter("doc_id % 5 = 1").collect()
     assert sum(r["score"] for r in out) > 0.7 * sum(r["base_score"] for r in out)
 
 
+def test_scores_equal_a_plain_softmax(docs, rows):
+    """Over all units at once, in double precision, text by text; the units' probabilities sum up to 1."""
+    learned = lm.train(docs.filter("doc_id < 150"), head=300)
+    vocab, net = learned.vocab, learned.model
+    counts = {r["key"]: r["n"] for r in learned.counts.collect()}
+    wide = lambda name: getattr(net, name).astype(np.float64)
+    first, second, cluster, unit = map(wide, bilinear.Bilinear.PARTS)
+    owner = np.repeat(np.arange(len(net.starts) - 1), np.diff(net.starts))
+
+    def chances(one, two):
+        h = first[one] + second[two]
+        c = np.exp(cluster[:, :-1] @ h + cluster[:, -1])
+        u = np.exp(unit[:, :-1] @ h + unit[:, -1])
+        p = (c / c.sum())[owner] * u / np.bincount(owner, u)[owner]
+        assert p.sum() == pytest.approx(1)
+        return p
+
+    got = collections.defaultdict(list)
+    for r in lm.apply(docs, learned).collect():
+        got[r["doc_id"]].append(r["score"])
+    for doc_id, text, *_ in rows[:60] + rows[240:246]:
+        keys, tails = lm.tokens((text or "").encode())
+        units = [vocab.end, vocab.end, *vocab.classify(keys, tails), vocab.end]
+        total = sum(np.log10(chances(units[i - 1], units[i - 2])[units[i]]) for i in range(2, len(units)))
+        for key, u in zip(keys.view(np.int64).tolist(), units[2:]):
+            if u >= vocab.own:  # one of several words of its unit
+                total += np.log10((counts.get(key, 0) + 0.5) / (vocab.mass[u] + 0.5 * (vocab.types[u] + 1)))
+        assert any(s == pytest.approx(total, rel=1e-4, abs=1e-3) for s in got[doc_id])
+
+
+def test_copies_are_averaged_by_what_they_saw(docs):
+    """Two copies, one of which never met a word, give that word the other's row."""
+    texts = docs.select(F.lit(1).alias("doc_id"), F.lit("a b a b").alias("text")).limit(20)
+    vocab = lm.vocabulary(lm.word_counts(texts))
+    one, two = (lm.fit(texts.repartition(n), vocab, 1, n) for n in (1, 2))
+    assert all(np.isfinite(getattr(x, p)).all() for x in (one, two) for p in bilinear.Bilinear.PARTS)
+    assert (lm.copies_for(10**5), lm.copies_for(10**9)) == (1, 100)
+
+
+def test_most_frequent_words_without_a_sort(spark):
+    rng = random.Random(5)
+    n = {k: rng.choice([1, 1, 1, 2, 3, 50, 5000 + k % 7]) for k in (rng.getrandbits(63) for _ in range(900))}
+    counts = spark.createDataFrame([(k, 0, v) for k, v in n.items()], "key long, ending int, n long")
+    for head in (0, 1, 130, 400, 900, 1000):
+        got = {r["key"] for r in lm.most_frequent(counts, head).collect()}
+        assert min(head, 900) - 5 <= len(got) <= head
+        rest = [v for k, v in n.items() if k not in got]
+        if got and rest and min(n[k] for k in got) < 1024:
+            assert min(n[k] for k in got) >= max(rest)
+
+
 def test_lm_edges(spark, empty):
     assert lm.score_documents(empty).count() == 0
     unseen = spark.createDataFrame([(1, "a b", "en", "a", 0)], DOCS)

@@ -5,17 +5,19 @@ are the scores of the clusters; its products with the vectors of a cluster's uni
 A softmax over the clusters and one over the cluster's units make a distribution over all units, at a cost that grows
 with the root of their number.
 
-Training is noise-contrastive estimation of both steps: for each pair of context and unit, clusters are drawn from the cluster
-distribution and units from the cluster's own; the score minus log(draws * q) is the logit that one is data, not noise.
+Training is noise-contrastive estimation of both steps: clusters are drawn from the cluster distribution, once for a whole batch, so that their
+logits are one matrix product; units are drawn from each token's own cluster. The score minus log(draws * q) is the logit that one is data, not noise.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
-DIM, NOISE, BATCH, RATE = 24, 6, 1024, 0.1
+#: Numbers of a vector, noise clusters of a batch, noise units of a token, tokens of a batch, and the rate of steps.
+DIM, NOISE, INNER, BATCH, RATE = 24, 64, 6, 1024, 0.1
 
 
 @dataclass
@@ -85,10 +87,12 @@ class Trainer:
     def __init__(self, model: Bilinear, seed: int):
         self.model = Bilinear(*(getattr(model, p).copy() for p in Bilinear.PARTS), model.starts, model.share)
         self.rng = np.random.default_rng(seed)
-        self.squares = {p: np.full(getattr(model, p).shape, 1e-3, np.float32) for p in Bilinear.PARTS}
-        self.seen = {p: np.zeros(len(getattr(model, p))) for p in Bilinear.PARTS}
-        self.masses, self.owner = model.masses, model.owner
-        self.upto, self.cluster_upto = np.cumsum(model.share), np.cumsum(self.masses)
+        self.squares = {p: np.full(len(getattr(model, p)), 1e-3, np.float32) for p in Bilinear.PARTS}
+        self.seen = {p: np.zeros(len(getattr(model, p)), np.float32) for p in Bilinear.PARTS}
+        masses = model.masses / model.masses.sum()
+        self.owner, self.upto = model.owner, np.cumsum(model.share)
+        self.masses, self.cluster_log = masses, np.log(NOISE * masses).astype(np.float32)
+        self.unit_log = np.log(INNER * model.share / model.masses[self.owner]).astype(np.float32)
 
     def learn(self, one: np.ndarray, two: np.ndarray, unit: np.ndarray) -> None:
         order = self.rng.permutation(len(unit))
@@ -96,55 +100,69 @@ class Trainer:
             rows = order[at : at + BATCH]
             self._step(one[rows], two[rows], unit[rows])
 
-    def _contrast(self, h: np.ndarray, table: np.ndarray, rows: np.ndarray, chance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Errors of the logits of data (first column) and noise, and the gradient for h."""
-        vectors = table[rows]
-        logit = np.einsum("bd,bkd->bk", h, vectors[:, :, :-1]) + vectors[:, :, -1] - np.log(NOISE * chance)
-        error = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        error[:, 0] -= 1
-        return error.astype(np.float32), np.einsum("bk,bkd->bd", error, vectors[:, :, :-1])
-
     def _step(self, one: np.ndarray, two: np.ndarray, unit: np.ndarray) -> None:
         m, rng, b = self.model, self.rng, len(unit)
-        h = m.first[one] + m.second[two]
+        unit_order = np.argsort(unit)  # units of a cluster lie side by side
+        one, two, unit = one[unit_order], two[unit_order], unit[unit_order]
         own = self.owner[unit]
-        drawn = np.minimum(np.searchsorted(self.cluster_upto, rng.random((b, NOISE)) * self.cluster_upto[-1]), len(self.masses) - 1)
-        clusters = np.concatenate([own[:, None], drawn], 1)
-        cluster_error, back = self._contrast(h, m.cluster, clusters, self.masses[clusters] / self.cluster_upto[-1])
+        wide = np.ones((b, DIM + 1), np.float32)
+        np.add(m.first[one], m.second[two], out=wide[:, :-1])
+        # clusters: one draw of noise for the whole batch, so its logits are one matrix product
+        drawn = rng.multinomial(NOISE, self.masses)
+        some = np.flatnonzero(drawn)
+        noise = m.cluster[some]
+        error = _logistic(wide @ noise.T - self.cluster_log[some]) * drawn[some].astype(np.float32)
+        data = m.cluster[own]
+        miss = _logistic(np.einsum("bd,bd->b", wide, data) - self.cluster_log[own]) - 1
+        back = error @ noise + miss[:, None] * data
+        total = np.zeros_like(m.cluster)
+        total[some] = error.T @ wide
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        total[own[first]] += np.add.reduceat(miss[:, None] * wide, first, axis=0)
+        touched = np.union1d(some, own[first])
+        hits = np.bincount(own, minlength=len(total)).astype(np.float32)
+        self._update("cluster", touched, total[touched], hits[touched] + drawn[touched])
+        # units: noise from the cluster of each
         low, high = m.starts[own], m.starts[own + 1]
         under = np.where(low > 0, self.upto[low - 1], 0.0)
-        inside = np.searchsorted(self.upto, under[:, None] + rng.random((b, NOISE)) * (self.upto[high - 1] - under)[:, None])
-        units = np.concatenate([unit[:, None], np.clip(inside, low[:, None], high[:, None] - 1)], 1)
-        unit_error, more = self._contrast(h, m.unit, units, m.share[units] / self.masses[own][:, None])
-        alone = high - low == 1  # the only unit of its cluster is certain
-        unit_error[alone], more[alone] = 0, 0
-        back = (back + more).astype(np.float32)
-        wide = np.concatenate([h, np.ones((b, 1), np.float32)], 1)
-        for part, rows, grads in (
-            ("cluster", clusters.ravel(), (cluster_error[:, :, None] * wide[:, None, :]).reshape(-1, DIM + 1)),
-            ("unit", units.ravel(), (unit_error[:, :, None] * wide[:, None, :]).reshape(-1, DIM + 1)),
-            ("first", one, back),
-            ("second", two, back),
-        ):
-            self._update(part, rows, grads)
-
-    def _update(self, part: str, rows: np.ndarray, grads: np.ndarray) -> None:
+        inside = np.searchsorted(self.upto, under + rng.random((INNER, b)) * (self.upto[high - 1] - under))
+        units = np.concatenate([unit[None, :], np.clip(inside, low, high - 1)])
+        vectors = m.unit[units]
+        error = _logistic(np.einsum("bd,kbd->kb", wide, vectors) - self.unit_log[units])
+        error[0] -= 1
+        error[:, high - low == 1] = 0  # the only unit of its cluster is certain
+        back += np.einsum("kb,kbd->bd", error, vectors)
+        self._scatter("unit", units.ravel(), (error[:, :, None] * wide).reshape(-1, DIM + 1))
+        back = np.ascontiguousarray(back[:, :-1])
+        self._scatter("first", one, back)
+        self._scatter("second", two, back)
+
+    def _scatter(self, part: str, rows: np.ndarray, grads: np.ndarray) -> None:
         order = np.argsort(rows, kind="stable")
         at = rows[order]
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        total, which = np.add.reduceat(grads[order], first, axis=0), at[first]
+        self._update(part, at[first], np.add.reduceat(grads[order], first, axis=0), np.diff(np.append(first, len(at))))
+
+    def _update(self, part: str, rows: np.ndarray, total: np.ndarray, hits: np.ndarray) -> None:
+        """Step against the summed gradients of rows, each scaled by the mean square of all gradients its row had."""
         squares = self.squares[part]
-        squares[which] += total * total
-        getattr(self.model, part)[which] -= RATE * total / np.sqrt(squares[which])
-        self.seen[part][which] += np.diff(np.append(first, len(at)))
+        squares[rows] += np.einsum("rd,rd->r", total, total) / total.shape[1]
+        getattr(self.model, part)[rows] -= RATE * total / np.sqrt(squares[rows])[:, None]
+        self.seen[part][rows] += hits
 
-    def rows(self) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """Of each part: its number, the rows that were trained, how often, and their values, DIM + 1 wide."""
-        out = []
+    def blocks(self, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Of each block of rows that was trained: its part, its number, how often each row was trained, and the rows' values."""
         for k, part in enumerate(Bilinear.PARTS):
-            at = np.flatnonzero(self.seen[part])
-            values = getattr(self.model, part)[at]
-            if values.shape[1] == DIM:
-                values = np.concatenate([values, np.zeros((len(at), 1), np.float32)], 1)
-            out.append((k, at, self.seen[part][at], values))
-        return out
+            seen, table = self.seen[part], getattr(self.model, part)
+            for block in np.unique(np.flatnonzero(seen) // size).tolist():
+                rows = slice(block * size, (block + 1) * size)
+                yield k, block, seen[rows], table[rows]
+
+
+def _logistic(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-x)), in place."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)

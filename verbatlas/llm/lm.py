@@ -1,15 +1,17 @@
 """Language-model scores from a log-bilinear model trained with noise-contrastive estimation.
 
-Words are counted over all training texts. The model works on units: each of the most frequent words is a unit of its own,
-the root of the training tokens many, so that they grow with the corpus; all others fall into a few units by their
+Words are counted over all training texts. The model works on units: each of the most frequent words is a unit of its own, six times
+the 0.4th power of the training tokens many, so that they grow with the corpus without a limit; all others fall into a few units by their
 last two letters, and the end of a text is a unit. The two units before predict the next (see `bilinear`). A word's probability is that of its
 unit, times its smoothed share of the unit where others are in it, so all words, an unknown one for each such unit included, share 1.
 
-Training takes every eighth token of all training texts with its context, so it grows with them, too. It's spread over the tasks: in each of a few
-rounds, every task trains a copy of the model on its part of a share of the documents, and the copies' parameters are averaged by Spark,
-weighed by how often each row was trained. Scoring: batched matrix products inside the tasks give normalised log-probabilities.
+Training takes every token of all training texts once. It's spread over copies of the model: in each of a few rounds, every copy is trained on its
+part of a share of the documents, and the copies' parameters are averaged by Spark, weighed by how often each row was trained. There are as many copies as the
+0.6th power of the tokens allows, so that what they ship, copies times parameters, is in proportion to the corpus. Scoring: batched
+matrix products inside the tasks give normalised log-probabilities. A copy's noise is drawn by a seed from its first text; which texts a copy gets follows from how
+the table is split, so a table that is split otherwise gives a slightly different model; counts and base scores don't depend on it.
 
-Counts of rarer words don't fit a task: the most frequent words' counts are broadcast (`head` of them, which also bounds the units), and the
+Counts of rarer words don't fit a task: the most frequent words' counts are broadcast (`head` of them, or all units if these are more), and the
 counts of the others are joined, one row per document and rare word. Words are keyed by a
 64-bit hash; that two of a billion words share one has a chance of 3 %.
 
@@ -25,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,10 +38,12 @@ from .text import bodies, mix, slices, words
 
 #: Units of rarer words, by their ending; the end of a text has the number after them.
 ENDINGS = 64
-#: Training rounds, and one of how many tokens is trained on.
-ROUNDS, EVERY = 3, 8
-#: Words whose counts travel to every worker.
+#: Training rounds.
+ROUNDS = 3
+#: Words whose counts travel to every worker, or as many as there are units.
 HEAD = 1 << 18
+#: Rows of parameters that travel together.
+BLOCK = 64
 #: The key of the end token; a word has it with a chance of 1 in 2^64.
 END_KEY = 0
 
@@ -122,14 +127,50 @@ class Vocabulary:
         return np.array([*range(0, self.own, width), self.own, self.end, self.end + 1])
 
 
+def units_for(total: int) -> int:
+    """How many words are units of their own, for so many training tokens."""
+    return max(64, int(6 * total**0.4))
+
+
+def copies_for(total: int) -> int:
+    """How many copies are trained side by side: with the units, in proportion to the tokens."""
+    return max(1, int(total**0.6 / 2500))
+
+
+def most_frequent(counts: DataFrame, head: int) -> DataFrame:
+    """The rows of the most frequent words, at most `head`, without a sort: a threshold from a histogram of counts.
+
+    A bin has counts with the same leading ten bits. The bin at the border is divided by the words' hashes, whose first 16 bits make bins, too;
+    the words of a bin are taken together, so a few less than head may be found.
+    """
+    counts = counts.withColumn("lead", F.expr("shiftright(n, greatest(length(bin(n)) - 10, 0)) + 1024 * length(bin(n))"))
+    left, low, border = head, None, None
+    for r in sorted(counts.groupBy("lead").agg(F.count("*").alias("words")).collect(), key=lambda r: -r["lead"]):
+        if r["words"] > left:
+            border = r["lead"]
+            break
+        left, low = left - r["words"], r["lead"]
+    if border is None:
+        return counts.drop("lead")
+    slot = F.shiftrightunsigned("key", 48)
+    upto = 0
+    for r in sorted(counts.filter(F.col("lead") == border).groupBy(slot.alias("slot")).agg(F.count("*").alias("words")).collect(), key=lambda r: r["slot"]):
+        if r["words"] > left:
+            break
+        left, upto = left - r["words"], r["slot"] + 1
+    more = (F.col("lead") == border) & (slot < upto)
+    return counts.filter(more if low is None else more | (F.col("lead") >= low)).drop("lead")
+
+
 def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
-    """From the table of word counts. The driver gets `head` rows and one row per ending."""
-    top = counts.filter(F.col("key") != END_KEY).orderBy(F.desc("n"), "key").limit(head).toArrow()
-    keys = np.array(top["key"], np.int64).view(np.uint64)
-    n, kinds = np.array(top["n"], np.int64), np.array(top["ending"], np.int64)
+    """From the table of word counts. The driver gets `head` rows or as many as there are units, and one row per ending."""
     per = counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()
     total, distinct = sum(r["n"] for r in per), sum(r["types"] for r in per)
-    own = min(len(keys), max(64, int(total**0.5)))
+    top = most_frequent(counts.filter(F.col("key") != END_KEY), max(head, units_for(total))).toArrow()
+    n, keys = np.array(top["n"], np.int64), np.array(top["key"], np.int64).view(np.uint64)
+    falling = np.lexsort((keys, -n))
+    n, keys, kinds = n[falling], keys[falling], np.array(top["ending"], np.int64)[falling]
+    own = min(len(keys), units_for(total))
     mass, types = np.zeros(own + ENDINGS + 1, np.int64), np.zeros(own + ENDINGS + 1, np.int64)
     for r in per:
         mass[own + r["ending"]], types[own + r["ending"]] = r["n"], r["types"]
@@ -153,53 +194,81 @@ def _told(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(sequences), np.flatnonzero(told)
 
 
-def _round(docs: DataFrame, shared_vocab, shared_model, number: int, every: int) -> DataFrame:
-    """(part, row, values...): the averaged rows of the models that the tasks train on docs."""
+def _round(docs: DataFrame, shared_vocab, shared_model, number: int) -> DataFrame:
+    """(part, block, weights, values): blocks of rows, averaged over the models that the tasks train on docs."""
 
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, trainer = shared_vocab.value, None
         for batch in (x for whole in batches for x in slices(whole, 0)):
+            texts = bodies(batch.column(0))
             if trainer is None:
-                trainer = Trainer(shared_model.value, 1000 * TaskContext.get().partitionId() + number)
+                trainer = Trainer(shared_model.value, xxhash.xxh64_intdigest(texts[0] or b"", number))
             parts = []
-            for body in bodies(batch.column(0)):
+            for body in texts:
                 units = vocab.classify(*tokens(body))
                 parts.append(np.concatenate([[vocab.end, vocab.end], units, [vocab.end]]))
             units, at = _told(parts)
-            at = at[number % every :: every]
             trainer.learn(units[at - 1], units[at - 2], units[at])
         if trainer is not None:
-            for k, rows, weight, values in trainer.rows():
-                columns = [pa.array(np.full(len(rows), k, np.int32)), pa.array(rows.astype(np.int64)), pa.array(weight), *(pa.array(values[:, i].astype(np.float64)) for i in range(DIM + 1))]
-                yield pa.RecordBatch.from_arrays(columns, ["part", "row", "weight", *(f"v{i}" for i in range(DIM + 1))])
+            task = TaskContext.get().partitionId()
+            for k, block, weights, values in trainer.blocks(BLOCK):
+                columns = [pa.array([x], t) for x, t in ((k, pa.int32()), (block, pa.int64()), (task, pa.int32()), (weights.tobytes(), pa.binary()), (values.tobytes(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "block", "task", "weights", "values"])
 
-    values = [f"v{i}" for i in range(DIM + 1)]
-    rows = docs.select("text").mapInArrow(trained, "part int, row long, weight double, " + ", ".join(f"{v} double" for v in values))
-    return rows.groupBy("part", "row").agg(*[(F.sum(F.col(v) * F.col("weight")) / F.sum("weight")).cast("float").alias(v) for v in values])
+    def averaged(group: pa.Table) -> pa.Table:
+        group = group.sort_by("task")
+        weights = np.stack([np.frombuffer(x, np.float32) for x in group["weights"].to_pylist()]).astype(np.float64)
+        values = np.stack([np.frombuffer(x, np.float32).reshape(weights.shape[1], -1) for x in group["values"].to_pylist()])
+        total = weights.sum(0)
+        mean = np.einsum("cr,crd->rd", weights, values) / np.maximum(total, 1e-9)[:, None]
+        keys = [group.column(c).slice(0, 1).combine_chunks() for c in ("part", "block")]
+        blobs = [pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (total, mean)]
+        return pa.table([*keys, *blobs], ["part", "block", "weights", "values"])
 
+    spec = "part int, block long, weights binary, values binary"
+    rows = docs.select("text").mapInArrow(trained, spec.replace(", weights", ", task int, weights"))
+    return rows.groupBy("part", "block").applyInArrow(averaged, spec)
 
-def fit(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, every: int = EVERY) -> Bilinear:
-    """A model trained on docs: `rounds` times, the tasks' copies are trained on a share of the documents and averaged.
+
+def fit(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, copies: int | None = None) -> Bilinear:
+    """A model trained on docs: `rounds` times, copies are trained on a share of the documents and averaged.
 
     The driver gets the averaged rows only, as many as there are units.
     """
     sc = docs.sparkSession.sparkContext
     share = (vocab.mass + 0.5) / (vocab.total + 0.5 * len(vocab.mass))
     model, shared_vocab = start(share, vocab.starts()), sc.broadcast(vocab)
+    docs = docs.coalesce(copies or copies_for(vocab.total))
     for number in range(rounds):
         shared = sc.broadcast(model)
         turn = F.pmod(F.xxhash64(F.lit("round"), "text"), F.lit(rounds)) == number
-        got = _round(docs.filter(turn), shared_vocab, shared, number, every).toArrow()
-        part, row = np.array(got["part"]), np.array(got["row"])
-        values = np.stack([np.array(got[f"v{i}"]) for i in range(DIM + 1)], 1).astype(np.float32) if len(part) else np.zeros((0, DIM + 1), np.float32)
-        for k, name in enumerate(Bilinear.PARTS):
-            table = getattr(model, name)
-            table[row[part == k]] = values[part == k][:, : table.shape[1]]
+        for r in _round(docs.filter(turn), shared_vocab, shared, number).toArrow().to_pylist():
+            table = getattr(model, Bilinear.PARTS[r["part"]])
+            weights = np.frombuffer(r["weights"], np.float32)
+            values = np.frombuffer(r["values"], np.float32).reshape(len(weights), -1)
+            met = np.flatnonzero(weights)
+            table[r["block"] * BLOCK + met] = values[met]
         shared.destroy()
     shared_vocab.destroy()
     return model
 
 
+@dataclass
+class Learned:
+    """What training gives: the table of all words' counts, the frequent words, and the model (none without training texts)."""
+
+    counts: DataFrame
+    vocab: Vocabulary
+    model: Bilinear | None
+
+
+def train(docs: DataFrame, head: int = HEAD, rounds: int = ROUNDS) -> Learned:
+    """Counts and a model of all rows of docs."""
+    counts = materialize(word_counts(docs), "lm-words")
+    vocab = vocabulary(counts, head)
+    return Learned(counts, vocab, fit(docs, vocab, rounds) if vocab.total else None)
+
+
 def _partial_scores(docs: DataFrame, shared_vocab, shared_model) -> DataFrame:
     """Rows (row_id, key, doc_id, repeats, ...): one of each text with what its worker can tell, one for each rare word.
 
@@ -253,15 +322,11 @@ def _partial_scores(docs: DataFrame, shared_vocab, shared_model) -> DataFrame:
     )
 
 
-def score(docs: DataFrame, learn: Column, head: int = HEAD, every: int = EVERY) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row; trained where `learn` holds, on one token in `every`."""
-    sc = docs.sparkSession.sparkContext
-    training = docs.filter(learn)
-    counts = materialize(word_counts(training), "lm-words")
-    vocab = vocabulary(counts, head)
-    model = fit(training, vocab, every=every) if vocab.total else None
+def apply(docs: DataFrame, learned: Learned) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    sc, vocab, model = docs.sparkSession.sparkContext, learned.vocab, learned.model
     parts = _partial_scores(docs, sc.broadcast(vocab), sc.broadcast(model))
-    rare = counts.select(F.col("key").alias("word"), F.col("n").alias("c"))
+    rare = learned.counts.select(F.col("key").alias("word"), F.col("n").alias("c"))
     joined = parts.join(rare, (F.col("key") == F.col("word")) & (F.col("repeats") > 0), "left")
     log_c = F.col("repeats") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)
     known = F.when(F.col("c").isNotNull(), F.col("repeats")).otherwise(0)
@@ -274,6 +339,11 @@ def score(docs: DataFrame, learn: Column, head: int = HEAD, every: int = EVERY)
     return summed.select("doc_id", "n_tokens", "n_known", F.lit(vocab.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def score(docs: DataFrame, learn: Column, head: int = HEAD) -> DataFrame:
+    """Scores of every row, trained where `learn` holds."""
+    return apply(docs, train(docs.filter(learn), head))
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """With held_out; trained on the ids whose crc32 modulo 5 is not 1."""
     held = lambda c: crc_mod(F.col(c), 5) == 1
