@@ -33,5 +33,5 @@ def test_places_with_nulls_and_ties(spark):
     rows = [(i, None if i % 7 == 0 else "ab"[i % 2], None if i % 5 == 0 else (i * 37 % 50) / 4) for i in range(200)]
     df = spark.createDataFrame(rows, "key long, name string, amount double")
     order = sorted(rows, key=lambda r: (r[1] is None, r[1] or "", r[2] is None, -(r[2] or 0), r[0]))
-    got = lexicon.placed(df, "name", "amount", "key", 3).orderBy(F.col("place")).collect()
+    got = lexicon.placed(df, "name", "amount", "key").orderBy(F.col("place")).collect()
     assert [tuple(r) for r in got] == [(*r, i + 1) for i, r in enumerate(order)]

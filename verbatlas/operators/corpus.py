@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verbatlas.functions import text as X
 
+from .ordering import falling, numbered, rising
+
 
 def segment_table(docs: DataFrame) -> DataFrame:
     """doc_id, segment, body."""
@@ -64,34 +66,19 @@ def word_counts(docs: DataFrame, *by: str) -> DataFrame:
 
 
 def ranked(counts: DataFrame, amount: str = "freq", key: str = "slug", name: str = "freq_rank") -> DataFrame:
-    """Add the 1-based position by falling amount, ties by key.
-
-    Equal to row_number over all rows, without gathering them in one task: rows are counted per amount and key prefix; amounts
-    fall into bins, sixteen for each power of e. One window runs over the bins (a thousand at most), others over the amounts inside a bin and
-    the prefixes of an amount, and rows are numbered inside their group.
-    """
-    group = counts.withColumn("prefix", F.substring(key, 1, 3)).withColumn("bin", F.when(F.col(amount) > 0, F.floor(F.log(amount) * 16)).otherwise(-(1 << 20)))
-    sizes = group.groupBy("bin", amount, "prefix").agg(F.count("*").alias("rows"))
-    per_amount = sizes.groupBy("bin", amount).agg(F.sum("rows").alias("rows"))
-    per_bin = per_amount.groupBy("bin").agg(F.sum("rows").alias("rows"))
-    upto = lambda w: F.coalesce(F.sum("rows").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bins = per_bin.select("bin", upto(Window.orderBy(F.desc("bin"))).alias("in_bins"))
-    amounts = per_amount.select("bin", amount, upto(Window.partitionBy("bin").orderBy(F.desc(amount))).alias("in_amounts"))
-    prefixes = sizes.select(amount, "prefix", upto(Window.partitionBy(amount).orderBy("prefix")).alias("in_prefixes"))
-    own = Window.partitionBy(amount, "prefix").orderBy(key)
-    numbered = group.withColumn("own", F.row_number().over(own)).join(prefixes, [amount, "prefix"]).join(amounts, ["bin", amount]).join(bins, "bin")
-    place = F.col("in_bins") + F.col("in_amounts") + F.col("in_prefixes") + F.col("own")
-    return numbered.select(*counts.columns, place.cast("long").alias(name))
+    """Add the 1-based position by falling amount, ties by key; null amounts, then null keys come last."""
+    return numbered(counts, [falling(amount), rising(key)], name)
 
 
 def frequencies(docs: DataFrame, known: DataFrame) -> DataFrame:
     """slug, freq, per_million, freq_rank, hapax of the known words that occur.
 
-    Words are counted before they meet the lexicon, so what is joined is a vocabulary, not a corpus.
+    Words are counted before they meet the lexicon, so what is joined is a vocabulary, not a corpus; the counts are made once and written
+    with their ranks.
     """
-    counts = word_counts(docs).join(known, "slug", "left_semi")
-    total = counts.agg(F.sum("freq").alias("total"))
-    out = ranked(counts).join(F.broadcast(total))
+    out = ranked(word_counts(docs).join(known, "slug", "left_semi"))
+    total = out.agg(F.sum("freq").alias("total"))
+    out = out.join(F.broadcast(total))
     return out.select(
         "slug", "freq", X.rounded(F.col("freq") / F.col("total") * 1e6, 4).alias("per_million"), "freq_rank", (F.col("freq") == 1).alias("hapax")
     )

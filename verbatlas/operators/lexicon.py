@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import falling, numbered, rising
+
 
 def has(column: Column, text: str) -> Column:
     """Contains, without regard to case; no character of the text is a wildcard."""
@@ -77,23 +79,9 @@ def duplicate_members(df: DataFrame, value: str, key: str) -> DataFrame:
     return df.select(value, key).join(repeated.select(value), value, "left_semi")
 
 
-def placed(rows: DataFrame, first: str, amount: str, key: str, step: float) -> DataFrame:
-    """Add the 1-based place by rising first, falling amount, then rising key, nulls last.
-
-    Equal to row_number over all rows, without gathering them in one task: positions are counted per first
-    and range of amounts (step wide), windows over those sums give each group its start, and rows are numbered inside their group.
-    """
-    row = F.struct(*[rows[c] for c in rows.columns]).alias("row")
-    group = rows.select(row, F.col(first).alias("first"), F.col(amount).alias("amount"), F.col(key).alias("key"), F.floor(F.col(amount) / step).alias("range"))
-    sizes = group.groupBy(F.col("first").alias("of"), F.col("range").alias("at")).agg(F.count("*").alias("n"))
-    up = (Window.unboundedPreceding, -1)
-    inside = F.sum("n").over(Window.partitionBy("of").orderBy(F.desc_nulls_last("at")).rowsBetween(*up))
-    above = F.sum("n").over(Window.orderBy(F.asc_nulls_last("name")).rowsBetween(*up))
-    totals = sizes.groupBy(F.col("of").alias("name")).agg(F.sum("n").alias("n")).select("name", F.coalesce(above, F.lit(0)).alias("above"))
-    starts = sizes.select("of", "at", F.coalesce(inside, F.lit(0)).alias("inside")).join(totals, F.col("of").eqNullSafe(F.col("name")))
-    own = F.row_number().over(Window.partitionBy("first", "range").orderBy(F.desc_nulls_last("amount"), F.asc_nulls_last("key")))
-    numbered = group.withColumn("own", own).join(starts, F.col("first").eqNullSafe(F.col("of")) & F.col("range").eqNullSafe(F.col("at")))
-    return numbered.select("row.*", (F.col("above") + F.col("inside") + F.col("own")).alias("place"))
+def placed(rows: DataFrame, first: str, amount: str, key: str) -> DataFrame:
+    """Add the 1-based place by rising first, falling amount, then rising key, nulls last."""
+    return numbered(rows, [rising(first), falling(amount), rising(key)])
 
 
 def top_per_group(df: DataFrame, group: str, order: list, k: int) -> DataFrame:

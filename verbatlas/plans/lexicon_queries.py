@@ -207,7 +207,7 @@ def first_match_join(spark, d):
 def multi_sort(spark, d):
     """All rows with their places in the order of a column of another table, then of their own; no window over one task."""
     rows = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
-    return lexicon.placed(rows.select("s_suppkey", "s_acctbal", "n_name"), "n_name", "s_acctbal", "s_suppkey", 100)
+    return lexicon.placed(rows.select("s_suppkey", "s_acctbal", "n_name"), "n_name", "s_acctbal", "s_suppkey")
 
 
 @query(

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import gzip
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,9 +25,11 @@ SCHEMAS = {
     "base_homonyms": "base string, word_ids string",
     "priorities": "surface_form string, distributions string",
 }
-#: The parts of speech, cases and relation types that are allowed.
+#: The parts of speech and cases that are allowed.
 POS = ["ADJ", "ADP", "ADV", "AUX", "CCONJ", "DET", "INTJ", "NOUN", "NUM", "PART", "PRON", "PROPN", "PUNCT", "SCONJ", "SYM", "VERB", "X"]
 CASES = ["nom", "acc", "gen", "dat", "loc", "ins", "voc"]
+#: The folder of this process, where the session names none.
+_OWN: list[str] = []
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, separator: str = ",", header: bool = True) -> DataFrame:
@@ -152,10 +156,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp()
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="verbatlas-"))
+            atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+        folder = f"file://{_OWN[0]}"
     return f"{folder.rstrip('/')}/verbatlas-{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read back: made once, however often it is used. It goes when the application ends."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_tokens(tokens: DataFrame, path: str) -> None:
     """Tokens clustered by document, so that later reads of a document touch few files; ranges split large corpora evenly."""
     spread = tokens.repartitionByRange("document_slug", "token_index").sortWithinPartitions("document_slug", "token_index")
