@@ -43,7 +43,7 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Letters of the plain range, and the vocabulary's own pre-tokens for texts of that range only.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ʯ"
 _PLAIN = re.compile(rf"[\x00-\x7f{_LETTERS}]*+\Z")
-_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
+_PARTS = re.compile(rf" ?[{_LETTERS}]++|'(?:s|t|re|ve|m|ll|d)| ?[0-9]++| ?[^\s{_LETTERS}0-9]++|\s+(?!\S)|\s+")
 #: Fixed value: the letter that stands for a blank in the vocabulary.
 _BLANK = "\u0120"
 #: Control characters that Python takes for white space and the vocabulary doesn't.
@@ -105,15 +105,20 @@ class ByteEncoder:
         """The ids of each of some blocks, whose new pre-tokens are encoded together."""
         cuts = [None if not _PLAIN.match(text) or _ODD.search(text) or any(s in text for s in self.specials) else _PARTS.findall(text) for text in texts]
         known = self.known
-        got = self._learned(list(set().union(*[cut for cut in cuts if cut is not None]).difference(known)))
-        known |= got
-        out = [self._encoded([text])[0].tobytes() if cut is None else b"".join(map(known.__getitem__, cut)) for text, cut in zip(texts, cuts)]
+        found = [None if cut is None else list(map(known.get, cut)) for cut in cuts]
+        new = {p for cut, ids in zip(cuts, found) if ids is not None and None in ids for p, x in zip(cut, ids) if x is None}
+        got = self._learned(list(new))
+        out = []
+        for text, cut, ids in zip(texts, cuts, found):
+            if ids is None:
+                out.append(self._encoded([text])[0].tobytes())
+            else:
+                out.append(b"".join([got[p] if x is None else x for p, x in zip(cut, ids)] if None in ids else ids))
         for p, ids in got.items():
             weight = len(p) + len(ids) + 180
             if self.left > 0 and weight < 1000:
                 self.left -= weight
-            else:
-                del known[p]
+                known[p] = ids
         return out
 
     def ids(self, texts: list[str], at_once: int = 1 << 20) -> Iterator[list[bytes]]:
