@@ -5,8 +5,9 @@ are the scores of the clusters; its products with the vectors of a cluster's uni
 A softmax over the clusters and one over the cluster's units make a distribution over all units, at a cost that grows
 with the root of their number.
 
-Training is noise-contrastive estimation of both steps: clusters are drawn from the cluster distribution, once for a whole batch, so that their
-logits are one matrix product; units are drawn from each token's own cluster. The score minus log(draws * q) is the logit that one is data, not noise.
+Training is noise-contrastive estimation of both steps: noise clusters come from the cluster distribution, noise units from that of the token's own
+cluster; the score minus log(draws * q) is the logit that one is data, not noise. The noise term is not drawn but taken as its exact expectation over
+the clusters, and over the units of the cluster, so that it is one matrix product for the batch, and one for each cluster in it.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Numbers of a vector, noise clusters of a batch, noise units of a token, tokens of a batch, and the rate of steps.
-DIM, NOISE, INNER, BATCH, RATE = 24, 64, 6, 1024, 0.1
+#: Numbers of a vector, noise clusters and units for each token, tokens of a batch for each cluster and at least, and the rate of steps.
+DIM, NOISE, INNER, BATCH, LEAST, RATE = 24, 64, 12, 128, 1024, 0.1
+#: Rows whose scores are worked on at once, so that they stay in a core's cache.
+CACHED = 512
 
 
 @dataclass
@@ -48,26 +51,35 @@ class Bilinear:
         out, owner = np.empty(len(unit)), self.owner
         for at in range(0, len(unit), 16384):
             part = slice(at, at + 16384)
-            h = self.first[one[part]] + self.second[two[part]]
+            wide = np.ones((len(unit[part]), DIM + 1), np.float32)
+            np.add(self.first[one[part]], self.second[two[part]], out=wide[:, :-1])
             own = owner[unit[part]]
-            logs = _log_softmax(h, self.cluster, own)
+            logs = np.concatenate([_log_softmax(wide[k : k + CACHED], self.cluster, own[k : k + CACHED]) for k in range(0, len(wide), CACHED)])
             order = np.argsort(own, kind="stable")
             bounds = np.searchsorted(own[order], np.arange(len(self.starts)))
             for c in np.flatnonzero(np.diff(bounds)):
                 a, b = self.starts[c], self.starts[c + 1]
                 if b - a > 1:
                     rows = order[bounds[c] : bounds[c + 1]]
-                    logs[rows] += _log_softmax(h[rows], self.unit[a:b], unit[part][rows] - a)
+                    logs[rows] += _log_softmax(wide[rows], self.unit[a:b], unit[part][rows] - a)
             out[part] = logs
         return out / np.log(10)
 
 
-def _log_softmax(h: np.ndarray, table: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    scores = h @ table[:, :-1].T
-    scores += table[:, -1]
-    scores -= scores.max(1, keepdims=True)
-    picked = scores[np.arange(len(h)), chosen].astype(np.float64)
-    return picked - np.log(np.exp(scores, out=scores).sum(1, dtype=np.float64))
+def _log_softmax(wide: np.ndarray, table: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Of rows that end in 1, the log of the chosen entry's share."""
+    size = len(wide) * len(table)
+    if len(_scratch[0]) < size:
+        _scratch[0] = np.empty(size, np.float32)
+    scores = np.matmul(wide, table.T, out=_scratch[0][:size].reshape(len(wide), len(table)))
+    if scores.max() > 60:  # far from what single precision holds
+        scores -= scores.max(1, keepdims=True)
+    picked = scores[np.arange(len(wide)), chosen].astype(np.float64)
+    return picked - np.log(np.exp(scores, out=scores) @ np.ones(len(table), np.float32), dtype=np.float64)
+
+
+#: Scores are worked on in one place of a worker's memory, which is cheaper than new pages for each product.
+_scratch = [np.empty(0, np.float32)]
 
 
 def start(share: np.ndarray, starts: np.ndarray, seed: int = 1) -> Bilinear:
@@ -90,60 +102,72 @@ class Trainer:
         self.squares = {p: np.full(len(getattr(model, p)), 1e-3, np.float32) for p in Bilinear.PARTS}
         self.seen = {p: np.zeros(len(getattr(model, p)), np.float32) for p in Bilinear.PARTS}
         masses = model.masses / model.masses.sum()
-        self.owner, self.upto = model.owner, np.cumsum(model.share)
-        self.masses, self.cluster_log = masses, np.log(NOISE * masses).astype(np.float32)
-        self.unit_log = np.log(INNER * model.share / model.masses[self.owner]).astype(np.float32)
+        self.owner = model.owner
+        self.masses, self.unit_share = masses, (model.share / model.masses[self.owner]).astype(np.float32)
+        self.scratch = np.empty(0, np.float32)
+        self.cluster_rest, self.unit_rest = (1 / (NOISE * masses)).astype(np.float32), 1 / (INNER * self.unit_share)
 
     def learn(self, one: np.ndarray, two: np.ndarray, unit: np.ndarray) -> None:
-        order = self.rng.permutation(len(unit))
-        for at in range(0, len(unit), BATCH):
-            rows = order[at : at + BATCH]
+        order, size = self.rng.permutation(len(unit)), max(LEAST, BATCH * len(self.masses))
+        for at in range(0, len(unit), size):
+            rows = order[at : at + size]
             self._step(one[rows], two[rows], unit[rows])
 
     def _step(self, one: np.ndarray, two: np.ndarray, unit: np.ndarray) -> None:
-        m, rng, b = self.model, self.rng, len(unit)
-        unit_order = np.argsort(unit)  # units of a cluster lie side by side
-        one, two, unit = one[unit_order], two[unit_order], unit[unit_order]
+        m, b = self.model, len(unit)
+        order = np.argsort(unit)  # units of a cluster lie side by side
+        one, two, unit = one[order], two[order], unit[order]
         own = self.owner[unit]
         wide = np.ones((b, DIM + 1), np.float32)
         np.add(m.first[one], m.second[two], out=wide[:, :-1])
-        # clusters: one draw of noise for the whole batch, so its logits are one matrix product
-        drawn = rng.multinomial(NOISE, self.masses)
-        some = np.flatnonzero(drawn)
-        noise = m.cluster[some]
-        error = _logistic(wide @ noise.T - self.cluster_log[some]) * drawn[some].astype(np.float32)
-        data = m.cluster[own]
-        miss = _logistic(np.einsum("bd,bd->b", wide, data) - self.cluster_log[own]) - 1
-        back = error @ noise + miss[:, None] * data
-        total = np.zeros_like(m.cluster)
-        total[some] = error.T @ wide
-        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        total[own[first]] += np.add.reduceat(miss[:, None] * wide, first, axis=0)
-        touched = np.union1d(some, own[first])
-        hits = np.bincount(own, minlength=len(total)).astype(np.float32)
-        self._update("cluster", touched, total[touched], hits[touched] + drawn[touched])
-        # units: noise from the cluster of each
-        low, high = m.starts[own], m.starts[own + 1]
-        under = np.where(low > 0, self.upto[low - 1], 0.0)
-        inside = np.searchsorted(self.upto, under + rng.random((INNER, b)) * (self.upto[high - 1] - under))
-        units = np.concatenate([unit[None, :], np.clip(inside, low, high - 1)])
-        vectors = m.unit[units]
-        error = _logistic(np.einsum("bd,kbd->kb", wide, vectors) - self.unit_log[units])
-        error[0] -= 1
-        error[:, high - low == 1] = 0  # the only unit of its cluster is certain
-        back += np.einsum("kb,kbd->bd", error, vectors)
-        self._scatter("unit", units.ravel(), (error[:, :, None] * wide).reshape(-1, DIM + 1))
+        back, total = np.empty_like(wide), np.zeros_like(m.cluster)
+        for part in (slice(at, at + CACHED) for at in range(0, b, CACHED)):
+            total += self._contrast(wide[part], m.cluster, self.cluster_rest, own[part], back[part])
+        clusters = np.bincount(own, minlength=len(m.cluster))
+        self._update("cluster", slice(None), total, clusters + b * self.masses)
+        total, at, more = np.zeros_like(m.unit), 0, np.zeros_like(wide)
+        for c in np.flatnonzero(clusters).tolist():
+            end, low, high = at + int(clusters[c]), int(m.starts[c]), int(m.starts[c + 1])
+            if high - low > 1:  # the only unit of its cluster is certain
+                total[low:high] = self._contrast(wide[at:end], m.unit[low:high], self.unit_rest[low:high], unit[at:end] - low, more[at:end])
+            at = end
+        back += more
+        met = np.bincount(unit, minlength=len(m.unit)) + self.unit_share * clusters[self.owner]
+        touched = np.flatnonzero(met)
+        self._update("unit", touched, total[touched], met[touched])
         back = np.ascontiguousarray(back[:, :-1])
         self._scatter("first", one, back)
         self._scatter("second", two, back)
 
+    def _contrast(self, rows: np.ndarray, table: np.ndarray, rest: np.ndarray, true: np.ndarray, back: np.ndarray) -> np.ndarray:
+        """The gradient for the table's entries, from rows whose true entries are data; the gradient for the rows goes to back.
+
+        rest: of each entry 1 / (draws * q). What a logit is off is draws * q * logistic(score - log(draws * q)) for noise, and logistic(…) - 1 for data.
+        logistic(x) is (1 + tanh(x / 2)) / 2, so that one function is applied in place, and its constants go to the small matrices.
+        """
+        size = len(rows) * len(table)
+        if len(self.scratch) < size:
+            self.scratch = np.empty(size, np.float32)
+        out = self.scratch[:size].reshape(len(rows), len(table))
+        half = table * np.float32(0.5)
+        half[:, -1] += 0.5 * np.log(rest)
+        np.tanh(np.matmul(rows, half.T, out=out), out=out)
+        at = np.arange(len(rows))
+        said = out[at, true]
+        out[at, true] = said + (said - 1) * rest[true]
+        weight = (0.5 / rest)[:, None]
+        half = table * weight
+        np.matmul(out, half, out=back)
+        back += half.sum(0)
+        return weight * (out.T @ rows + rows.sum(0))
+
     def _scatter(self, part: str, rows: np.ndarray, grads: np.ndarray) -> None:
         order = np.argsort(rows, kind="stable")
         at = rows[order]
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         self._update(part, at[first], np.add.reduceat(grads[order], first, axis=0), np.diff(np.append(first, len(at))))
 
-    def _update(self, part: str, rows: np.ndarray, total: np.ndarray, hits: np.ndarray) -> None:
+    def _update(self, part: str, rows: np.ndarray | slice, total: np.ndarray, hits: np.ndarray) -> None:
         """Step against the summed gradients of rows, each scaled by the mean square of all gradients its row had."""
         squares = self.squares[part]
         squares[rows] += np.einsum("rd,rd->r", total, total) / total.shape[1]
@@ -157,12 +181,3 @@ class Trainer:
             for block in np.unique(np.flatnonzero(seen) // size).tolist():
                 rows = slice(block * size, (block + 1) * size)
                 yield k, block, seen[rows], table[rows]
-
-
-def _logistic(x: np.ndarray) -> np.ndarray:
-    """1 / (1 + exp(-x)), in place."""
-    np.clip(x, -30, 30, out=x)
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)

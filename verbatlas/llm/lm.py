@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -110,11 +111,29 @@ class Vocabulary:
     def end(self) -> int:
         return self.own + ENDINGS
 
+    @cached_property
+    def _begins(self) -> tuple[np.uint64, np.ndarray, int]:
+        """Keys are hashes, so their first bits make small buckets: how many bits are cut off, where each bucket begins, and the largest one's size."""
+        bits = max(1, len(self.keys).bit_length() + 1)
+        cut = np.uint64(64 - bits)
+        begins = np.zeros((1 << bits) + 1, np.int32)
+        begins[1:] = np.cumsum(np.bincount((self.keys >> cut).astype(np.int64), minlength=1 << bits))
+        return cut, begins, int(np.diff(begins).max())
+
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions, and whether the keys are there."""
         if not len(self.keys):
             return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        cut, begins, most = self._begins
+        at = begins[(keys >> cut).astype(np.int64)].astype(np.int64)
+        last = len(self.keys) - 1
+        for _ in range(most):  # a few steps, each for the keys that are still before their place
+            before = np.flatnonzero(self.keys[np.minimum(at, last)] < keys)
+            before = before[at[before] < last]
+            if not len(before):
+                break
+            at[before] += 1
+        at = np.minimum(at, last)
         return at, self.keys[at] == keys
 
     def classify(self, keys: np.ndarray, tails: np.ndarray) -> np.ndarray:
