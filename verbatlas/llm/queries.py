@@ -74,10 +74,10 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verdict on all pages' URLs, with every address of the unwanted sites listed."""
-    from .urlfilter import RULES, SITES, judge_addresses
+    """The verdict on all pages' URLs, with every address of the unwanted sites and of pages that repeat another one's paragraph listed."""
+    from .urlfilter import RULES, SITES, judge_contents
 
-    return judge_addresses(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES, SITES)
+    return judge_contents(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES, SITES)
 
 
 def op9_site_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +178,14 @@ fitted AS (
     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM parsed),
-listed AS (SELECT DISTINCT host, path FROM parsed WHERE list_has_any(string_split(host, '.'), ['adult-x', 'ads-track', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']))
+addresses AS (SELECT page_id, host, path, string_split(host, '.') AS labels, list_filter(string_split(path, '/'), lambda p: p <> '') AS parts FROM parsed WHERE host <> ''),
+paragraphs AS (SELECT DISTINCT page_id, p FROM (SELECT page_id, unnest(regexp_extract_all(coalesce(html, ''), '<p>([^<]*)</p>', 1)) AS p FROM pages) WHERE len(regexp_extract_all(p, '[^\x20\x09-\x0D]+')) >= 20),
+copied AS (SELECT DISTINCT page_id FROM (SELECT page_id, min(page_id) OVER (PARTITION BY p) AS first FROM paragraphs) WHERE page_id > first),
+entries AS (SELECT DISTINCT concat_ws('/', host, CASE WHEN len(parts) > 0 THEN array_to_string(parts, '/') END) AS entry FROM addresses
+  WHERE list_has_any(labels, ['adult-x', 'ads-track', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) OR page_id IN (SELECT page_id FROM copied)),
+probes AS (SELECT host, path, h || unnest(list_prepend('', list_transform(range(1, len(parts) + 1), lambda i: '/' || array_to_string(parts[1:i], '/')))) AS entry FROM (
+  SELECT DISTINCT host, path, parts, unnest(list_transform(range(len(labels)), lambda i: array_to_string(labels[i + 1:], '.'))) AS h FROM addresses)),
+listed AS (SELECT DISTINCT host, path FROM probes JOIN entries USING (entry))
 SELECT page_id, f.host, f.path, rule, CASE WHEN rule IN ('org/', 'example.org/en/1', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
   WHEN l.host IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict FROM fitted f LEFT JOIN listed l ON f.host = l.host AND f.path = l.path
 """
