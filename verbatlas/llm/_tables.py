@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import re
 import tempfile
@@ -65,6 +68,16 @@ def discard(*tables: DataFrame) -> None:
             files.delete(at, True)
 
 
+def give_back() -> None:
+    """Hand free memory of this process back to the system: what a fit on a sample used for a moment stays with the allocators else."""
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def carried(docs: DataFrame, keep: list[str]) -> DataFrame:
     """row (a struct of the columns in keep, but for the text) and text, which so travels to Python once."""
     return docs.select(F.struct(F.lit(0).alias("n"), *[docs[c].alias(f"c{i}") for i, c in enumerate(keep) if c != "text"]).alias("row"), docs["text"].alias("text"))

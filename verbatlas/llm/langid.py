@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import carried, crc_mod, restored
+from ._tables import carried, crc_mod, give_back, restored
 from .text import bodies, ngram_counts, slices
 
 DIM = 4096
@@ -187,7 +187,9 @@ def predict(docs: DataFrame, model: LanguageModel | None, keep: list[str] | None
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous; fitted on the ids whose crc32 modulo 4 is not 2."""
     held = crc_mod(F.col("doc_id"), 4) == 2
-    out = predict(docs, train(docs, ~held))
+    model = train(docs, ~held)
+    give_back()
+    out = predict(docs, model)
     out = out.select(*restored(["doc_id"]), "lang_pred", "score", "ambiguous")
     return out.select("doc_id", held_of("doc_id"), "lang_pred", "score", "ambiguous")
 
@@ -201,5 +203,7 @@ def accepted(docs: DataFrame) -> DataFrame:
 
     A flagged text also goes if it is so short of evidence that no language has half of the score.
     """
-    out = predict(docs, train(docs, F.lit(True)), docs.columns)
+    model = train(docs, F.lit(True))
+    give_back()
+    out = predict(docs, model, docs.columns)
     return out.filter((F.col("lang_pred") != UND) & ~(F.col("ambiguous") & (F.col("score") < 0.5))).select(*restored(docs.columns))

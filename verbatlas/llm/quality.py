@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import carried, restored
+from ._tables import carried, give_back, restored
 from .langid import fitted, matrix
 from .text import IS_WHITE, LOWER, WHITE, bodies, ngram_counts, slices, words
 
@@ -162,9 +162,13 @@ def judge(docs: DataFrame, model: QualityModel | None, keep: list[str] | None =
 
 def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the counts of BASE, base_failed, probability, kept, for every row of docs."""
-    return judge(docs, train(docs, labels)).select(*restored(["doc_id"]), *BASE, "base_failed", "probability", "kept")
+    model = train(docs, labels)
+    give_back()
+    return judge(docs, model).select(*restored(["doc_id"]), *BASE, "base_failed", "probability", "kept")
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are kept, unchanged."""
-    return judge(docs, train(docs, labels), docs.columns).filter("kept").select(*restored(docs.columns))
+    model = train(docs, labels)
+    give_back()
+    return judge(docs, model, docs.columns).filter("kept").select(*restored(docs.columns))
