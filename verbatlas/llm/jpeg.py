@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 
@@ -66,7 +67,10 @@ class Huffman:
         self.only = symbols[0] if len(symbols) == 1 and counts[0] == 1 else None
 
 
-_huffman: dict[bytes, Huffman] = {}
+@lru_cache(maxsize=32)
+def _huffman(key: bytes) -> Huffman:
+    """The table for counts and symbols; foreign files may have many, so few are kept."""
+    return Huffman(key[:16], key[16:])
 
 
 class Bits:
@@ -241,7 +245,7 @@ def decode(body: bytes) -> Image:
             while x:
                 n = sum(x[1:17])
                 key = x[1 : 17 + n]
-                tables[x[0] >> 4, x[0] & 15] = _huffman.setdefault(key, None) or _huffman.__setitem__(key, Huffman(key[:16], key[16:])) or _huffman[key]
+                tables[x[0] >> 4, x[0] & 15] = _huffman(key)
                 x = x[17 + n :]
         elif marker == 0xDD:
             restart = int.from_bytes(x[:2], "big")

@@ -4,7 +4,7 @@ Each text is handled alone, in Arrow batches, without a shuffle. Images are deco
 texts need a bounded amount of memory beside their coefficients.
 
 Defined results: null text is the empty text; the empty text's payload is 64 bytes 0; equal texts get equal values;
-repeated rows stay; other columns are ignored.
+repeated rows stay; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
