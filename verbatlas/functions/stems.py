@@ -243,7 +243,7 @@ def ending_with_fallback(requests: DataFrame, overrides: DataFrame, table: DataF
         for k in blank:
             rows = rows.filter(F.col(k).isNull())
         rows = rows.select(*base, *keys, F.col("value").alias(name))
-        out = out.join(F.broadcast(rows), [*base, *keys], "left")
+        out = out.join(rows, [*base, *keys], "left")
     out = out.join(F.broadcast(table), base, "left")
     return out.select(*base, "gender", "animacy", F.coalesce("full", "by_gender", "plain", "ending", F.lit("")).alias("ending"))
 

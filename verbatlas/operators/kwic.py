@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verbatlas.functions import text as X
+from verbatlas.sources import tables
 
 from . import cql
 
@@ -56,11 +57,16 @@ def lemma_lines(docs: DataFrame, lemma: str, number: int = 1, size: int = 20) ->
     Contexts are cut around the first occurrence of the surface in the sentence, also for a later one.
     """
     number, size = max(1, number), min(100, max(1, size))
-    rows = docs.select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("sentence_no", "s"))
+    matches = lambda surface: F.lower(X.lemma_of(surface)) == lemma.lower()
+    found = F.filter(X.tokens(F.col("text"))["surface"], matches)
+    # the corpus is cut once, for a number per document; the page's lines stand in its first documents that have any
+    counted = tables.kept(docs.select("doc_id", F.size(found).alias("hits")).filter("hits > 0"), "hits")
+    total = counted.agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("total"))
+    first = counted.select("doc_id").orderBy("doc_id").limit(number * size).distinct().withColumnRenamed("doc_id", "wanted")
+    some = docs.join(F.broadcast(first), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
+    rows = some.select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("sentence_no", "s"))
     rows = rows.select("doc_id", "sentence_no", F.col("s.sentence").alias("sentence"))
-    hits = rows.select("doc_id", "sentence_no", "sentence", F.posexplode(X.surfaces(F.col("sentence"))).alias("place", "surface"))
-    hits = hits.filter(F.lower(X.lemma_of(F.col("surface"))) == lemma.lower())
-    total = hits.agg(F.count("*").alias("total"))
+    hits = rows.select("doc_id", "sentence_no", "sentence", F.posexplode(X.surfaces(F.col("sentence"))).alias("place", "surface")).filter(matches(F.col("surface")))
     shown = hits.orderBy("doc_id", "sentence_no", "place").offset((number - 1) * size).limit(size)
     left, right = around_first(F.col("sentence"), F.col("surface"))
     lines = shown.select("doc_id", "sentence_no", "place", left.alias("left_context"), F.col("surface").alias("keyword"), right.alias("right_context"))

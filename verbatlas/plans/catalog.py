@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import change_queries, corpus_queries, cql_queries, lexicon_queries, spelling_queries, store_queries, text_queries  # noqa: F401
+from . import change_queries, corpus_queries, cql_queries, lexicon_queries, spelling_queries, store_queries, text_queries, thesaurus_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
