@@ -229,3 +229,22 @@ def enclitics(spark, d):
     movable = F.length(form) % 2 == 0
     nouns = tag.select("form", M.marked(form, F.lit(1), ~movable).alias("toned"), F.when(movable, "C").otherwise("A").alias("paradigm"), F.lit("singular").alias("number"), case.alias("case"))
     return A.drawn_to_prepositions(docs, nouns, _PREPOSITIONS)
+
+
+_COMPOUND = {"perfect": "present", "pluperfect": "imperfect", "conditional": "conditional"}
+_AUX = ", ".join(f"('{tense}', '{p}', '{a}')" for tense, aux in _COMPOUND.items() for p, a in zip(V.PERSONS, V.AUXILIARIES[aux].split()))
+
+
+@query(
+    f"""{_WORDS}, v AS (SELECT slug || 'ti' AS slug FROM lex), {_verb_sql()}, aux(tense, person, word) AS (VALUES {_AUX})
+    SELECT slug, f.person AS gender, aux.tense AS tense, aux.person AS person, aux.word || ' ' || f.form AS form FROM f, aux WHERE f.tense = 'l_participle' AND f.person IN ('masc_sg', 'fem_sg')"""
+)
+def compound_tenses(spark, d):
+    """Perfect, pluperfect and conditional of made-up infinitives, by gender."""
+    forms = V.verb_forms(_lexicon(spark, d).select(F.concat("slug", F.lit("ti")).alias("slug")))
+    out = None
+    for tense, auxiliary in _COMPOUND.items():
+        for gender in ("masc_sg", "fem_sg"):
+            rows = V.compound(forms, tense, auxiliary, gender).withColumn("gender", F.lit(gender))
+            out = rows if out is None else out.unionByName(rows)
+    return out.select("slug", "gender", "tense", "person", "form")

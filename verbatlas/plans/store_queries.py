@@ -346,3 +346,10 @@ def accent_places(spark, d):
     """Every word with an accent on its last vowel, the one before, and so on."""
     rows = _lexicon(spark, d).select("slug", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("n"))
     return rows.select("slug", "n", M.accented(F.col("slug"), F.col("n"), F.lit("\u0301")).alias("form"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_acctbal >= 5000.5 AND c_mktsegment = 'BUILDING' AND c_name <> 'x'' OR 1 = 1'")
+def parametrised_sql(spark, d):
+    """Rows of a SQL text with named parameters; a value that looks like SQL stays a value."""
+    sql = f"SELECT c_custkey, c_name FROM parquet.`{d}/customer.parquet` WHERE c_acctbal >= :least AND c_mktsegment = :segment AND c_name <> :name"
+    return tables.sql_rows(spark, sql, {"least": 5000.5, "segment": "BUILDING", "name": "x' OR 1 = 1"})
