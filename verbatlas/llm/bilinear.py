@@ -47,26 +47,26 @@ class Bilinear:
         return np.add.reduceat(self.share, self.starts[:-1])
 
     def log10(self, one: np.ndarray, two: np.ndarray, unit: np.ndarray) -> np.ndarray:
-        """Log10 probabilities of units after the units two and one places before, by matrix products over batches."""
-        out, owner = np.empty(len(unit)), self.owner
-        for at in range(0, len(unit), 16384):
-            part = slice(at, at + 16384)
-            wide = np.ones((len(unit[part]), DIM + 1), np.float32)
-            np.add(self.first[one[part]], self.second[two[part]], out=wide[:, :-1])
-            own = owner[unit[part]]
-            logs = np.concatenate([_log_softmax(wide[k : k + CACHED], self.cluster, own[k : k + CACHED]) for k in range(0, len(wide), CACHED)])
-            order = np.argsort(own, kind="stable")
-            bounds = np.searchsorted(own[order], np.arange(len(self.starts)))
-            for c in np.flatnonzero(np.diff(bounds)):
-                a, b = self.starts[c], self.starts[c + 1]
-                if b - a > 1:
-                    rows = order[bounds[c] : bounds[c + 1]]
-                    logs[rows] += _log_softmax(wide[rows], self.unit[a:b], unit[part][rows] - a)
-            out[part] = logs
+        """Log10 probabilities of units after the units two and one places before, by matrix products over batches.
+
+        Tokens are taken in the order of their units, so that those of a cluster lie side by side, and a few at a time, whose scores stay in a core's cache.
+        """
+        out, order = np.empty(len(unit)), np.argsort(unit, kind="stable")
+        bounds = np.searchsorted(unit[order], self.starts).tolist()
+        for c in range(len(self.starts) - 1):
+            low, high = int(self.starts[c]), int(self.starts[c + 1])
+            for at in range(bounds[c], bounds[c + 1], CACHED):
+                rows = order[at : min(at + CACHED, bounds[c + 1])]
+                wide = np.ones((len(rows), DIM + 1), np.float32)
+                np.add(self.first[one[rows]], self.second[two[rows]], out=wide[:, :-1])
+                logs = _log_softmax(wide, self.cluster, c)
+                if high - low > 1:
+                    logs += _log_softmax(wide, self.unit[low:high], unit[rows] - low)
+                out[rows] = logs
         return out / np.log(10)
 
 
-def _log_softmax(wide: np.ndarray, table: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+def _log_softmax(wide: np.ndarray, table: np.ndarray, chosen: np.ndarray | int) -> np.ndarray:
     """Of rows that end in 1, the log of the chosen entry's share."""
     size = len(wide) * len(table)
     if len(_scratch[0]) < size:

@@ -59,33 +59,40 @@ def tokens(body: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     return words((body or b"").lower())
 
 
+def _counts(keys: np.ndarray, kinds: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(kinds.astype(np.int32)), pa.array(sums)], ["key", "ending", "n"])
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(key, ending, n) over all rows of docs, the end tokens included.
 
-    A task sums up what it reads and passes it on when it holds a million keys, so its memory is bounded.
+    A task sums up each slice of texts, merges the sums when it holds a million, and passes them on when half a million distinct keys are left, so
+    its memory is bounded.
     """
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, kinds, sums = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-
-        def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(kinds.astype(np.int32)), pa.array(sums)], ["key", "ending", "n"])
+    def merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        every, of, weight = (np.concatenate(x) for x in zip(*parts))
+        keys, at, group = np.unique(every, return_index=True, return_inverse=True)
+        return keys, of[at], np.bincount(group, weights=weight).astype(np.int64)
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
         for batch in (x for whole in batches for x in slices(whole, 0)):
             texts = bodies(batch.column(0))
             parts = [tokens(b) for b in texts]
-            every = np.concatenate([keys, *(p[0] for p in parts), np.zeros(1, np.uint64)])
-            of = np.concatenate([kinds, *(ending(p[1]) for p in parts), [ENDINGS]])
-            weight = np.ones(len(every), np.int64)
-            weight[: len(keys)] = sums
-            weight[-1] = len(texts)
-            keys, at, group = np.unique(every, return_index=True, return_inverse=True)
-            kinds, sums = of[at], np.bincount(group, weights=weight).astype(np.int64)
-            if len(keys) > 1_000_000:
-                yield row()
-                keys, kinds, sums = keys[:0], kinds[:0], sums[:0]
-        if len(keys):
-            yield row()
+            every, tails = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            keys, at, n = np.unique(every, return_index=True, return_counts=True)
+            held += [(keys, ending(tails[at]), n), (np.array([END_KEY], np.uint64), np.array([ENDINGS]), np.array([len(texts)]))]
+            size += len(keys)
+            if size > 1_000_000:
+                held = [merged(held)]
+                size = len(held[0][0])
+                if size > 500_000:
+                    yield _counts(*held[0])
+                    held, size = [], 0
+        if held:
+            yield _counts(*merged(held))
 
     partial = docs.select("text").mapInArrow(counted, "key long, ending int, n long")
     return partial.groupBy("key", "ending").agg(F.sum("n").alias("n"))
