@@ -51,7 +51,7 @@ class Bilinear:
 
         Tokens are taken in the order of their units, so that those of a cluster lie side by side, and a few at a time, whose scores stay in a core's cache.
         """
-        out, order = np.empty(len(unit)), np.argsort(unit, kind="stable")
+        out, order = np.empty(len(unit)), _ordered(unit, len(self.unit))
         bounds = np.searchsorted(unit[order], self.starts).tolist()
         for c in range(len(self.starts) - 1):
             low, high = int(self.starts[c]), int(self.starts[c + 1])
@@ -82,6 +82,11 @@ def _log_softmax(wide: np.ndarray, table: np.ndarray, chosen: np.ndarray | int)
 _scratch = [np.empty(0, np.float32)]
 
 
+def _ordered(numbers: np.ndarray, upto: int) -> np.ndarray:
+    """The order of numbers below a bound; 16 bits, where they are enough, are sorted digit by digit."""
+    return np.argsort(numbers.astype(np.uint16) if upto <= 1 << 16 else numbers, kind="stable")
+
+
 def start(share: np.ndarray, starts: np.ndarray, seed: int = 1) -> Bilinear:
     """A model whose biases are the logs of the shares, so that it begins as a unigram model."""
     rng, n = np.random.default_rng(seed), len(share)
@@ -115,7 +120,7 @@ class Trainer:
 
     def _step(self, one: np.ndarray, two: np.ndarray, unit: np.ndarray) -> None:
         m, b = self.model, len(unit)
-        order = np.argsort(unit)  # units of a cluster lie side by side
+        order = _ordered(unit, len(m.unit))  # units of a cluster lie side by side
         one, two, unit = one[order], two[order], unit[order]
         own = self.owner[unit]
         wide = np.ones((b, DIM + 1), np.float32)
@@ -162,7 +167,7 @@ class Trainer:
         return weight * (out.T @ rows + rows.sum(0))
 
     def _scatter(self, part: str, rows: np.ndarray, grads: np.ndarray) -> None:
-        order = np.argsort(rows, kind="stable")
+        order = _ordered(rows, len(getattr(self.model, part)))
         at = rows[order]
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         self._update(part, at[first], np.add.reduceat(grads[order], first, axis=0), np.diff(np.append(first, len(at))))

@@ -211,13 +211,14 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     return Vocabulary(keys[order], n[order], units[order], own, total, distinct, mass, types)
 
 
-def _told(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All sequences as one, and the places of what is to be told: the two marks that begin each are contexts only."""
-    length = np.array([len(x) for x in sequences])
-    begin = np.cumsum(length) - length
-    told = np.ones(length.sum(), bool)
+def _sequences(units: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Texts' units side by side, two ends before and one after each, and the places of what is to be told: all but the two that begin a text."""
+    out = np.full(len(units) + 3 * len(lengths), end, np.int32)
+    out[np.arange(len(units)) + 3 * np.repeat(np.arange(len(lengths)), lengths) + 2] = units
+    told = np.ones(len(out), bool)
+    begin = np.cumsum(lengths + 3) - (lengths + 3)
     told[begin] = told[begin + 1] = False
-    return np.concatenate(sequences), np.flatnonzero(told)
+    return out, np.flatnonzero(told)
 
 
 def _round(docs: DataFrame, shared_vocab, shared_model, number: int) -> DataFrame:
@@ -229,11 +230,9 @@ def _round(docs: DataFrame, shared_vocab, shared_model, number: int) -> DataFram
             texts = bodies(batch.column(0))
             if trainer is None:
                 trainer = Trainer(shared_model.value, xxhash.xxh64_intdigest(texts[0] or b"", number))
-            parts = []
-            for body in texts:
-                units = vocab.classify(*tokens(body))
-                parts.append(np.concatenate([[vocab.end, vocab.end], units, [vocab.end]]))
-            units, at = _told(parts)
+            parts = [tokens(body) for body in texts]
+            units = vocab.classify(*(np.concatenate(x) for x in zip(*parts)))
+            units, at = _sequences(units, np.array([len(keys) for keys, _ in parts]), vocab.end)
             trainer.learn(units[at - 1], units[at - 2], units[at])
         if trainer is not None:
             task = TaskContext.get().partitionId()
@@ -309,38 +308,35 @@ def _partial_scores(docs: DataFrame, shared_vocab, shared_model) -> DataFrame:
         head_log = np.log10(vocab.counts + 0.5)
         row_id = TaskContext.get().partitionId() << 34
         for batch in (x for whole in batches for x in slices(whole, 1)):
-            out: list[list[np.ndarray]] = [[] for _ in range(7)]
-            texts, where, sequences = bodies(batch.column(1)), [], []
-            for i, body in enumerate(texts):
-                keys, tails = tokens(body)
-                distinct, at, group, repeats = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-                place, there = vocab.find(distinct)
-                kinds = np.where(there, vocab.units[place] if len(vocab.units) else 0, vocab.own + ending(tails[at]))
-                sequences.append(np.concatenate([[vocab.end, vocab.end], kinds[group], [vocab.end]]))
-                model = 0.0
-                if net is not None:
-                    shared_unit = kinds >= vocab.own
-                    model -= float((repeats * own_share[kinds])[shared_unit].sum())
-                    known = there & shared_unit
-                    model += float((repeats[known] * head_log[place[known]]).sum())
-                ends = vocab.mass[vocab.end]
-                base = float((repeats[there] * head_log[place[there]]).sum()) + np.log10(ends + 0.5)
-                base -= (len(keys) + 1) * np.log10(total + 0.5 * (size + 1))
-                rare = np.flatnonzero(~there)
-                row_id += 1
-                where += [i] * (1 + len(rare))
-                n_known = int(repeats[there].sum()) + int(ends > 0)
-                head = (row_id, row_id, 0, len(keys) + 1, n_known, base, model)
-                rest = (np.full(len(rare), row_id), distinct[rare].view(np.int64), repeats[rare], 0, 0, 0.0, 0.0)
-                for into, x, y in zip(out, head, rest, strict=True):
-                    into.append(np.concatenate([[x], np.broadcast_to(y, len(rare))]))
+            texts = [tokens(body) for body in bodies(batch.column(1))]
+            length = np.array([len(keys) for keys, _ in texts])
+            found = [np.unique(keys, return_index=True, return_inverse=True, return_counts=True) for keys, _ in texts]
+            # the texts' distinct words, side by side
+            of = np.repeat(np.arange(len(texts)), [len(x[0]) for x in found])
+            distinct, tails, repeats = (np.concatenate(x) for x in ([x[0] for x in found], [t[x[1]] for (_, t), x in zip(texts, found)], [x[3] for x in found]))
+            place, there = vocab.find(distinct)
+            kinds = np.where(there, vocab.units[place] if len(vocab.units) else 0, vocab.own + ending(tails))
+            summed = lambda weights, where: np.bincount(of[where], weights=weights[where], minlength=len(texts))
+            log_n = np.zeros(len(distinct))
+            log_n[there] = repeats[there] * head_log[place[there]]
+            ends = vocab.mass[vocab.end]
+            base = summed(log_n, there) + np.log10(ends + 0.5) - (length + 1) * np.log10(total + 0.5 * (size + 1))
+            model = np.zeros(len(texts))
             if net is not None:
-                units, at = _told(sequences)
-                length = np.array([len(x) - 2 for x in sequences])
-                sums = np.add.reduceat(net.log10(units[at - 1], units[at - 2], units[at]), np.cumsum(length) - length)
-                for rows, add in zip(out[6], sums, strict=True):
-                    rows[0] += add
-            columns = [pa.array(np.concatenate(x)) for x in out]
+                shared = kinds >= vocab.own
+                model += summed(log_n, there & shared) - summed(repeats * own_share[kinds], shared)
+                begin = np.searchsorted(of, np.arange(len(texts))).tolist()
+                units = np.concatenate([kinds[b : b + len(x[0])][x[2]] for b, x in zip(begin, found)])
+                units, at = _sequences(units, length, vocab.end)
+                model += np.add.reduceat(net.log10(units[at - 1], units[at - 2], units[at]), np.cumsum(length + 1) - (length + 1))
+            rare = np.flatnonzero(~there)
+            ids = row_id + 1 + np.arange(len(texts))
+            row_id += len(texts)
+            own = (ids, ids, np.zeros(len(texts), np.int64), length + 1, summed(repeats, there).astype(np.int64) + int(ends > 0), base, model)
+            none = np.zeros(len(rare))
+            rest = (ids[of[rare]], distinct[rare].view(np.int64), repeats[rare], none.astype(np.int64), none.astype(np.int64), none, none)
+            where = np.concatenate([np.arange(len(texts)), of[rare]])
+            columns = [pa.array(np.concatenate(x)) for x in zip(own, rest, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(where)), *columns], ["doc_id", "row_id", "key", "repeats", "n_tokens", "n_known", "base", "model"])
 
     return docs.select("doc_id", "text").mapInArrow(
