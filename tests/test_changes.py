@@ -114,3 +114,27 @@ def test_places_over_many_ranges(spark):
     got = ordering.numbered(rows, [ordering.rising("v")]).collect()
     assert [r["v"] for r in sorted(got, key=lambda r: r["place"])] == sorted(r["v"] for r in got)
     assert sorted(r["place"] for r in got) == list(range(1, 3001))
+
+
+def test_blocks_hold_many_keys(spark, tmp_path):
+    """A slice's postings of a trigram are one stored row: rows don't grow with the documents' trigrams."""
+    rows = spark.createDataFrame([(i, "same words here") for i in range(500)], "key long, text string").repartition(1)
+    text_index.build(rows, "key", "text", f"{tmp_path}/index")
+    kept = spark.read.parquet(f"{tmp_path}/index/base-0")
+    assert kept.count() == kept.select("trigram").distinct().count() == 13
+    assert text_index.merged(spark, f"{tmp_path}/index").count() == 500 * 13
+
+
+def test_a_slice_ends_and_keys_may_be_texts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_index, "SLICE", 40)
+    rows = spark.createDataFrame([(f"k{i}", "abcabc" * (1 + i % 9)) for i in range(30)], "key string, text string").repartition(1)
+    found = text_index.blocks(rows, "key", "text").select("trigram", F.explode("postings").alias("p")).select("trigram", "p.*").collect()
+    assert len(found) == 90 and len({(r["trigram"], r["key"]) for r in found}) == 90
+    assert all(r["positions"] == [p for p in range({"abc": 0, "bca": 1, "cab": 2}[r["trigram"]], 6 * (1 + int(r["key"][1:]) % 9) - 2, 3)] for r in found)
+
+
+def test_a_document_is_one_stored_row(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "one two. three") for i in range(20)] + [(20, " \n "), (21, None)], DOCS)
+    token_store.create(docs, f"{tmp_path}/tokens", 4)
+    assert spark.read.parquet(f"{tmp_path}/tokens").count() == 20
+    assert token_store.read(spark, f"{tmp_path}/tokens").count() == 80

@@ -1,10 +1,10 @@
 """A stored trigram index of texts that follows changes, and exact substring search by it alone.
 
-A posting is (trigram, key, positions): where three characters of the lower-cased text stand in the row with that key. The index is a folder:
-`base-n` holds postings, sorted by range over trigram and key, so that a probe reads few row groups and the postings of a very frequent
-trigram lie in many ranges; `delta-m` holds the signed postings of change m: +1 with the new positions, -1 where a row lost the
-trigram. A base covers all changes up to its number. Of several postings of a trigram and key the latest counts. Folders without Spark's mark of success
-count as absent, so a writer that fails leaves nothing behind that a reader sees, and a change may be applied again under its number.
+A posting is (trigram, key, positions): where three characters of the lower-cased text stand in the row with that key. Postings of a trigram are
+stored in blocks, those of a slice of texts in one row, so that rows are few. The index is a folder: `base-n` holds blocks, sorted by range over
+trigram and first key, so that a probe reads few row groups and the blocks of a very frequent trigram may lie in many ranges; `delta-m` holds the new postings of
+the rows of change m, and the keys of these rows. A base covers all changes up to its number. Postings of a key count unless a later change names the key. Folders
+without Spark's mark of success count as absent, so a writer that fails leaves nothing behind that a reader sees, and a change may be applied again under its number.
 
 A text of three characters or more is found from postings alone: its trigrams at the offsets 0, 3, 6 and so on, and at its end, have to
 stand at one start. Texts are never read. Searches of fewer characters aren't answered by the index.
@@ -15,45 +15,103 @@ may be null (an insert, a deletion).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbatlas.functions.text import named
+
+#: Characters of a slice of texts whose postings are put in blocks together; a longer text is a slice of its own.
+SLICE = 2_000_000
+
+
+def _stored_type(kind: str) -> str:
+    return f"trigram string, first {kind}, postings array<struct<key: {kind}, positions: array<int>>>"
+
+
+def _block(keys: pa.Array, texts: list[str]) -> pa.RecordBatch:
+    """The blocks of a slice: code points as arrays, one stable sort by trigram, so keys and positions stay in order."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    place = np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    starts = np.flatnonzero(place < np.repeat(sizes, sizes) - 2)
+    codes = (points[starts] << 42) | (points[starts + 1] << 21) | points[starts + 2]
+    order = np.argsort(codes, kind="stable")
+    codes, owner, place = codes[order], owner[starts[order]], place[starts[order]].astype(np.int32)
+    new_gram = np.concatenate([[True], codes[1:] != codes[:-1]])
+    new_posting = np.flatnonzero(new_gram | np.concatenate([[True], owner[1:] != owner[:-1]]))
+    positions = pa.ListArray.from_arrays(pa.array(np.append(new_posting, len(codes)), pa.int32()), pa.array(place))
+    own = keys.take(pa.array(owner[new_posting]))
+    grams = np.flatnonzero(new_gram[new_posting])
+    distinct = codes[new_posting[grams]]
+    text = np.stack([distinct >> 42, distinct >> 21 & 0x1FFFFF, distinct & 0x1FFFFF], 1).astype(np.uint32).tobytes().decode("utf-32-le")
+    return _blocks([text[i : i + 3] for i in range(0, len(text), 3)], own, positions, grams)
 
 
-def grams(text: Column) -> Column:
-    """array<struct<trigram, position>> of the lower-cased text, positions from 0. Characters are cut once, so the cost grows with the length."""
-    letters = F.regexp_extract_all(F.lower(text), F.lit("(?s)."), F.lit(0))
+def _blocks(trigrams: list[str] | pa.Array, keys: pa.Array, positions: pa.ListArray, starts: np.ndarray) -> pa.RecordBatch:
+    """Blocks that begin at the given postings."""
+    each = pa.StructArray.from_arrays([keys, positions], ["key", "positions"])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(keys)), pa.int32()), each)
+    return pa.RecordBatch.from_arrays([pa.array(trigrams, pa.string()), keys.take(pa.array(starts)), lists], ["trigram", "first", "postings"])
 
-    def cut(c: Column) -> Column:
-        starts = F.slice(c, F.lit(1), F.greatest(F.size(c) - 2, F.lit(0)))
-        return F.transform(starts, lambda x, i: F.struct(F.concat(x, F.get(c, i + 1), F.get(c, i + 2)).alias("trigram"), i.alias("position")))
 
-    return named(letters, cut)
+def blocks(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """(trigram, first, postings): the postings of slices of rows, a block for each trigram of a slice. Nothing is shuffled."""
+    low = rows.select(F.col(key).alias("key"), F.lower(column).alias("low")).filter(F.length("low") >= 3)
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column, first, size, texts = batch.column(1), 0, 0, []
+            for i in range(batch.num_rows):
+                text = column[i].as_py()
+                if texts and size + len(text) > SLICE:
+                    yield _block(batch.column(0).slice(first, len(texts)), texts)
+                    first, size, texts = i, 0, []
+                texts.append(text)
+                size += len(text)
+            if texts:
+                yield _block(batch.column(0).slice(first, len(texts)), texts)
 
-def postings(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """(trigram, key, positions): one row for each row and distinct trigram of it, summed up on the map side."""
-    each = rows.select(F.col(key).alias("key"), F.explode(grams(F.col(column))).alias("g")).select("g.trigram", "key", "g.position")
-    return each.groupBy("trigram", "key").agg(F.array_sort(F.collect_list("position")).alias("positions"))
+    return low.mapInArrow(cut, _stored_type(low.schema["key"].dataType.simpleString()))
+
+
+def reblocked(postings: DataFrame) -> DataFrame:
+    """Blocks of (trigram, key, positions) rows: neighbours of one trigram in a batch become one. Rows that came from blocks still lie side by side."""
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                trigrams = batch.column(0)
+                changed = pc.not_equal(trigrams.slice(1), trigrams.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False).astype(bool)
+                starts = np.concatenate([[0], np.flatnonzero(changed) + 1])
+                yield _blocks(trigrams.take(pa.array(starts)), batch.column(1), batch.column(2), starts)
+
+    rows = postings.select("trigram", "key", "positions")
+    return rows.mapInArrow(joined, _stored_type(rows.schema["key"].dataType.simpleString()))
 
 
 def _store(df: DataFrame, path: str) -> None:
-    """Sorted by range: of the rows of a frequent trigram each range holds its share of keys."""
-    df.repartitionByRange("trigram", "key").sortWithinPartitions("trigram", "key").write.mode("overwrite").parquet(path)
+    """Sorted by range: the blocks of a frequent trigram may lie in many ranges."""
+    df.repartitionByRange("trigram", "first").sortWithinPartitions("trigram", "first").write.mode("overwrite").parquet(path)
 
 
 def build(rows: DataFrame, key: str, column: str, path: str) -> None:
     """Write the index of all rows."""
-    _store(postings(rows, key, column), f"{path}/base-0")
+    _store(blocks(rows, key, column), f"{path}/base-0")
 
 
 def change(changed: DataFrame, key: str, old: str, new: str, path: str, number: int) -> None:
-    """Write the signed postings of change `number` (from 1 on): changed has a row for each row that was inserted, deleted or updated."""
-    before = postings(changed, key, old).select("trigram", "key", F.lit(-1).alias("sign"), F.array().cast("array<int>").alias("positions"))
-    after = postings(changed, key, new).select("trigram", "key", F.lit(1).alias("sign"), "positions")
-    latest = F.max(F.struct("sign", "positions")).alias("p")  # a trigram that stays has both signs, and keeps the new positions
-    _store(before.unionByName(after).groupBy("trigram", "key").agg(latest).select("trigram", "key", "p.sign", "p.positions"), f"{path}/delta-{number}")
+    """Write change `number` (from 1 on): changed has a row for each row that was inserted, deleted or updated.
+
+    The keys that changed are kept under the empty trigram: whatever earlier folders say of them is void.
+    """
+    touched = changed.filter(F.col(old).isNotNull() | F.col(new).isNotNull()).select(F.lit("").alias("trigram"), F.col(key).alias("key"), F.array().cast("array<int>").alias("positions"))
+    _store(reblocked(touched).unionByName(blocks(changed, key, new)), f"{path}/delta-{number}")
 
 
 def _folders(spark: SparkSession, path: str) -> tuple[int, list[int]]:
@@ -73,24 +131,28 @@ def merged(spark: SparkSession, path: str, trigrams: list[str] | None = None) ->
     """(trigram, key, positions) after all changes; only those of the given trigrams are read."""
     base, changes = _folders(spark, path)
 
-    def probe(name: str) -> DataFrame:
+    def probe(name: str, wanted: list[str] | None) -> DataFrame:
         found = spark.read.parquet(f"{path}/{name}")
-        return found if trigrams is None else found.filter(F.col("trigram").isin(trigrams))
+        found = found.filter("trigram <> ''") if wanted is None else found.filter(F.col("trigram").isin(wanted))
+        return found.select("trigram", F.explode("postings").alias("p")).select("trigram", "p.key", "p.positions")
 
-    rows = probe(f"base-{base}").select("trigram", "key", F.lit(0).alias("number"), F.lit(1).alias("sign"), "positions")
+    rows = probe(f"base-{base}", trigrams)
     if not changes:
-        return rows.select("trigram", "key", "positions")
+        return rows
+    rows = rows.withColumn("number", F.lit(base))
     for n in changes:
-        rows = rows.unionByName(probe(f"delta-{n}").withColumn("number", F.lit(n)))
-    latest = rows.groupBy("trigram", "key").agg(F.max(F.struct("number", "sign", "positions")).alias("p"))
-    return latest.filter("p.sign > 0").select("trigram", "key", "p.positions")
+        rows = rows.unionByName(probe(f"delta-{n}", trigrams).withColumn("number", F.lit(n)))
+    touched = reduce(DataFrame.unionByName, [probe(f"delta-{n}", [""]).select(F.col("key").alias("touched"), F.lit(n).alias("n")) for n in changes])
+    latest = touched.groupBy("touched").agg(F.max("n").alias("latest"))
+    valid = rows.join(latest, rows["key"] == latest["touched"], "left").filter(F.col("latest").isNull() | (F.col("number") >= F.col("latest")))
+    return valid.select("trigram", "key", "positions")
 
 
 def compact(spark: SparkSession, path: str) -> int:
     """Write a new base with all changes in it; readers take it once it's complete. The number of changes that it covers."""
     base, changes = _folders(spark, path)
     if changes:
-        _store(merged(spark, path), f"{path}/base-{changes[-1]}")
+        _store(reblocked(merged(spark, path)), f"{path}/base-{changes[-1]}")
     return changes[-1] if changes else base
 
 
