@@ -6,6 +6,7 @@ All of them are built-in expressions on one row, so a document becomes tokens wi
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -115,6 +116,12 @@ def lemma_of(surface: Column) -> Column:
     return analysis(surface)["lemma"]
 
 
+def may_have_lemma(surface: Column, lemma: str) -> Column:
+    """A cheap test that every surface with the lemma passes: a lemma is the surface or the start of its letters in lower case, so it holds no other ones."""
+    low = F.lower(surface)
+    return reduce(lambda x, y: x & y, (F.contains(low, F.lit(c)) for c in sorted(set(lemma.lower()))), F.lit(True))
+
+
 def feats_of(surface: Column) -> Column:
     """The features as key=value joined by a bar."""
     return analysis(surface)["feats"]

@@ -66,6 +66,8 @@ def _of_token(segment: Segment, surface: Column) -> Column:
     cheap = Segment(tuple(t for t in segment.tests if t.name == "surface"))
     rest = Segment(tuple(t for t in segment.tests if t.name != "surface"))
     own = _condition(cheap, lambda _: surface)
+    # most tokens lack a letter of the lemma that is asked for, and are not analysed
+    own = reduce(lambda x, y: x & y, (X.may_have_lemma(surface, t.value) for t in rest.tests if t.name == "lemma" and t.equal), own)
     if not rest.tests:
         return own
 
@@ -92,8 +94,8 @@ def in_documents(docs: DataFrame, pattern: Pattern, *keep: str, payload: Callabl
 
     def fits(i: Column) -> Column:
         at = [F.get(t, i + k) for k in range(n)]
-        # segments with a surface first: they are cheap and most tokens fail them
-        order = sorted(range(n), key=lambda k: not any(x.name == "surface" and x.equal for x in pattern[k].tests))
+        # segments with a surface first, then those with a lemma: they are cheap and most tokens fail them
+        order = sorted(range(n), key=lambda k: min((("surface", "lemma").index(x.name) for x in pattern[k].tests if x.equal and x.name in ("surface", "lemma")), default=2))
         own = reduce(lambda x, y: x & y, (_of_token(pattern[k], at[k]["surface"]) for k in order))
         return own & (at[0]["sentence_no"] == at[n - 1]["sentence_no"])
 
