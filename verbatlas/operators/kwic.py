@@ -57,8 +57,9 @@ def lemma_lines(docs: DataFrame, lemma: str, number: int = 1, size: int = 20) ->
     Contexts are cut around the first occurrence of the surface in the sentence, also for a later one.
     """
     number, size = max(1, number), min(100, max(1, size))
-    matches = lambda surface: F.lower(X.lemma_of(surface)) == lemma.lower()
-    found = F.filter(X.tokens(F.col("text"))["surface"], matches)
+    matches = lambda surface: X.may_have_lemma(surface, lemma) & (F.lower(X.lemma_of(surface)) == lemma.lower())
+    # a sentence is cut for its tokens only, and the rows keep their number
+    found = F.flatten(F.transform(X.sentences(F.col("text")), lambda s: F.filter(X.surfaces(s["sentence"]), matches)))
     # the corpus is cut once, for a number per document; the page's lines stand in its first documents that have any
     counted = tables.kept(docs.select("doc_id", F.size(found).alias("hits")).filter("hits > 0"), "hits")
     total = counted.agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("total"))
