@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verbatlas.functions import text as X
@@ -70,17 +70,22 @@ def disambiguated(contexts: DataFrame, options: DataFrame, rules: DataFrame) ->
     return contexts.join(chosen, contexts["left_word"].eqNullSafe(chosen["l"]) & (contexts["form"] == chosen["f"]), "left").drop("l", "f")
 
 
-def neighbours(docs: DataFrame) -> DataFrame:
-    """left_word, form, n: how often a lower-case word follows another token in its sentence."""
-    tokens = F.col("tokens")
-    pairs = F.transform(
-        tokens,
-        lambda t, i: F.struct(
-            F.when((i > 0) & (F.get(tokens, i - 1)["sentence_no"] == t["sentence_no"]), F.lower(F.get(tokens, i - 1)["surface"])).alias("left_word"),
-            F.lower(t["surface"]).alias("form"),
-        ),
-    )
-    rows = docs.select(X.tokens(F.col("text")).alias("tokens")).select(F.explode(pairs).alias("p")).select("p.*")
+def neighbours(docs: DataFrame, left_words: list[str] | None = None) -> DataFrame:
+    """left_word, form, n: how often a lower-case word follows another token in its sentence; only after the given words, if there are any.
+
+    Words that do not follow one of the given words are left out in their sentence's array, before any pair is made.
+    """
+    sentences = F.transform(X.sentences(F.col("text")), lambda s: X.surfaces(s["sentence"]))
+    if left_words is None:
+        pair = lambda s: F.transform(s, lambda t, i: F.struct(F.when(i > 0, F.get(s, i - 1)).alias("left_word"), t.alias("form")))
+    else:
+
+        def pair(s: Column) -> Column:
+            at = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.lower(F.get(s, i)).isin(*left_words) & (i < F.size(s) - 1))
+            return F.transform(at, lambda i: F.struct(F.get(s, i).alias("left_word"), F.get(s, i + 1).alias("form")))
+
+    # a sentence is cut into its tokens once: the pairs are made of a variable
+    rows = docs.select(F.explode(F.flatten(F.transform(sentences, pair))).alias("p")).select(F.lower("p.left_word").alias("left_word"), F.lower("p.form").alias("form"))
     return rows.filter(X.is_word(F.col("form"))).groupBy("left_word", "form").agg(F.count("*").alias("n"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from verbatlas.functions import text as X
 from verbatlas.operators import cql, disambiguation, kwic
+from verbatlas.sources import tables
 
 from .corpus_queries import SENT, TAG, _docs
 from .registry import query, table
@@ -123,13 +124,12 @@ _PRIOR = "CASE kase " + " ".join(f"WHEN '{k}' THEN {int(1000 * v + 0.5)}" for k,
 def case_government(spark, d):
     """Nouns after a preposition, with the case that it governs; every noun form may be any case."""
     docs = _docs(spark, d)
-    pairs = disambiguation.neighbours(docs)
-    words = pairs.select("form").distinct()
+    governed = tables.kept(disambiguation.neighbours(docs, list(disambiguation.GOVERNMENT)), "governed")
+    words = governed.select("form").distinct()
     nouns = words.filter(X.pos_of(F.col("form")) == "NOUN").select("form", X.lemma_of(F.col("form")).alias("slug"))
     cases = F.explode(F.array(*[F.lit(c) for c in disambiguation.WEIGHTS])).alias("case")
     options = disambiguation.cold_start(nouns.select("form", "slug", cases))
     rules = disambiguation.government(spark)
-    governed = pairs.join(F.broadcast(rules.select("left_word").distinct()), "left_word", "left_semi")
     return disambiguation.disambiguated(governed, options, rules).select("left_word", "form", "n", "slug", "case")
 
 
