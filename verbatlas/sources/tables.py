@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,33 +107,50 @@ def compressed(body: str) -> str:
 
 
 def decompressed(df: DataFrame, column: str, into: str) -> DataFrame:
-    """Add the text of a gzip+base64 column, in Arrow batches; null stays null, plain text stays as it is."""
-    row = df.select(F.struct(*df.columns).alias("row"), F.col(column).alias("body"), F.try_to_binary(column, F.lit("base64")).alias("packed"))
+    """Add the text of a gzip+base64 column, in slices of Arrow batches; null stays null, plain text stays as it is."""
+    row = df.select(F.struct(*df.columns).alias("row"), F.try_to_binary(column, F.lit("base64")).alias("packed"))
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for plain, packed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                texts.append(gzip.decompress(packed).decode() if packed and packed[:2] == b"\x1f\x8b" else plain)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", into])
+            plain = batch.column(0).field(column)
+            for first, n in slices(plain):
+                texts = []
+                for body, packed in zip(plain.slice(first, n), batch.column(1).slice(first, n)):
+                    raw = packed.as_py()
+                    texts.append(gzip.decompress(raw).decode() if raw and raw[:2] == b"\x1f\x8b" else body.as_py())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(texts, pa.string())], ["row", into])
 
     kind = row.schema["row"].dataType.simpleString()
     return row.mapInArrow(opened, f"row {kind}, {into} string").select("row.*", into)
 
 
 def packed(df: DataFrame, column: str, into: str) -> DataFrame:
-    """Add the gzip+base64 form of a text column, in Arrow batches; null stays null."""
-    row = df.select(F.struct(*df.columns).alias("row"), F.col(column).alias("body"))
+    """Add the gzip+base64 form of a text column, in slices of Arrow batches; null stays null."""
+    row = df.select(F.struct(*df.columns).alias("row"))
 
     def closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if t is None else compressed(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", into])
+            bodies = batch.column(0).field(column)
+            for first, n in slices(bodies):
+                texts = [None if t is None else compressed(t) for t in bodies.slice(first, n).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(texts, pa.string())], ["row", into])
 
     kind = row.schema["row"].dataType.simpleString()
     return row.mapInArrow(closed, f"row {kind}, {into} string").select("row.*", into)
 
 
+def slices(texts: pa.Array, most: int = 1 << 20) -> list[tuple[int, int]]:
+    """(first, rows) of slices of about `most` bytes of text each, so that Python holds few copies of a batch; a longer text is a slice of its own."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    out, first, size = [], 0, 0
+    for i, n in enumerate(sizes):
+        if i > first and size + n > most:
+            out.append((first, i - first))
+            first, size = i, 0
+        size += n
+    return [*out, (first, len(sizes) - first)] if sizes else out
+
+
 def write_csv(df: DataFrame, path: str, order: list[str] | None = None, separator: str = ",") -> None:
     """A quoted CSV report with a header."""
     df = df.orderBy(*order) if order else df
