@@ -36,3 +36,12 @@ def test_slices_of_texts_cover_all_rows(spark):
     df = spark.createDataFrame(rows, "i long, text string").coalesce(1)
     again = tables.decompressed(tables.packed(df, "text", "body").select("i", "body"), "body", "again")
     assert sorted((r["i"], r["again"]) for r in again.collect()) == rows
+
+
+def test_prepositions_before_nouns(spark):
+    from verbatlas.functions import accents
+
+    docs = spark.createDataFrame([(1, "Na dom. na\n\ndom v Dom na"), (2, None), (3, " "), (4, "na"), (5, "na! na dom")], "doc_id long, text string")
+    nouns = spark.createDataFrame([("dom", "dom", "A", "singular", "nominative")], "form string, toned string, paradigm string, number string, case string")
+    found = accents.drawn_to_prepositions(docs, nouns, ["na", "v"]).select("doc_id", "token_index", "preposition", "form").collect()
+    assert sorted(map(tuple, found)) == [(1, 0, "Na", "dom"), (1, 5, "v", "Dom"), (5, 2, "na", "dom")]
