@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from verbatlas.functions import stems as M
 from verbatlas.functions import strings as S
 from verbatlas.functions import text as X
-from verbatlas.operators import corpus, dedup, disambiguation, lexicon, maintenance
+from verbatlas.operators import arrow_tokens, corpus, dedup, disambiguation, lexicon, maintenance
 from verbatlas.sources import tables
 
 from .corpus_queries import LEX, TAG, _docs, _lexicon
@@ -22,7 +22,7 @@ _WORDS = f"WITH {LEX}"
 
 def _stored(spark, d):
     """Tokens as they were stored once: words are their own lemma, without an analysis."""
-    rows = corpus.positions(_docs(spark, d))
+    rows = arrow_tokens.positions(_docs(spark, d))
     word = F.col("word_index") != -1
     return rows.select(
         "doc_id",
