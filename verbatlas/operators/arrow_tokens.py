@@ -119,3 +119,58 @@ def positions(docs: DataFrame, *keep: str) -> DataFrame:
 
     out = sliced(docs, ["doc_id", *keep], "kept, token_index int, segment int, sentence_no int, surface string, word_index int", rows)
     return out.select("kept.*", "token_index", "segment", "sentence_no", "surface", "word_index")
+
+
+@dataclass
+class Forms:
+    """Distinct surfaces of each text, ordered by text: its number, the surface, whether it is a word, how often it stands there; at: each token's entry."""
+
+    text: np.ndarray
+    surface: pa.Array
+    word: np.ndarray
+    n: np.ndarray
+    at: np.ndarray
+
+
+def forms(t: Cut) -> Forms:
+    """The distinct surfaces of each text of a slice."""
+    coded = t.surface.dictionary_encode()
+    size = max(len(coded.dictionary), 1)
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    pairs, first, at, n = np.unique(t.text * size + codes, return_index=True, return_inverse=True, return_counts=True)
+    return Forms(pairs // size, coded.dictionary.take(pa.array(pairs % size)), t.word[first], n, at)
+
+
+def lists(owner: np.ndarray, owners: int, values: pa.Array) -> pa.ListArray:
+    """One list for each of so many owners, from values in the owners' order."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(owners + 1)).astype(np.int32)), values)
+
+
+def words(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, any columns to keep, surface, n: the distinct words of each document as they are written, and how often each stands there."""
+
+    def rows(kept: pa.StructArray, _: pa.Array, t: Cut) -> list[pa.Array]:
+        f = forms(t)
+        return [kept.take(pa.array(f.text[f.word])), f.surface.filter(pa.array(f.word)), pa.array(f.n[f.word])]
+
+    return sliced(docs, ["doc_id", *keep], "kept, surface string, n long", rows).select("kept.*", "surface", "n")
+
+
+def indexed(docs: DataFrame, known: str, *keep: str) -> DataFrame:
+    """doc_id, any columns to keep, forms, sentences: each document as its distinct surfaces and the places of its tokens among them.
+
+    forms: array<struct<surface, known>>; sentences: array<struct<segment, tokens>>, tokens being places in forms, from 0. The column `known` lists
+    surfaces of the document that are known, by a property of the surface alone, so that those of a slice are looked up together.
+    """
+
+    def rows(kept: pa.StructArray, _: pa.Array, t: Cut) -> list[pa.Array]:
+        f, texts = forms(t), len(kept)
+        sure = pc.is_in(f.surface, value_set=pc.unique(kept.field(known).flatten()))
+        places = pa.array((f.at - np.searchsorted(f.text, t.text)).astype(np.int32))
+        start = np.flatnonzero((np.diff(t.sentence_no, prepend=-1) != 0) | (t.token_index == 0))
+        tokens = pa.ListArray.from_arrays(pa.array(np.append(start, len(t.text)).astype(np.int32)), places)
+        sentences = pa.StructArray.from_arrays([pa.array(t.segment[start]), tokens], ["segment", "tokens"])
+        return [kept, lists(f.text, texts, pa.StructArray.from_arrays([f.surface, sure], ["surface", "known"])), lists(t.text[start], texts, sentences)]
+
+    schema = "kept, forms array<struct<surface:string,known:boolean>>, sentences array<struct<segment:int,tokens:array<int>>>"
+    return sliced(docs, ["doc_id", known, *keep], schema, rows).select("kept.*", "forms", "sentences").drop(known)

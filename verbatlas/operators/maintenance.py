@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verbatlas.functions import strings as S
+from verbatlas.functions import text as X
+
+from . import arrow_tokens
 
 
 def reanalysed(tokens: DataFrame, analyses: DataFrame) -> DataFrame:
@@ -100,7 +103,51 @@ def tei_documents(sentences: DataFrame, titles: DataFrame) -> DataFrame:
     per = sentences.groupBy("doc_id", "segment").agg(line(F.struct("sentence_no", F.concat(F.lit("        "), F.col("xml")).alias("xml")), "xml").alias("body"))
     block = F.concat(F.lit('      <div type="segment" n="'), (F.col("segment") + 1).cast("string"), F.lit('">\n'), F.col("body"), F.lit("\n      </div>"))
     bodies = per.groupBy("doc_id").agg(line(F.struct("segment", block.alias("xml")), "xml").alias("body"))
+    return titles.join(bodies, "doc_id").select("doc_id", _whole(F.col("body")).alias("xml"))
+
+
+def _whole(body: Column) -> Column:
+    """A TEI document of its body and the columns title and author."""
     text = lambda c: S.applied(S.XML, F.coalesce(F.col(c), F.lit("")))
     author = F.when(F.col("author").isNotNull(), F.concat(F.lit(TEI_AUTHOR[0]), text("author"), F.lit(TEI_AUTHOR[1]))).otherwise("")
     head = F.concat(F.lit(TEI_HEAD[0]), text("title"), F.lit(TEI_HEAD[1]), author, F.lit(TEI_HEAD[2]))
-    return titles.join(bodies, "doc_id").select("doc_id", F.concat(head, F.col("body"), F.lit(TEI_END)).alias("xml"))
+    return F.concat(head, body, F.lit(TEI_END))
+
+
+def tei_lines(docs: DataFrame, spread: DataFrame, known: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, any columns to keep, lines: array<struct<segment, xml>>, the TEI sentences of each document in order, for documents with a token.
+
+    docs and spread: the same documents (doc_id, text), the latter over all cores; known: slug. The distinct words of each document meet the known ones,
+    and those found meet the texts by doc_id, so a text is shuffled once and no token is. An element is made once for each surface of a document.
+    """
+    slugs = known.select(F.col("slug").alias("k"))
+    # documents without an id are a document like others; a number of parts that is given keeps the costly work on all cores
+    found = arrow_tokens.words(spread).join(slugs, F.lower("surface") == F.col("k"))
+    sure = found.groupBy(F.struct("doc_id").alias("own")).agg(F.collect_list("surface").alias("sure"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = docs.select(F.struct("doc_id").alias("own"), "doc_id", "text", *keep).repartition(parts, "own").join(sure, "own", "left")
+    rows = arrow_tokens.indexed(own, "sure", *keep).filter(F.size("sentences") > 0)
+
+    def element(f: Column) -> Column:
+        surface = f["surface"]
+        tag = lambda a: S.tei_token(surface, a["lemma"], a["pos"], a["feats"], a["pos"] != "PUNCT", f["known"])
+        return X.named(X.analysis(surface), tag)
+
+    def lines(elements: Column) -> Column:
+        body = lambda s: F.array_join(F.transform(s["tokens"], lambda i: F.get(elements, i)), " ")
+        line = lambda s, n: F.concat(F.lit('<s n="'), (n + 1).cast("string"), F.lit('">'), body(s), F.lit("</s>"))
+        return F.transform("sentences", lambda s, n: F.struct(s["segment"].alias("segment"), line(s, n).alias("xml")))
+
+    return rows.select("doc_id", *keep, X.named(F.transform("forms", element), lines).alias("lines"))
+
+
+def tei_texts(lines: DataFrame) -> DataFrame:
+    """doc_id, xml: whole TEI documents from rows (doc_id, title, author, lines), each put together in its row."""
+    open_ = lambda s: F.concat(F.lit('      <div type="segment" n="'), (s["segment"] + 1).cast("string"), F.lit('">\n'))
+    close = "\n      </div>"
+
+    def body(all_: Column) -> Column:
+        before = lambda s, i: F.when(i == 0, open_(s)).when(F.get(all_, i - 1)["segment"] != s["segment"], F.concat(F.lit(close + "\n"), open_(s))).otherwise("\n")
+        return F.array_join(F.transform(all_, lambda s, i: F.concat(before(s, i), F.lit("        "), s["xml"])), "")
+
+    return lines.select("doc_id", _whole(F.concat(X.named(F.col("lines"), body), F.lit(close))).alias("xml"))

@@ -86,17 +86,9 @@ _TITLE = "lang || ' & <' || coalesce(source, '') || '>'"
 )
 def tei_document(spark, d):
     """Whole documents as TEI XML, by their digests."""
-    rows = _docs(spark, d).select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("sentence_no", "s"))
-    tokens = rows.select("doc_id", "s.segment", "sentence_no", F.posexplode(X.surfaces(F.col("s.sentence"))).alias("i", "surface"))
-    s = F.col("surface")
-    known = _lexicon(spark, d).select(F.col("slug").alias("k"))
-    joined = tokens.withColumn("a", X.analysis(s)).join(known, F.lower(s) == F.col("k"), "left")
-    xml = S.tei_token(s, F.col("a.lemma"), F.col("a.pos"), F.col("a.feats"), F.col("a.pos") != "PUNCT", F.col("k").isNotNull())
-    per = joined.groupBy("doc_id", "segment", "sentence_no").agg(F.array_sort(F.collect_list(F.struct("i", xml.alias("xml")))).alias("t"))
-    line = F.concat(F.lit('<s n="'), (F.col("sentence_no") + 1).cast("string"), F.lit('">'), F.array_join(F.col("t.xml"), " "), F.lit("</s>"))
     title = F.concat(F.col("lang"), F.lit(" & <"), F.coalesce("source", F.lit("")), F.lit(">"))
-    titles = table(spark, d, "documents").select("doc_id", title.alias("title"), F.col("source").alias("author"))
-    out = maintenance.tei_documents(per.select("doc_id", "segment", "sentence_no", line.alias("xml")), titles)
+    docs = table(spark, d, "documents").withColumns({"title": title, "author": F.col("source")})
+    out = maintenance.tei_texts(maintenance.tei_lines(docs, _docs(spark, d), _lexicon(spark, d), "title", "author"))
     return out.select("doc_id", F.md5(F.col("xml").cast("binary")).alias("digest"))
 
 
