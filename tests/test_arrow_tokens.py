@@ -54,3 +54,27 @@ def test_queries_make_no_array_of_tokens(spark):
     for name in ("tokenize_positions", "reanalysis"):
         # the column form numbers words by filters of arrays of structs in the document's row
         assert "filter(" not in plan(name)
+
+
+def test_sentences_without_a_shuffle_of_tokens(spark, odd):
+    from verbatlas.functions import strings as S
+    from verbatlas.operators import maintenance
+
+    known = spark.createDataFrame([("a",), ("seg",), ("иваiх",), ("x",)], "slug string")
+    own = odd.withColumns({"title": F.concat(F.lit("& "), "source"), "author": F.when(F.col("source") != "8", "<q>")})
+    lines = maintenance.tei_lines(own, own, known, "title", "author")
+    got = lines.select("doc_id", F.posexplode("lines").alias("sentence_no", "s")).select("doc_id", "sentence_no", "s.segment", F.col("s.xml").alias("xml"))
+    s, a = F.col("surface"), X.analysis(F.col("surface"))
+    tokens = corpus.positions(odd).join(known, F.lower(s) == F.col("slug"), "left")
+    tokens = tokens.withColumn("x", S.tei_token(s, a["lemma"], a["pos"], a["feats"], a["pos"] != "PUNCT", F.col("slug").isNotNull()))
+    per = tokens.groupBy("doc_id", "sentence_no", "segment").agg(F.array_sort(F.collect_list(F.struct("token_index", "x"))).alias("t"))
+    want = per.select("doc_id", "sentence_no", "segment", F.concat(F.lit('<s n="'), F.col("sentence_no") + 1, F.lit('">'), F.array_join("t.x", " "), F.lit("</s>")).alias("xml"))
+    assert same(got, want) and 'cert="low"' in str(want.collect()) and not want.filter("doc_id is null").isEmpty()
+    whole = maintenance.tei_texts(lines).filter("doc_id is not null")
+    assert same(whole, maintenance.tei_documents(want.filter("doc_id is not null"), own.select("doc_id", "title", "author")))
+    from verbatlas.plans import catalog
+
+    # nothing is dealt by sentence
+    for name in ("tei_sentence", "tei_document"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.splitlines() if "Exchange" in x and "sentence_no" in x]

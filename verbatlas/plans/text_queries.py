@@ -12,6 +12,7 @@ from verbatlas.functions import strings as S
 from verbatlas.functions import text as X
 from verbatlas.functions import verbs as V
 from verbatlas.operators import corpus as C
+from verbatlas.operators import maintenance
 
 from .corpus_queries import LEX, SENT, TAG, _docs, _lexicon
 from .registry import query, table
@@ -493,17 +494,10 @@ _ANA = "CASE WHEN feats = '' THEN '' ELSE ' ana=\"' || " + duck(S.XML, "replace(
     SELECT doc_id, sentence_no, '<s n="' || (sentence_no + 1) || '">' || string_agg(t, ' ' ORDER BY token_index) || '</s>' AS xml FROM x GROUP BY doc_id, sentence_no"""
 )
 def tei_sentence(spark, d):
-    """Sentences as TEI XML. Known forms come from a small lexicon by a join; a sentence is put together from its own tokens."""
-    rows = _docs(spark, d).select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("sentence_no", "s"))
-    tokens = rows.select("doc_id", "sentence_no", F.posexplode(X.surfaces(F.col("s.sentence"))).alias("i", "surface"))
-    tokens = tokens.withColumn("a", X.analysis(F.col("surface")))
-    known = _lexicon(spark, d).select(F.col("slug").alias("k"))
-    s = F.col("surface")
-    joined = tokens.join(known, F.lower(s) == F.col("k"), "left")
-    xml = S.tei_token(s, F.col("a.lemma"), F.col("a.pos"), F.col("a.feats"), F.col("a.pos") != "PUNCT", F.col("k").isNotNull())
-    per = joined.groupBy("doc_id", "sentence_no").agg(F.array_sort(F.collect_list(F.struct("i", xml.alias("xml")))).alias("t"))
-    line = F.concat(F.lit('<s n="'), (F.col("sentence_no") + 1).cast("string"), F.lit('">'), F.array_join(F.col("t.xml"), " "), F.lit("</s>"))
-    return per.select("doc_id", "sentence_no", line.alias("xml"))
+    """Sentences as TEI XML. Known forms come from a small lexicon by a join; a sentence is put together in its document's row."""
+    lines = maintenance.tei_lines(table(spark, d, "documents"), _docs(spark, d), _lexicon(spark, d))
+    # no document is without lines; outer, as the plain form is made to test their number first, which makes the lines twice
+    return lines.select("doc_id", F.posexplode_outer("lines").alias("sentence_no", "s")).select("doc_id", "sentence_no", "s.xml")
 
 
 _ADJ_VALUES = ", ".join(f"('{k}', '{n}', '{g}', '{c}', '{e}')" for (k, n, g), line in M.ADJECTIVE_TABLE.items() for c, e in zip(M.CASES, line.split()))
