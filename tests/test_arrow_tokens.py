@@ -78,3 +78,24 @@ def test_sentences_without_a_shuffle_of_tokens(spark, odd):
     for name in ("tei_sentence", "tei_document"):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert not [x for x in plan.splitlines() if "Exchange" in x and "sentence_no" in x]
+
+
+def test_neighbours_and_vocabulary(spark, odd):
+    tokens = corpus.positions(odd).filter("doc_id is not null")
+    pair = F.struct(F.col("token_index") + 1, "sentence_no", "doc_id")
+    next_ = tokens.select(F.struct("token_index", "sentence_no", "doc_id").alias("k"), F.col("surface").alias("next"))
+    want = tokens.join(next_, F.col("k") == pair).select("doc_id", "token_index", "surface", "next")
+    assert same(arrow_tokens.followed(odd.filter("doc_id is not null")), want) and want.count() > 10
+    counts = corpus.positions(odd).groupBy("surface").agg(F.count("*").alias("n"), F.max(F.col("word_index") >= 0).alias("word")).select("surface", "word", "n")
+    for docs in (odd, odd.repartition(3)):
+        assert same(arrow_tokens.vocabulary(docs).groupBy("surface", "word").agg(F.sum("n").alias("n")), counts)
+    pairs = corpus.positions(odd).filter("word_index >= 0").groupBy("doc_id", "surface").agg(F.count("*").alias("n"))
+    assert same(arrow_tokens.words(odd), pairs)
+
+
+def test_enclitics_make_no_array_of_tokens(spark):
+    from verbatlas.plans import catalog
+
+    plan = catalog.QUERIES["enclitics"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # the distinct surfaces of a slice are tagged, not every token
+    assert "regexp_extract_all(text#" not in plan

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import text as X
+from verbatlas.operators import arrow_tokens
+
 from .spellings import single_j
 from .stems import VOWELS, accented, marked, with_preposition, without_tones
 from .strings import SOFT, applied
@@ -89,16 +90,11 @@ def collective_tone(form: Column, base: Column, paradigm: Column) -> Column:
 def drawn_to_prepositions(docs: DataFrame, nouns: DataFrame, prepositions: list[str]) -> DataFrame:
     """doc_id, token_index, preposition, form, accented: every preposition before a known noun form in running text, and both with their accent.
 
-    nouns: form (lower case, one row for each), toned, paradigm, number, case. Pairs are found in each document's own token array; they meet the
+    nouns: form (lower case, one row for each), toned, paradigm, number, case. Pairs are found in slices of texts, without a shuffle; they meet the
     nouns by an equi-join on the form, and the accent moves to the preposition where `with_preposition` says so.
     """
-    def pairs(t: Column) -> Column:
-        both = F.transform(t, lambda x, i: F.struct(i.alias("token_index"), x["surface"].alias("preposition"), F.get(t, i + 1).alias("next")))
-        beside = lambda p: (p["next"]["sentence_no"] == F.get(t, p["token_index"])["sentence_no"]) & F.lower(p["preposition"]).isin(*prepositions)
-        return F.filter(both, beside)
-
-    rows = docs.select("doc_id", F.explode(X.named(X.tokens(F.col("text")), pairs)).alias("p"))
-    rows = rows.select("doc_id", "p.token_index", "p.preposition", F.col("p.next.surface").alias("form"))
+    rows = arrow_tokens.followed(docs).filter(F.lower("surface").isin(*prepositions))
+    rows = rows.select("doc_id", "token_index", F.col("surface").alias("preposition"), F.col("next").alias("form"))
     found = rows.join(nouns.withColumnRenamed("form", "known"), F.lower("form") == F.col("known"))
     said = with_preposition(F.col("preposition"), F.col("toned"), F.col("paradigm"), F.col("number"), F.col("case"))
     return found.select("doc_id", "token_index", "preposition", "form", said.alias("accented"))

@@ -94,8 +94,11 @@ def cut(texts: pa.Array) -> Cut:
 
 
 def sliced(docs: DataFrame, keep: list[str], schema: str, rows: Callable[[pa.StructArray, pa.Array, Cut], list[pa.Array]]) -> DataFrame:
-    """docs (any columns to keep, text) as the rows that `rows` makes of the kept columns, the texts and their tokens, a slice at a time."""
-    frame = docs.select(F.struct(*keep).alias("kept"), "text")
+    """docs (any columns to keep, text) as the rows that `rows` makes of the kept columns, the texts and their tokens, a slice at a time.
+
+    schema: the columns that `rows` makes; `kept` comes first, if any column is kept.
+    """
+    frame = docs.select(F.struct(*(keep or [F.lit(0)])).alias("kept"), "text")
     names = [f.split()[0] for f in schema.split(", ")]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +108,7 @@ def sliced(docs: DataFrame, keep: list[str], schema: str, rows: Callable[[pa.Str
                 yield pa.RecordBatch.from_arrays(rows(part.column(0), part.column(1), cut(part.column(1))), names)
 
     kind = frame.schema["kept"].dataType.simpleString()
-    return frame.mapInArrow(made, f"kept {kind}, {schema.removeprefix('kept, ')}")
+    return frame.mapInArrow(made, schema.replace("kept, ", f"kept {kind}, ", 1))
 
 
 def positions(docs: DataFrame, *keep: str) -> DataFrame:
@@ -174,3 +177,28 @@ def indexed(docs: DataFrame, known: str, *keep: str) -> DataFrame:
 
     schema = "kept, forms array<struct<surface:string,known:boolean>>, sentences array<struct<segment:int,tokens:array<int>>>"
     return sliced(docs, ["doc_id", known, *keep], schema, rows).select("kept.*", "forms", "sentences").drop(known)
+
+
+def vocabulary(docs: DataFrame) -> DataFrame:
+    """surface, word, n: the distinct surfaces of each slice of texts, whether they are words, and their counts; the caller sums slices up."""
+
+    def rows(kept: pa.StructArray, _: pa.Array, t: Cut) -> list[pa.Array]:
+        coded = t.surface.dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        word = np.zeros(len(coded.dictionary), bool)
+        word[codes] = t.word
+        n = np.bincount(codes, minlength=len(word)) if len(codes) else np.zeros(0, np.int64)
+        return [coded.dictionary, pa.array(word), pa.array(n)]
+
+    return sliced(docs, [], "surface string, word boolean, n long", rows)
+
+
+def followed(docs: DataFrame) -> DataFrame:
+    """doc_id, token_index, surface, next: every token but the last of its sentence, with the one after it."""
+
+    def rows(kept: pa.StructArray, _: pa.Array, t: Cut) -> list[pa.Array]:
+        i = np.flatnonzero((t.text[1:] == t.text[:-1]) & (t.sentence_no[1:] == t.sentence_no[:-1]))
+        at = pa.array(i)
+        return [kept.take(pa.array(t.text[i])), pa.array(t.token_index[i]), t.surface.take(at), t.surface.take(pa.array(i + 1))]
+
+    return sliced(docs, ["doc_id"], "kept, token_index int, surface string, next string", rows).select("kept.doc_id", "token_index", "surface", "next")

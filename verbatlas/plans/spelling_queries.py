@@ -11,6 +11,7 @@ from verbatlas.functions import stems as M
 from verbatlas.functions import strings as S
 from verbatlas.functions import text as X
 from verbatlas.functions import verbs as V
+from verbatlas.operators import arrow_tokens
 
 from .corpus_queries import LEX, TAG, _docs, _lexicon
 from .registry import query
@@ -222,7 +223,8 @@ _NOUNS = f"""nouns AS (SELECT word, CASE WHEN length(word) % 2 = 0 THEN 'C' ELSE
 def enclitics(spark, d):
     """Prepositions before nouns in the documents, both with their accents: half of the nouns, tagged by their endings, have a movable one."""
     docs = _docs(spark, d)
-    words = docs.select(F.explode(X.surfaces(F.col("text"))).alias("surface")).distinct().filter("surface = lower(surface)")
+    # tags are looked for after a slice's tokens became its distinct ones, else the optimizer tags every token
+    words = arrow_tokens.vocabulary(docs).filter("surface = lower(surface)").select("surface").distinct()
     tag = words.select(F.col("surface").alias("form"), X.analysis(F.col("surface")).alias("a")).filter("a.pos = 'NOUN'")
     feats, form = F.col("a.feats"), F.col("form")
     case = F.when(F.contains(feats, F.lit("case=ins")), "instrumental").when(F.contains(feats, F.lit("case=dat")), "dative").otherwise("nominative")
