@@ -99,3 +99,12 @@ def test_enclitics_make_no_array_of_tokens(spark):
     plan = catalog.QUERIES["enclitics"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     # the distinct surfaces of a slice are tagged, not every token
     assert "regexp_extract_all(text#" not in plan
+
+
+def test_words_of_the_corpus_come_from_slices(spark):
+    from verbatlas.plans import catalog
+
+    plan = catalog.QUERIES["dict_analyze"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    cuts = [x for x in plan.splitlines() if "Generate" in x and "regexp_extract_all" in x]
+    # only the lexicon's texts are cut by generated rows of tokens: once for forms, once for prefixes
+    assert len(cuts) == 2 and plan.count("MapInArrow") == 3

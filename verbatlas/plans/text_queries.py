@@ -11,8 +11,8 @@ from verbatlas.functions import stems as M
 from verbatlas.functions import strings as S
 from verbatlas.functions import text as X
 from verbatlas.functions import verbs as V
+from verbatlas.operators import arrow_tokens, maintenance
 from verbatlas.operators import corpus as C
-from verbatlas.operators import maintenance
 
 from .corpus_queries import LEX, SENT, TAG, _docs, _lexicon
 from .registry import query, table
@@ -197,7 +197,7 @@ _DOC_WORDS = rf"dw AS (SELECT DISTINCT lower(w) AS word FROM (SELECT unnest(rege
 
 
 def _doc_words(spark, d):
-    return C.word_counts(_docs(spark, d)).select(F.col("slug").alias("word"))
+    return arrow_tokens.vocabulary(_docs(spark, d)).filter("word").select(F.lower("surface").alias("word")).distinct()
 
 
 @query(
