@@ -108,3 +108,13 @@ def test_words_of_the_corpus_come_from_slices(spark):
     cuts = [x for x in plan.splitlines() if "Generate" in x and "regexp_extract_all" in x]
     # only the lexicon's texts are cut by generated rows of tokens: once for forms, once for prefixes
     assert len(cuts) == 2 and plan.count("MapInArrow") == 3
+
+
+def test_metrics_of_distinct_words(spark, odd):
+    from verbatlas.plans import catalog
+
+    known = spark.createDataFrame([("word",), ("c",)], "slug string")
+    docs = odd.filter("doc_id is not null").unionByName(spark.createDataFrame([(50, "Byl byl byl c C dom... (x) y!", "z")], odd.schema))
+    assert same(corpus.metrics_by_forms(arrow_tokens.counts(docs), known), corpus.document_metrics(docs, known))
+    plan = catalog.QUERIES["doc_metrics"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "flatten(" not in plan and "MapInArrow" in plan

@@ -202,3 +202,23 @@ def followed(docs: DataFrame) -> DataFrame:
         return [kept.take(pa.array(t.text[i])), pa.array(t.token_index[i]), t.surface.take(at), t.surface.take(pa.array(i + 1))]
 
     return sliced(docs, ["doc_id"], "kept, token_index int, surface string, next string", rows).select("kept.doc_id", "token_index", "surface", "next")
+
+
+def counts(docs: DataFrame) -> DataFrame:
+    """doc_id, tokens, words, sentences, space_words, forms: one row a document with its counts and its distinct words, array<struct<surface, n>>.
+
+    space_words: the runs of characters between white space.
+    """
+
+    def rows(kept: pa.StructArray, _: pa.Array, t: Cut) -> list[pa.Array]:
+        f, texts = forms(t), len(kept)
+        number = lambda marks: pa.array(np.bincount(t.text, marks, texts).astype(np.int64))
+        sentence = np.diff(t.sentence_no, prepend=-1) != 0
+        word = pa.array(f.word)
+        items = pa.StructArray.from_arrays([f.surface.filter(word), pa.array(f.n[f.word])], ["surface", "n"])
+        every = np.ones(len(t.text), bool)
+        return [kept, number(every), number(t.word), number(sentence | (t.token_index == 0)), number(t.apart), lists(f.text[f.word], texts, items)]
+
+    schema = "kept, tokens long, words long, sentences long, space_words long, forms array<struct<surface:string,n:bigint>>"
+    out = sliced(docs, ["doc_id"], schema, rows)
+    return out.select("kept.doc_id", "tokens", "words", "sentences", "space_words", "forms")

@@ -155,10 +155,22 @@ def document_metrics(docs: DataFrame, known: DataFrame) -> DataFrame:
     spaced = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
     rows = docs.select("doc_id", X.named(tokens, counted).alias("c"), spaced.alias("space_words"))
     rows = rows.select("doc_id", "c.tokens", "c.words", "c.sentences", "space_words", F.posexplode_outer("c.unsure").alias("at", "slug"))
+    return _rates(rows.withColumn("n", F.lit(1)), known)
+
+
+def metrics_by_forms(counted: DataFrame, known: DataFrame) -> DataFrame:
+    """The same from `arrow_tokens.counts`: a document's distinct words are tagged, and become rows with how often they stand there."""
+    unsure = F.filter("forms", lambda f: X.pos_of(f["surface"]) == "X")
+    rows = counted.select("doc_id", "tokens", "words", "sentences", "space_words", F.posexplode_outer(unsure).alias("at", "f"))
+    return _rates(rows.select("*", F.lower("f.surface").alias("slug"), "f.n"), known)
+
+
+def _rates(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Metrics from rows (doc_id, its counts, at, slug, n), one for each word tagged X, or one without a slug; only those with at 0 or null add counts."""
     flagged = known.withColumn("known", F.lit(True))
     first = F.coalesce(F.col("at"), F.lit(0)) == 0
     once = lambda c: F.coalesce(F.sum(F.when(first, F.greatest(F.col(c), F.lit(0)))), F.lit(0)).cast("long").alias(c)
-    oov = F.count_if(F.col("slug").isNotNull() & F.col("known").isNull()).alias("oov")
+    oov = F.coalesce(F.sum(F.when(F.col("slug").isNotNull() & F.col("known").isNull(), F.col("n"))), F.lit(0)).alias("oov")
     out = rows.join(flagged, "slug", "left").groupBy("doc_id").agg(*map(once, ("tokens", "words", "sentences", "space_words")), oov)
     percent = lambda a, b: F.when(b > 0, F.floor(100 * a / b + 0.5)).otherwise(0)
     words_, all_ = F.col("words"), F.col("tokens")
