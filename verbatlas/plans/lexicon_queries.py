@@ -276,8 +276,13 @@ def distinct_types(spark, d):
 _EDGES = "edges AS (SELECT DISTINCT l_partkey AS source, l_suppkey AS target, l_returnflag AS type FROM lineitem)"
 
 
+def _links(spark, d):
+    """Edges, with repeats."""
+    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target"), F.col("l_returnflag").alias("type"))
+
+
 def _edges(spark, d):
-    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target"), F.col("l_returnflag").alias("type")).distinct()
+    return _links(spark, d).distinct()
 
 
 @query(f"WITH {_EDGES} SELECT source AS node, target AS other, type FROM edges UNION ALL SELECT target, source, type FROM edges WHERE source <> target")
@@ -300,7 +305,7 @@ def dir_neighbors(spark, d):
 def two_hop(spark, d):
     """From every hundredth part: a query set that grows with the table."""
     roots = table(spark, d, "part").filter("p_partkey % 100 = 50").select(F.col("p_partkey").alias("root"))
-    return graph.two_hops(_edges(spark, d), roots, 4)
+    return graph.two_hops(_links(spark, d), roots, 4)
 
 
 @query(
