@@ -77,3 +77,30 @@ def test_tasks_grow_with_the_rows(spark, monkeypatch):
     dealt = dealing.dealt(df, 2_000, "a")
     assert dealt.rdd.getNumPartitions() == 20
     assert dealing.parts(spark, 0) == dealing.parts(spark, 399) == 4 and dealing.parts(spark, 401) == 5
+
+
+def test_distinct_edges_are_dealt(spark, monkeypatch):
+    """Remapped, normalized, changed and listed edges: tasks by rows, repeats gone, nothing hashed before the deal."""
+    monkeypatch.setattr(dealing, "ROWS", 100)
+    rows = [(i % 90, i % 7, "AR"[i % 2]) for i in range(1_000)]
+    edges = spark.createDataFrame(rows, EDGE)
+    merged = spark.createDataFrame([(i, i // 10 * 10) for i in range(90) if i % 10], "old long, new long")
+    to = lambda x: x // 10 * 10
+    cases = {
+        "remapped": (graph.remapped(edges, merged), {(to(a), to(b), t) for a, b, t in rows if to(a) != to(b)}),
+        "normalized": (graph.normalized(edges, ["A"]), {(min(a, b), max(a, b), t) if t == "A" else (a, b, t) for a, b, t in rows if a != b}),
+        "distinct": (dealing.distinct(edges, 1_000), set(rows)),
+    }
+    for name, (df, want) in cases.items():
+        got = [tuple(r) for r in df.collect()]
+        assert len(got) == len(want) and set(got) == want, name
+        assert df.rdd.getNumPartitions() == 10, name
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        above, below = plan.split("Exchange hashpartitioning", 1)
+        assert "HashAggregate" in above and "HashAggregate" not in below, name
+
+
+def test_changes_with_nulls_and_repeats(spark):
+    ids = lambda *x: spark.createDataFrame([(1, i) for i in x], "source long, target long")
+    got = graph.changes(ids(2, 2, 3, None), ids(1, 1, 3, None), ["source", "target"])
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 1, "add"), (1, 2, "remove")]

@@ -16,3 +16,8 @@ def parts(spark: SparkSession, rows: int) -> int:
 def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     """df, dealt by the keys to the tasks that so many rows need. Their number is given, so that Spark does not merge them to fewer."""
     return df.repartition(parts(df.sparkSession, rows), *keys)
+
+
+def distinct(df: DataFrame, rows: int) -> DataFrame:
+    """Distinct rows of df, which has about so many. They are dealt first: a map-side step would hash a whole part of the scan, mostly for nothing."""
+    return dealt(df, rows, *df.columns).distinct()

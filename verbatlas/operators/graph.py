@@ -19,7 +19,7 @@ def normalized(edges: DataFrame, symmetric: list[str]) -> DataFrame:
         F.when(both, F.greatest("source", "target")).otherwise(F.col("target")).alias("target"),
         "type",
     )
-    return ends.distinct()
+    return dealing.distinct(ends, edges.count())
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -90,15 +90,16 @@ def _near(edges: DataFrame) -> DataFrame:
 
 
 def changes(existing: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
-    """What has to be added and removed to get from existing to wanted: the columns in `on`, and action."""
-    add = wanted.select(*on).distinct().join(existing, on, "left_anti").withColumn("action", F.lit("add"))
-    remove = existing.select(*on).distinct().join(wanted, on, "left_anti").withColumn("action", F.lit("remove"))
-    return add.unionByName(remove)
+    """What has to be added and removed to get from existing to wanted: the columns in `on`, and action. One grouping of both; nulls are equal."""
+    sides = existing.select(*on, F.lit(True).alias("there")).unionByName(wanted.select(*on, F.lit(False).alias("there")))
+    dealt = dealing.dealt(sides, existing.count() + wanted.count(), *on)
+    found = dealt.groupBy(*on).agg(F.min("there").alias("always"), F.max("there").alias("ever")).filter("always = ever")
+    return found.select(*on, F.when(F.col("ever"), "remove").otherwise("add").alias("action"))
 
 
 def remapped(edges: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Edges after nodes were merged by (old, new): re-pointed, without self-loops and repeats."""
+    """Edges after nodes were merged by (old, new): re-pointed, without self-loops and repeats; edges may hold repeats."""
     m = mapping.select("old", "new")
     moved = edges.join(m, edges["source"] == m["old"], "left").select(F.coalesce("new", "source").alias("source"), "target", "type")
     moved = moved.join(m, moved["target"] == m["old"], "left").select("source", F.coalesce("new", "target").alias("target"), "type")
-    return moved.filter("source <> target").distinct()
+    return dealing.distinct(moved.filter("source <> target"), edges.count())

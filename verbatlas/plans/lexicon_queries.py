@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from verbatlas.operators import dedup, graph, lexicon
+from verbatlas.operators import dealing, dedup, graph, lexicon
 
 from .registry import query, table
 
@@ -282,7 +282,8 @@ def _links(spark, d):
 
 
 def _edges(spark, d):
-    return _links(spark, d).distinct()
+    links = _links(spark, d)
+    return dealing.distinct(links, links.count())
 
 
 @query(f"WITH {_EDGES} SELECT source AS node, target AS other, type FROM edges UNION ALL SELECT target, source, type FROM edges WHERE source <> target")
@@ -313,7 +314,7 @@ def two_hop(spark, d):
     SELECT source, target, 'add' AS action FROM (SELECT * FROM new EXCEPT SELECT * FROM old) UNION ALL SELECT source, target, 'remove' FROM (SELECT * FROM old EXCEPT SELECT * FROM new)"""
 )
 def edge_diff(spark, d):
-    edges = _edges(spark, d)
+    edges = _links(spark, d)
     return graph.changes(edges.filter("type = 'A'"), edges.filter("type = 'R' AND source <> target"), ["source", "target"])
 
 
@@ -322,7 +323,7 @@ def edge_diff(spark, d):
     CASE WHEN type IN ('A', 'R') THEN greatest(source, target) ELSE target END AS target, type FROM edges WHERE source <> target"""
 )
 def edge_normalize(spark, d):
-    return graph.normalized(_edges(spark, d), ["A", "R"])
+    return graph.normalized(_links(spark, d), ["A", "R"])
 
 
 @query(
@@ -331,7 +332,7 @@ def edge_normalize(spark, d):
 )
 def remap_edges(spark, d):
     mapping = table(spark, d, "part").filter("p_partkey % 10 <> 0").select(F.col("p_partkey").alias("old"), F.expr("p_partkey div 10 * 10").alias("new"))
-    return graph.remapped(_edges(spark, d), mapping)
+    return graph.remapped(_links(spark, d), mapping)
 
 
 # duplicates
