@@ -138,3 +138,39 @@ def test_a_document_is_one_stored_row(spark, tmp_path):
     token_store.create(docs, f"{tmp_path}/tokens", 4)
     assert spark.read.parquet(f"{tmp_path}/tokens").count() == 20
     assert token_store.read(spark, f"{tmp_path}/tokens").count() == 80
+
+
+def test_a_base_is_stored_once(spark, tmp_path, monkeypatch):
+    """Places are stored in less than two bytes, and a compaction frees each piece as soon as the new one is there; one that failed is finished by the next."""
+    path, size = tmp_path / "index", lambda p: sum(f.stat().st_size for f in p.rglob("*.parquet"))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").repartition(4)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    text_index.build(docs, "doc_id", "text", str(path))
+    base = size(path / "base-0")
+    assert base < 2 * sum(map(len, texts.values()))
+    changed = docs.filter("doc_id % 5 < 2").select("doc_id", F.col("text").alias("old"), F.when(F.col("doc_id") % 5 == 0, F.reverse("text")).alias("new"))
+    text_index.change(changed, "doc_id", "old", "new", str(path), 1)
+    texts = {k: t if k % 5 > 1 else t[::-1] if k % 5 == 0 else None for k, t in texts.items()}
+    searches = ["ing", "on the", "gnu"]
+    check = lambda: {tuple(r) for r in text_index.search(spark, str(path), searches).collect()} == slow_search(texts, searches)
+    assert check()
+    write, most = text_index._write, []
+
+    def writes(df, to, *by):
+        if len(most) == 2:
+            raise OSError("no space")
+        write(df, to, *by)
+        most.append(sum(size(p) for p in path.glob("base-*")))
+
+    monkeypatch.setattr(text_index, "_write", writes)
+    with pytest.raises(OSError):
+        text_index.compact(spark, str(path))
+    assert check() and not (path / "base-1/_SUCCESS").exists() and not (path / "base-0/piece=0-0").exists()
+    monkeypatch.setattr(text_index, "_write", write)
+    # a change that comes meanwhile voids what is in pieces of either base
+    more = docs.filter("doc_id % 5 = 2").select("doc_id", F.col("text").alias("old"), F.concat(F.lit("gnu "), "text").alias("new"))
+    text_index.change(more, "doc_id", "old", "new", str(path), 2)
+    texts = {k: f"gnu {t}" if k % 5 == 2 else t for k, t in texts.items()}
+    assert check() and text_index.compact(spark, str(path)) == 2 and check()
+    assert max(most) < 1.6 * base and sorted(p.name for p in path.iterdir()) == ["base-2", "schema"]
+    assert text_index.compact(spark, str(path)) == 2 and check()
